@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.llm import exact_dedup, media, packing, spm, token_store
+from scorewright.llm import exact_dedup, langid, license_scan, media, ngram_join, packing, pii, quality, spm, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_documents(spark, sf_dir))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_documents(spark, sf_dir))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_documents(spark, sf_dir))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_column(_documents(spark, sf_dir)))
 
@@ -33,8 +45,28 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op5_best_fit_pack, op7_media_columns, op8_token_store)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_exact_dedup,
+        op3_license_scan,
+        op4_ngram_jaccard,
+        op5_best_fit_pack,
+        op6_pii_surrogates,
+        op7_media_columns,
+        op8_token_store,
+        op9_quality,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
