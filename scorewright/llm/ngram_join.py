@@ -5,9 +5,10 @@
    keys (prefix filter); rarity comes from a sketch of counts over all documents.
 3. Classes that share a key meet in a tile.  A tile is ordered by set size, so that
    only sizes within the threshold are compared, and the number of differing bits of
-   two hashed bitmaps bounds the overlap from above.  Pairs that pass connect classes
-   to clusters, which hold every similar pair.  A key shared by very many classes is
-   dealt over tiles of bounded size by size band and hash.
+   two hashed bitmaps bounds the overlap from above.  Tiles carry short bitmaps; pairs of
+   sets too large for those are held against bitmaps as long as the sets.  Pairs that
+   pass connect classes to clusters, which hold every similar pair.  A key shared by very
+   many classes is dealt over tiles of bounded size by size band and hash.
 4. Clusters meet in tiles again, now with their sorted shingle arrays: bitmaps as long
    as the sets bound the overlap, then sorted-array intersection decides exactly.
    Pairs that are connected already need no decision.  Verified links give components.
@@ -31,10 +32,14 @@ from scorewright.llm.textops import slices, texts_of, written
 
 #: Classes that share a key in one tile, and shingles of a cluster in one tile, about.
 TILE_ROWS = 4096
-TILE_SHINGLES = 2_000_000
+TILE_SHINGLES = 4_000_000
 SLICE = 2 << 20
 SKETCH_BLOCK = 4096
-BITMAP_WORDS = 8
+#: 64-bit words of a short and of a full bitmap, at most; and the set size from which a short one bounds too little.
+BITMAP_WORDS, FULL_WORDS = 8, 1024
+LARGE_SET = 1200
+#: Large sets that are near each other in a tile's order are paired at once, others by their short bitmaps.
+NEAR = 64
 
 
 def least_overlap(total: np.ndarray | int, percent: int):
@@ -49,10 +54,10 @@ def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     """Counts of all documents' shingles by hash slot: ``slots`` numbers, whatever the input."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.int32)
         for part in slices(batches, max_bytes=SLICE):
             sets = shingle_sets(texts_of(part), words)
-            total += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+            total += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.int32)
         if total.any():
             rows = total.reshape(-1, SKETCH_BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "counts"])
@@ -69,7 +74,7 @@ def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
     out = np.zeros((slots // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
     for r in rows:
-        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
+        out[r["block"]] += np.frombuffer(r["counts"], np.int32)
     return out.ravel()
 
 
@@ -104,7 +109,7 @@ def set_digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, n int, digest binary, bitmap binary, tokens array<long>, tiles array<int>"
+SIGNED = "doc_id long, n int, digest binary, short binary, bitmap binary, tokens array<long>, tiles array<int>"
 
 
 def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> DataFrame:
@@ -119,15 +124,18 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
         level, tiles = shared.value
         for part in slices(batches, max_bytes=SLICE):
             sets = shingle_sets(texts_of(part), words)
-            sizes, digests, bitmaps, tokens, dealt = [], [], [], [], []
+            sizes, digests, short, bitmaps, tokens, dealt = [], [], [], [], [], []
             for x in sets:
                 n = len(x)
                 sizes.append(n)
                 digests.append(set_digest(x))
                 if not n:
+                    short.append(b"")
                     bitmaps.append(b"")
                     continue
-                bitmaps.append(parity_bitmap(x, bitmap_words(n)).tobytes())
+                bits = parity_bitmap(x, bitmap_words(n, FULL_WORDS))
+                bitmaps.append(bits.tobytes())
+                short.append(folded(bits, min(len(bits), BITMAP_WORDS)).tobytes())
                 slot = (x & np.uint64(slots - 1)).astype(np.int64)
                 p = n - (-(-percent * n // 100)) + 1
                 rarest = np.argsort(level[slot], kind="stable")[:p]  # x is sorted, so ties go by hash
@@ -141,11 +149,12 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
                     part.column("doc_id"),
                     pa.array(sizes, pa.int32()),
                     pa.array(digests, pa.binary()),
+                    pa.array(short, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(many)),
                 ],
-                ["doc_id", "n", "digest", "bitmap", "tokens", "tiles"],
+                ["doc_id", "n", "digest", "short", "bitmap", "tokens", "tiles"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
@@ -218,10 +227,11 @@ def _join(parent: np.ndarray, a: int, b: int) -> bool:
     return True
 
 
-def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: list[bytes], percent: int) -> list[tuple[int, int]]:
+def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: list[bytes], percent: int) -> list[tuple[int, int, bool]]:
     """Pairs of nodes that share a key and pass size and bitmap bounds, without those that close a circle.
 
-    Rows are sorted by key and n.  Row i is held against row i + d for d = 1, 2, ... at once.
+    Rows are sorted by key and n.  Row i is held against row i + d for d = 1, 2, ... at once.  A
+    pair of large sets whose short bitmaps do not tell them apart is given each once with False.
     """
     names, at = np.unique(node, return_inverse=True)
     words = np.fromiter(map(len, bitmap), np.int64, len(bitmap)) // 8
@@ -238,6 +248,7 @@ def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: li
             bits, k = (bits[:, : k // 2] ^ bits[:, k // 2 :], k // 2) if k > 1 else (bits, 0)
     parent = np.arange(len(names))
     out, left, d = [], np.arange(len(node)), 0
+    open_pairs: set[tuple[int, int]] = set()
     while len(left):
         d += 1
         left = left[left + d < len(node)]
@@ -253,27 +264,50 @@ def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: li
         for w in np.unique(fewer).tolist():
             q = np.flatnonzero(fewer == w)
             differ = np.bitwise_count(by[w][i[q]] ^ by[w][i[q] + d]).sum(1)
-            for k in i[q[differ <= room[q]]].tolist():
+            near = i[q[differ <= room[q]]]
+            large = (n[near] > LARGE_SET) if d <= NEAR else np.zeros(len(near), bool)
+            open_pairs.update(zip(node[near[large]].tolist(), node[near[large] + d].tolist(), strict=True))
+            for k in near[~large].tolist():
                 if _join(parent, int(at[k]), int(at[k + d])):
-                    out.append((int(node[k]), int(node[k + d])))
-    return out
+                    out.append((int(node[k]), int(node[k + d]), True))
+    return out + [(a, b, False) for a, b in open_pairs]
+
 
+def full_bitmaps_pass(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose full bitmaps allow the threshold.  bits: node, n, bitmap."""
 
-def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            total = part.column("n_a").to_numpy() + part.column("n_b").to_numpy().astype(np.int64)
+            room = total - 2 * least_overlap(total, percent)
+            keep = []
+            for x, y, most in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), room.tolist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= most)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    at_a = bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
+    at_b = bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
+    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between nodes of classes that may be similar; with their ends' components they cover all such pairs."""
     rows = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "tiles")).alias("x"))
     keyed = rows.select("node", "n", F.explode(tile_keys(F.col("x.tokens"), F.col("x.tiles").cast("long"), F.col("n"), F.col("node"), percent)).alias("key"))
     met = keyed.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1").drop("met")
-    bits = reps.select("node", "bitmap")
-    tiles = met.join(bits, "node").repartition("key").sortWithinPartitions("key", "n")
+    tiles = met.join(bits.select("node", "short"), "node").repartition("key").sortWithinPartitions("key", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key", 50_000):
-            pairs = connected_pairs(*(t.column(c).to_numpy() for c in ("key", "node", "n")), t.column("bitmap").to_pylist(), percent)
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            pairs = connected_pairs(*(t.column(c).to_numpy() for c in ("key", "node", "n")), t.column("short").to_pylist(), percent)
+            a, b, sure = zip(*pairs, strict=True) if pairs else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
-    return tiles.select("key", "node", "n", "bitmap").mapInArrow(run, "a long, b long")
+    found = written(tiles.select("key", "node", "n", "short").mapInArrow(run, "a long, b long, sure boolean"), "pairs")
+    doubtful = found.where("NOT sure").select("a", "b").distinct()
+    return found.where("sure").select("a", "b").unionByName(full_bitmaps_pass(doubtful, bits, percent))
 
 
 # --- exact decision ----------------------------------------------------------------
@@ -321,16 +355,18 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     tiled = salted_lookup(members, sizes, "cluster", "digest").select(
         "doc_id", "digest", "n", tile_keys(F.col("cluster"), F.ceil(F.col("total") / TILE_SHINGLES), F.col("n"), F.col("digest"), percent).alias("tiles")
     )
-    tiled = written(tiled, "tiles")
-    wanted = tiled.select(F.col("doc_id").alias("_doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(tiled, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=SLICE):
+            rows = []
             found = shingle_sets(texts_of(part), words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "shingles"]
-            )
+            for x, digest, tiles in zip(found, part.column("digest").to_pylist(), part.column("tiles").to_pylist(), strict=True):
+                if set_digest(x) == digest:  # else another text of a repeated doc_id
+                    rows += [(t, len(x), digest, x.tobytes()) for t in tiles]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tile", "n", "digest", "shingles"])
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "tile", 1):
@@ -338,13 +374,13 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
             digest, raw = t.column("digest").to_pylist(), t.column("shingles").to_pylist()
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-                pairs = exact_links([np.frombuffer(x, np.uint64) for x in raw[a:b]], percent) if b - a > 1 else []
+                at = [i for i in range(a, b) if i == a or digest[i] != digest[i - 1]]
+                pairs = exact_links([np.frombuffer(raw[i], np.uint64) for i in at], percent) if len(at) > 1 else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest[a + i] for i, _ in pairs], pa.binary()), pa.array([digest[a + j] for _, j in pairs], pa.binary())], ["a", "b"]
+                    [pa.array([digest[at[i]] for i, _ in pairs], pa.binary()), pa.array([digest[at[j]] for _, j in pairs], pa.binary())], ["a", "b"]
                 )
 
-    made = texts.mapInArrow(sets, "digest binary, shingles binary").dropDuplicates(["digest"])
-    rows = made.join(tiled.select("digest", "n", "tiles"), "digest").select(F.explode("tiles").alias("tile"), "n", "digest", "shingles")
+    rows = texts.mapInArrow(sets, "tile long, n int, digest binary, shingles binary")
     return rows.repartition("tile").sortWithinPartitions("tile", "n", "digest").mapInArrow(links, "a binary, b binary")
 
 
@@ -361,9 +397,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     over = excess(count_sketch(docs, words, slots))
     signed = written(signatures(docs, words, percent, over), "signatures")
     first_bytes = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).withColumn("node", first_bytes), "classes")
-    reps = signed.where("n > 0").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "bitmap", "tokens", "tiles"))).withColumn("node", first_bytes)
-    clusters = components(candidate_edges(reps, percent))
+    of = signed.where("n > 0").groupBy("digest")
+    classes = written(of.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "short", "bitmap"))).withColumn("node", first_bytes), "classes")
+    reps = of.agg(*(F.first(c).alias(c) for c in ("n", "tokens", "tiles"))).withColumn("node", first_bytes)
+    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent))
     members = written(
         classes.join(clusters, "node").select("digest", "doc_id", "n", F.col("component").alias("cluster")), "members"
     )
