@@ -62,14 +62,35 @@ PATTERNS["name"] = (
     rf"(?<=\b(?:{TITLES})\.? )(?:{_NAME_LATIN} ){{0,2}}{_NAME_LATIN}"
     + r"|(?<![\p{L}])(?:" + "|".join(n for names in GIVEN.values() for n in names) + rf")(?= ){' '}{_NAME_LATIN}"
 )
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these holds no entity; the cheap search spares the full one.
-CUES = r"[0-9@]|\b(?:" + TITLES + r")\.? \p{Lu}|(?:" + "|".join(n for names in GIVEN.values() for n in names) + r") \p{Lu}"
+#: All kinds but names; places where no number can begin are passed over at once.
+STRUCTURED = (
+    "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban"))
+    + "|(?=[0-9+(])(?:"
+    + "|".join(f"(?:{PATTERNS[k]})" for k in ("ssn", "card", "ip", "phone"))
+    + ")"
+)
+ENTITY = f"{STRUCTURED}|(?:{PATTERNS['name']})"
+#: Words before a capitalised word that make it part of a name.
+_BEFORE_NAME = [*TITLES.split("|"), *(n for names in GIVEN.values() for n in names)]
+
+
+def _has_name(text: Column) -> Column:
+    """Whether a title or a listed given name comes before a capitalised word."""
+    before = F.regexp_extract_all(text, F.lit(r"(\p{Lu}\p{Ll}+)\.? (?=\p{Lu})"), F.lit(1))
+    listed = F.array(*map(F.lit, _BEFORE_NAME))
+    return F.when(text.rlike(r"\p{Lu}\p{Ll}+\.? \p{Lu}"), F.arrays_overlap(before, listed)).otherwise(F.lit(False))
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text in order, as array<string>."""
-    return F.when(text.rlike(CUES), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All entities of a text in order, as array<string>.
+
+    Cheap searches come first: an entity holds a digit or an at sign, or is a name.
+    """
+    return (
+        F.when(_has_name(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+        .when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(STRUCTURED), F.lit(0)))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
 def kind_of(entity: Column) -> Column:
@@ -81,20 +102,25 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def _draw(key: Column, *parts: Column) -> Column:
-    """A keyed pseudorandom long: the first 60 bits of sha256."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", key, *parts), 256), 1, 15), 16, 10).cast("long")
+def _digest(key: Column, r: Column, rest: Column) -> Column:
+    """What a round's draws depend on: the key, the round and the other half."""
+    return F.sha2(F.concat_ws("\x1f", key, r.cast("string"), rest), 256)
+
+
+def _draw(digest: Column, i: Column, n: int) -> Column:
+    """A keyed pseudorandom number below n for place i."""
+    return F.pmod(F.xxhash64(digest, i), F.lit(n))
 
 
-def _rotate(char: Column, draw: Column, alphabet: str) -> Column:
-    at = (F.instr(F.lit(alphabet), char) - 1 + draw) % len(alphabet)
+def _rotate(char: Column, digest: Column, i: Column, alphabet: str) -> Column:
+    at = (F.instr(F.lit(alphabet), char) - 1 + _draw(digest, i, len(alphabet))) % len(alphabet)
     return F.substr(F.lit(alphabet), (at + 1).cast("int"), F.lit(1))
 
 
-def _shift(char: Column, draw: Column, alphabets: tuple[str, ...]) -> Column:
+def _shift(char: Column, digest: Column, i: Column, alphabets: tuple[str, ...]) -> Column:
     out = char
     for a in reversed(alphabets):
-        out = F.when(F.instr(F.lit(a), char) > 0, _rotate(char, draw, a)).otherwise(out)
+        out = F.when(F.instr(F.lit(a), char) > 0, _rotate(char, digest, i, a)).otherwise(out)
     return out
 
 
@@ -108,8 +134,8 @@ def permuted(value: Column, key: Column, alphabets: tuple[str, ...] = ALPHABETS,
     def step(chars: Column, r: Column) -> Column:
         rest = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, F.lit("")).otherwise(c)), "")
         turned = F.transform(
-            F.arrays_zip(chars.alias("c"), F.array_repeat(rest, F.size(chars)).alias("h")),
-            lambda x, i: F.when(i % 2 == r % 2, _shift(x["c"], _draw(key, r.cast("string"), x["h"], i.cast("string")), alphabets)).otherwise(x["c"]),
+            F.arrays_zip(chars.alias("c"), F.array_repeat(_digest(key, r, rest), F.size(chars)).alias("h")),
+            lambda x, i: F.when(i % 2 == r % 2, _shift(x["c"], x["h"], i, alphabets)).otherwise(x["c"]),
         )
         return turned
 
@@ -158,8 +184,8 @@ def _ip(value: Column, key: Column) -> Column:
     def step(o: Column, r: Column) -> Column:
         rest = F.array_join(F.transform(o, lambda x, i: F.when(i % 2 == r % 2, F.lit("")).otherwise(x.cast("string"))), ".")
         return F.transform(
-            F.arrays_zip(o.alias("c"), F.array_repeat(rest, F.size(o)).alias("h")),
-            lambda x, i: F.when(i % 2 == r % 2, (x["c"] + _draw(key, r.cast("string"), x["h"], i.cast("string"))) % 256).otherwise(x["c"]),
+            F.arrays_zip(o.alias("c"), F.array_repeat(_digest(key, r, rest), F.size(o)).alias("h")),
+            lambda x, i: F.when(i % 2 == r % 2, (x["c"] + _draw(x["h"], i, 256)) % 256).otherwise(x["c"]),
         )
 
     return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(3)), octets, step).cast("array<string>"), ".")
@@ -172,11 +198,11 @@ def _name(value: Column, key: Column) -> Column:
     first = permuted(given, F.concat(key, F.lit("/name")))
     for group, names in GIVEN.items():
         listed = F.array(*map(F.lit, names))
-        turn = _draw(key, F.lit(group)) % (len(names) - 1) + 1
+        turn = _draw(_digest(key, F.lit(0), F.lit(group)), F.lit(0), len(names) - 1) + 1
         at = (F.array_position(listed, given) - 1 + turn) % len(names)
         first = F.when(F.array_contains(listed, given), F.get(listed, at.cast("int"))).otherwise(first)
     rest = F.transform(F.slice(words, 2, F.size(words)), lambda w: permuted(w, F.concat(key, F.lit("/name"))))
-    return F.concat_ws(" ", first, F.array_join(rest, " "))
+    return F.array_join(F.concat(F.array(first), rest), " ")
 
 
 def _phone(value: Column, key: Column) -> Column:
@@ -217,9 +243,10 @@ def surrogate(entity: Column, key: str) -> Column:
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
     """Entities (column ``entity``, distinct) whose surrogate is shared or is itself an entity of the corpus."""
-    made = found.select("entity", surrogate(F.col("entity"), key).alias("surrogate"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = written(found.repartition(parts, "entity").select("entity", surrogate(F.col("entity"), key).alias("surrogate")), "surrogates")
     shared = made.groupBy("surrogate").agg(F.count("*").alias("n")).where("n > 1").select("surrogate")
-    real = found.select(F.col("entity").alias("surrogate"))
+    real = made.select(F.col("entity").alias("surrogate"))
     return made.join(shared.union(real), "surrogate", "left_semi")
 
 
@@ -242,7 +269,7 @@ def choose_key(docs: DataFrame, key: str = KEY, rounds: int = KEY_ROUNDS) -> str
 
 def _joined(text: Column, made: Column) -> Column:
     """The text with its entities, in order, replaced by ``made``."""
-    parts = F.split(text, ENTITY, -1)
+    parts = F.when(_has_name(text), F.split(text, ENTITY, -1)).otherwise(F.split(text, STRUCTURED, -1))
     return F.array_join(F.flatten(F.zip_with(parts, made, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
 
 
