@@ -1,0 +1,6 @@
+"""Queries of the library's operators over the driver's tables, with their SQL."""
+
+from scorewright.plans import boards, grading, studies
+
+QUERIES = grading.QUERIES | boards.QUERIES | studies.QUERIES
+ORACLE_SQL = grading.ORACLE_SQL | boards.ORACLE_SQL | studies.ORACLE_SQL
