@@ -355,7 +355,8 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     tiled = salted_lookup(members, sizes, "cluster", "digest").select(
         "doc_id", "digest", "n", tile_keys(F.col("cluster"), F.ceil(F.col("total") / TILE_SHINGLES), F.col("n"), F.col("digest"), percent).alias("tiles")
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(tiled, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    texts = texts.join(tiled.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=SLICE):

@@ -1,0 +1,310 @@
+"""Licences, personal data, media, quality, languages and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scorewright.llm import langid, license_scan, media, pii, quality
+from tests.llm.conftest import frame
+
+SF = "/root/testdata/sf0.001"
+SF1 = "/root/testdata/sf0.01"
+
+MIT = """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Foo bar. Licensed under the Apache License, Version 2.0.\nMore text.", "Apache-2.0"),
+        ("Released under the MIT License.", "MIT"),
+        ("This work is licensed under the GNU General Public License, version 3. x", "GPL-3.0-only"),
+        ("LICENSED UNDER CC BY-NC 4.0.\nReleased under the MIT License.", "MIT,CC-BY-NC-4.0"),
+        ("We licensed under the table.", ""),
+        ("Licensed under CC BY 4.0 or so.", ""),
+        (MIT, "MIT"),
+        ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3.0-or-later"),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_license(spark, text, found):
+    assert license_scan.license_scan(frame(spark, [(1, text)])).collect()[0].licenses == found
+
+
+def license_brute(text):
+    text = re.sub(r"\n[ \t]*(?:[#*;%]+|//+)?[ \t]*([a-z(])", r" \1", text or "")
+    for a, b in license_scan._INNER:
+        text = re.sub(a, b, text)
+    known = license_scan._known()
+    ids = [known[n] for s in re.split(r"[.!?:][.!?:*#$%&]*\s+|\n\s*", text) if (n := license_scan.normalise(s)) in known]
+    left, out = [*ids], []
+    for name, run in license_scan.RULES:
+        k = 0
+        while k + len(run) <= len(left):
+            if left[k : k + len(run)] == run:
+                left[k : k + len(run)] = [None]
+                out.append(name)
+            k += 1
+    return len(ids), ",".join(ids), ",".join(dict.fromkeys(out))
+
+
+def test_license_query(spark, odd, odd_rows, none):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    got = sorted(map(tuple, license_scan.license_scan(docs).collect()))
+    assert got == sorted((r.doc_id, *license_brute(r.text)) for r in docs.collect())
+    assert sum(bool(g[3]) for g in got) > 10
+    assert license_scan.license_scan(odd).count() == len(odd_rows) and license_scan.license_scan(none).count() == 0
+
+
+PRIVATE = "Mr. Smith and Anna Kowalska wrote jane.doe7@mail3.example.com, +1 (743) 555-3824, 227.5.221.1, 4111 1111 1111 1111, 123-45-6789, DE89 3704 0044 0532 0130 00, 9233A8ECF7C5B09FE5949719B6B82BC439E9329B; Иван Петров."
+
+
+def test_pii_finds_and_replaces(spark):
+    r = pii.replace_pii(frame(spark, [(1, PRIVATE), (2, "x " + PRIVATE), (3, "Nothing here.")]), "k/0").orderBy("doc_id").collect()
+    assert r[0].kinds == "name,name,email,phone,ip,card,ssn,iban,secret,name"
+    assert r[1].text == "x " + r[0].text and r[2].text == "Nothing here." and r[2].n_entities == 0
+    for part in ("Smith", "Kowalska", "jane", "3824", "227.5", "4111 1111", "123-45", "3704 0044", "9233A8", "Петров"):
+        assert part not in r[0].text
+    assert re.fullmatch(
+        r"Mr\. [A-Z][a-z]{4} and (?:" + "|".join(pii.GIVEN["latin-f"]) + r") [A-Z][a-z]{7} wrote [a-z]{4}\.[a-z]{3}\d@[a-z]{4}\d\.[a-z]{7}\.com, "
+        r"\+1 \(\d{3}\) \d{3}-\d{4}, \d+\.\d+\.\d+\.\d+, 4\d{3} \d{4} \d{4} \d{4}, \d{3}-\d\d-\d{4}, DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, [0-9A-F]{40}; (?:" + "|".join(pii.GIVEN["cyrillic-m"]) + r") [А-ЯЁ][а-яё]{5}\.",
+        r[0].text,
+    )
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10
+
+
+def test_surrogates_are_distinct_and_keep_form(spark):
+    entities = [f"u{i}@mail{i % 7}.example.com" for i in range(300)] + [f"+1 (017) 555-{i:04d}" for i in range(300)] + [f"10.{i % 3}.{i // 3}.7" for i in range(300)]
+    entities += [f"{4000_0000_0000_0000 + i * 7919:016d}" for i in range(300)] + [f"{n} Brown" for n in pii.GIVEN["latin-m"]]
+    got = {r.e: r.s for r in spark.createDataFrame([(e,) for e in entities], "e string").select("e", pii.surrogate(F.col("e"), "k/0").alias("s")).collect()}
+    assert len(set(got.values())) == len(got)
+    for e, s in got.items():
+        assert e != s
+        if e[0] == "4":
+            assert luhn(e) == luhn(s) and s[0] == "4"
+        elif e[:3] == "10.":
+            assert all(0 <= int(x) <= 255 for x in s.split("."))
+        elif "@" in e or e[0] == "+":
+            assert re.sub(r"\d", "0", s).translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "x" * 26))[: len(e) - 4] == re.sub(r"\d", "0", e).translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "x" * 26))[: len(e) - 4]
+
+
+def test_permutation_is_one_to_one_on_a_whole_domain(spark):
+    got = [r.s for r in spark.range(10_000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("k")).alias("s")).collect()]
+    assert len(set(got)) == 10_000 and all(len(s) == 4 for s in got)
+
+
+def test_key_round_avoids_real_entities(spark):
+    """With most of a small domain in use, surrogates meet real entities; two entities never share one."""
+    docs = frame(spark, [(i, f"call 555-{i:04d}") for i in range(50)])
+    key = pii.choose_key(docs)
+    found = docs.select(F.explode(pii.entities(F.col("text"))).alias("entity")).distinct()
+    assert pii.collisions(found, key).count() == 0
+
+
+def test_pii_query(spark, odd, odd_rows, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = pii.replace_pii(docs).collect()
+    pattern = re.compile(r"\S+@\S+\.com|\d{16}|[0-9a-f]{40}|[0-9A-F]{40}|\d+\.\d+\.\d+\.\d+|\(\d{3}\) 555-\d{4}")
+    assert sum(len(pattern.findall(t)) for t in text.values()) > 5
+    for r in rows:
+        old = pattern.findall(text[r.doc_id])
+        assert not set(old) & set(pattern.findall(r.text)) and r.n_entities >= len(old)
+        assert (r.n_entities == 0) == (r.text == text[r.doc_id])
+    got = pii.replace_pii(odd).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((d, t) for d, t, *_ in odd_rows), key=str)
+    assert pii.replace_pii(none).count() == 0 and pii.with_surrogates(odd, "k/0").columns == odd.columns
+
+
+# --- media -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 16, 17, 100])
+def test_media_round_trip(n):
+    payload = random.Random(n).randbytes(n * media.UNIT)
+    data = media.build(payload)
+    (track,) = media.index(data)
+    assert media.payload_of(data, track) == payload
+    assert track.codec == "raw " and track.duration == n * media.UNIT and len(track.size) == n
+    assert track.key.tolist() == list(range(0, n, media.KEY_EVERY))
+    for k in track.key.tolist():
+        assert data[track.offset[k] : track.offset[k] + track.size[k]] == payload[k * media.UNIT : (k + 1) * media.UNIT]
+    boxes = [b"/".join(p) for p, _, _ in media.walk(memoryview(data))]
+    assert boxes[:2] == [b"ftyp", b"moov"] and b"moov/trak/mdia/minf/stbl/stsz" in boxes and boxes[-1] == b"mdat"
+
+
+def test_media_index_of_other_layouts():
+    """Variable sample sizes, scattered chunks, 64-bit offsets and box sizes, two tracks, no key table."""
+    import struct
+
+    box, full = media._box, media._full
+
+    def trak(sizes, chunks, runs):
+        stbl = box(
+            b"stbl",
+            full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))),
+            full(b"stts", struct.pack(">III", 1, len(sizes), 10)),
+            full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
+            full(b"stsz", struct.pack(">II", 0, len(sizes)), *(struct.pack(">I", s) for s in sizes)),
+            full(b"co64", struct.pack(">I", len(chunks)), *(struct.pack(">Q", c) for c in chunks)),
+        )
+        mdhd = box(b"mdhd", bytes([1, 0, 0, 0]), struct.pack(">QQIQ", 0, 0, 1000, 10 * len(sizes)), bytes(4))
+        return box(b"trak", box(b"mdia", mdhd, box(b"minf", stbl)))
+
+    data = box(b"moov", trak([3, 4, 5], [1000, 2000], [(1, 2, 1), (2, 1, 1)]), trak([6], [3000], [(1, 1, 1)]))
+    data += struct.pack(">I", 1) + b"free" + struct.pack(">Q", 24) + bytes(8)
+    first, second = media.index(data)
+    assert (first.offset.tolist(), first.size.tolist(), first.key.tolist(), first.time.tolist()) == ([1000, 1003, 2000], [3, 4, 5], [0, 1, 2], [0, 10, 20])
+    assert first.codec == "avc1" and first.duration == 30 and second.offset.tolist() == [3000]
+    with pytest.raises(ValueError):
+        list(media.walk(memoryview(struct.pack(">I", 99) + b"moov")))
+
+
+def test_media_query(spark, odd, odd_rows, none):
+    got = media.media_digest(media.media_column(odd)).collect()
+    want = []
+    for d, t, *_ in odd_rows:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        m = media.build(p)
+        want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), media.feature_of(media.index(m)[0])))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert media.media_digest(media.media_column(none)).count() == 0
+    index = media.media_index(media.media_column(odd)).where("doc_id = 6").collect()[0]
+    assert index.codec == "raw " and len(index.key_ranges) > 10
+
+
+# --- quality -----------------------------------------------------------------------------
+
+
+def test_em_finds_accuracies():
+    rng = np.random.default_rng(1)
+    truth = rng.random(20_000) < 0.8
+    right = np.array([0.95, 0.9, 0.85, 0.7, 0.9])
+    v = np.where(rng.random((20_000, 5)) < right, truth[:, None], ~truth[:, None]) * 2 - 1
+    v[rng.random(v.shape) < 0.3] = 0
+    pattern, count = np.unique(v, axis=0, return_counts=True)
+    m = quality.expectation_maximisation(pattern, count)
+    assert abs(m.prior - 0.8) < 0.03 and np.abs(m.hit - right).max() < 0.03 and np.abs((1 - m.miss) - right).max() < 0.05
+    assert ((m.posterior(v) > 0.5) == truth).mean() > 0.95
+
+
+def test_em_is_the_plain_update():
+    """One round against loops over documents."""
+    v = np.array([[1, 1, 0], [1, -1, 1], [-1, -1, -1], [0, 1, -1]])
+    m = quality.WeakModel(0.7, np.array([0.9, 0.8, 0.7]), np.array([0.2, 0.3, 0.4]))
+    for row, p in zip(v, m.posterior(v), strict=True):
+        g, b = 0.7, 0.3
+        for x, h, s in zip(row, m.hit, m.miss, strict=True):
+            g *= {1: h, 0: 1, -1: 1 - h}[int(x)]
+            b *= {1: s, 0: 1, -1: 1 - s}[int(x)]
+        assert abs(p - g / (g + b)) < 1e-9
+
+
+def test_quality_on_labels(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    got = {r.doc_id: r for r in quality.classify(docs).collect()}
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in got.values())
+    labels = spark.read.parquet(f"{SF1}/labels.parquet").collect()
+    assert np.mean([got[r.doc_id].kept == bool(r.quality) for r in labels]) > 0.97
+    assert np.mean([got[r.doc_id].kept for r in labels if r.quality]) > 0.99
+    kept = quality.without_junk(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
+
+
+def test_quality_odd_rows(odd, odd_rows, none):
+    rows = quality.classify(odd).collect()
+    assert len(rows) == len(odd_rows) and all(not r.kept and r.score == 0 for r in rows if r.doc_id in (2, 3, 4))
+    assert quality.classify(none).count() == 0 and quality.without_junk(none).count() == 0
+
+
+# --- languages ---------------------------------------------------------------------------
+
+
+def test_windows_cover_texts():
+    rng = random.Random(1)
+    raw = [rng.randbytes(n) for n in (1, 3, 255, 256, 257, 509, 510, 4000)]
+    size = np.array([len(r) for r in raw])
+    w, owner = langid.cut(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+    for i, r in enumerate(raw):
+        mine, back = w[owner == i], b""
+        for k, row in enumerate(mine):
+            back = back[: k * (langid.WINDOW - langid.OVERLAP)] + row.tobytes()
+        assert back[: len(r)] == r and not any(back[len(r) :])
+
+
+def test_tables_equal_the_plain_network():
+    rng = np.random.default_rng(1)
+    net = langid.train(rng.integers(0, 256, (64, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 64), ["a", "b", "c"], epochs=1)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    pooled = []
+    for kernel, bias in zip(net.conv, net.bias, strict=True):
+        w = len(kernel)
+        z = np.stack([sum(net.embed[x[:, i + j]] @ kernel[j] for j in range(w)) for i in range(langid.WINDOW - w + 1)])
+        pooled.append(z.max(0) + bias)
+    s = np.maximum(np.concatenate(pooled, 1), 0) @ net.dense + net.offset
+    p = np.exp(s - s.max(1, keepdims=True))
+    assert np.allclose(langid.Scorer(net)(x), p / p.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    got = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    assert np.mean([got[d].lang_pred == true[d] for d in got if got[d].held_out]) > 0.95
+
+
+def test_language_odd_rows(spark, odd, odd_rows, none):
+    assert {r.lang_pred for r in langid.language_id(odd).collect()} == {"und"}  # nothing to learn from
+    taught = frame(spark, [(i, t, "en" if i % 2 else "xx") for i, t in ((i, "the and of " * 5 if i % 2 else "zq xj kv " * 5) for i in range(30))] + [(100, None, "en"), (101, "123 !", "en"), (None, "the and of", None)])
+    got = {r.doc_id: r for r in langid.language_id(taught).collect()}
+    assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].score == 0 and got[None].held_out is False
+    assert langid.language_id(none).count() == 0
+
+
+# --- pipeline ----------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from tests.llm.test_copies import dedup_brute, jaccard_brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        assert docs.columns == before.columns and docs.dtypes == before.dtypes
+        rows = [(r.doc_id, r.text) for r in before.collect()]
+        kept[name] = {r.doc_id for r in docs.collect()}
+        if name == "exact dedup":
+            assert kept[name] == {r[0] for r in dedup_brute(rows) if r[3]}
+        if name == "near duplicates":
+            assert kept[name] == {d for d, _, c in jaccard_brute(rows, 5, 80) if d == c}
+        if name == "pii":
+            assert kept[name] == kept["near duplicates"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == kept["pii"]
+    whole = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed)
