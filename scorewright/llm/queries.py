@@ -69,7 +69,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _license_sql() -> str:
+    """The scan in SQL: sentences by splitting, identifiers by a map, one step per rule."""
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    known = ", ".join(f"{text(n)}: {text(i)}" for n, i in license_scan._known().items())
+    flat = f"regexp_replace(coalesce(text, ''), {text(license_scan._WRAP)}, ' ' || chr(92) || '1', 'g')"
+    for inner, shown in license_scan._INNER:
+        flat = f"regexp_replace({flat}, {text(inner)}, {text(shown)}, 'g')"
+    steps, last = [], "r0"
+    for i, (name, run) in enumerate(license_scan.RULES, 1):
+        pattern = text("|" + "||".join(run) + "|")
+        steps.append(
+            f"r{i} AS (SELECT doc_id, ids, replace(rest, {pattern}, '|#|') AS rest, CASE WHEN contains(rest, {pattern}) AND NOT list_contains(found, {text(name)})"
+            f" THEN list_append(found, {text(name)}) ELSE found END AS found FROM {last})"
+        )
+        last = f"r{i}"
+    return f"""
+        WITH parts AS (
+            SELECT doc_id, list_transform(string_split_regex({flat}, {text(license_scan._END)}), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS p
+            FROM documents
+        ), named AS (
+            SELECT doc_id, list_filter(list_transform(p, lambda x: MAP {{{known}}}[x]), lambda x: x IS NOT NULL) AS ids FROM parts
+        ), r0 AS (
+            SELECT doc_id, ids, '|' || array_to_string(list_transform(ids, lambda x: x || '|'), '|') AS rest, CAST([] AS VARCHAR[]) AS found FROM named
+        ), {", ".join(steps)}
+        SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses FROM {last}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), grams AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b USING (g) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.c
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id
+        FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id, n
+    """,
     "op2_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,

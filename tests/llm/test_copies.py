@@ -19,8 +19,9 @@ from tests.llm.conftest import frame
 SF = "/root/testdata/sf0.001"
 
 
-def test_dedup_equals_sql(spark):
-    same(QUERIES["op2_exact_dedup"](spark, SF), SF, ORACLE_SQL["op2_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_ngram_jaccard"])
+def test_query_equals_sql(spark, name):
+    same(QUERIES[name](spark, SF), SF, ORACLE_SQL[name])
 
 
 def dedup_brute(rows):

@@ -65,6 +65,13 @@ def license_brute(text):
     return len(ids), ",".join(ids), ",".join(dict.fromkeys(out))
 
 
+def test_license_equals_sql(spark):
+    from scorewright.llm.queries import ORACLE_SQL, QUERIES
+    from tests.compare import same
+
+    same(QUERIES["op3_license_scan"](spark, SF1), SF1, ORACLE_SQL["op3_license_scan"])
+
+
 def test_license_query(spark, odd, odd_rows, none):
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     got = sorted(map(tuple, license_scan.license_scan(docs).collect()))
