@@ -142,7 +142,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.alias("qid"),
         (F.col("event_id") % 8).alias("sheet"),
         F.col("event_type").alias("judge"),
-        (0.8 * q / 23 + 0.2 * F.col("value") / 500).alias("p"),
+        (0.8 * q / 23 + 0.2 * F.col("value") / 499.7).alias("p"),
         (q % 4).alias("stratum"),
         (F.length("event_type") % 2).cast("string").alias("jfam"),
         (F.col("event_id") % 2).cast("string").alias("wfam"),
@@ -155,7 +155,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STUDY_SQL = """
 study AS (
-    SELECT user_id % 24 AS qid, event_id % 8 AS sheet, event_type AS judge, 0.8 * (user_id % 24) / 23 + 0.2 * value / 500 AS p,
+    SELECT user_id % 24 AS qid, event_id % 8 AS sheet, event_type AS judge, 0.8 * (user_id % 24) / 23 + 0.2 * value / 499.7 AS p,
            (user_id % 24) % 4 AS stratum, CAST(length(event_type) % 2 AS VARCHAR) AS jfam, CAST(event_id % 2 AS VARCHAR) AS wfam, event_id % 97 AS len,
            row_number() OVER (PARTITION BY user_id % 24, event_id % 8, event_type ORDER BY ts, event_id) AS rep
     FROM events

@@ -186,7 +186,7 @@ def _scores_sql(det: bool, cost: str = "secs", per_question: bool = False) -> st
     )"""
 
 
-_SCORE_COLUMNS = "entry_id, papers, eligible, round(awarded, 6) AS awarded, round(covered_max, 6) AS covered_max, round(micro, 6) AS micro, round(macro, 6) AS macro, round(cost, 4) AS cost, round(CASE WHEN lo = hi AND lo >= 2 THEN 100 * d / covered_max END, 6) AS spread"
+_SCORE_COLUMNS = "entry_id, papers, eligible, round(awarded, 6) AS awarded, round(covered_max, 6) AS covered_max, round(micro, 6) AS micro, round(macro, 6) AS macro, round(cost, 7) AS cost, round(CASE WHEN lo = hi AND lo >= 2 THEN 100 * d / covered_max END, 6) AS spread"
 
 
 def _scores(spark: SparkSession, sf_dir: str, det: bool = False, per_question: bool = False) -> DataFrame:
@@ -195,7 +195,7 @@ def _scores(spark: SparkSession, sf_dir: str, det: bool = False, per_question: b
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return _rounded(df.drop("questions"), "awarded", "covered_max", "micro", "macro", "spread").withColumn("cost", F.round("cost", 4))
+    return _rounded(df.drop("questions"), "awarded", "covered_max", "micro", "macro", "spread").withColumn("cost", F.round("cost", 7))
 
 
 @query(f"WITH {_scores_sql(False)} SELECT {_SCORE_COLUMNS} FROM scores JOIN dev USING (entry_id)")
@@ -209,9 +209,9 @@ def leaderboard_det_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_scores(spark, sf_dir, det=True))
 
 
-@query(f"WITH {_scores_sql(False, per_question=True)} SELECT entry_id, round(cost, 4) AS cost, CAST(papers * 11 AS BIGINT) AS questions FROM scores")
+@query(f"WITH {_scores_sql(False, per_question=True)} SELECT entry_id, round(cost, 7) AS cost, CAST(papers * 11 AS BIGINT) AS questions FROM scores")
 def leaderboard_cost_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, per_question=True).select("entry_id", F.round("cost", 4).alias("cost"), F.col("questions").cast("bigint").alias("questions"))
+    return _scores(spark, sf_dir, per_question=True).select("entry_id", F.round("cost", 7).alias("cost"), F.col("questions").cast("bigint").alias("questions"))
 
 
 @query(f"WITH {_scores_sql(False)} SELECT entry_id, row_number() OVER (ORDER BY coalesce(round(micro, 9), -1) DESC, entry_id) AS rank FROM scores WHERE eligible")
