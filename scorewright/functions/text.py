@@ -171,3 +171,8 @@ def effort_rank(effort: Column) -> Column:
 def floor5(x: Column) -> Column:
     """The multiple of five below, not under 0."""
     return F.greatest(F.lit(0.0), F.floor(x / 5) * 5.0)
+
+
+def default_entry_id(model: Column, effort: Column) -> Column:
+    """Slug of model and effort; without an effort it is 'default'."""
+    return slugify(F.concat_ws("-", model, F.coalesce(effort, F.lit("default"))))

@@ -53,6 +53,20 @@ def read_runs(spark: SparkSession, path: str, model: str | None = None) -> DataF
     return rows if model is None else rows.where(F.col("model") == model)
 
 
+GRADING = (
+    "exam_id string, questions map<string, struct<question_id: string, max_points: double, min_points: double, "
+    "rule: struct<kind: string, correct: string, ratio_by_errors: array<double>>>>"
+)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of all grading.json files below ``path``: exam_id, question_id, kind, points, options, ratios."""
+    spec = whole_json(spark, path, GRADING, "grading.json").select("exam_id", F.explode("questions").alias("question_id", "g"))
+    # the key of a choice is a list, that of a true-false rule a boolean
+    correct = F.when(F.col("g.rule.correct").startswith("["), F.from_json("g.rule.correct", "array<string>"))
+    return spec.select("exam_id", "question_id", "g.rule.kind", "g.max_points", "g.min_points", correct.alias("correct"), F.col("g.rule.ratio_by_errors").alias("ratios"))
+
+
 def read_reports(spark: SparkSession, path: str, name: str = "*.grade.json") -> DataFrame:
     """One row per question of every grade report."""
     report = whole_json(spark, path, REPORT, name)

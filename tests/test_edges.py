@@ -80,3 +80,26 @@ def test_stream(spark, tmp_path):
     assert {(r.question_id, r.awarded) for r in now.collect()} == {("q1", 1.0), ("q2", 2.0), ("q3", 2.0)}
     assert board.board(now).collect()[0].awarded == 5
     assert {(r.start.hour, r.questions) for r in board.windowed_progress(now).collect()} == {(1, 2), (2, 1)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scorewright import __main__ as cli
+    from tests import fixtures as X
+
+    names = ("q1", "q2", "q3", "q4", "q5", "q6.a", "q6.b", "q7")
+    kinds = ("choice", "choice", "true_false", "fill_in_blank", "matching", "judge", "judge", "judge")
+    keys = {"q1": ["B"], "q2": ["A", "C"], "q3": True}
+    spec = {q: {"question_id": q, "max_points": 1, "rule": {"kind": k} | ({"correct": keys[q]} if q in keys else {})} for q, k in zip(names, kinds, strict=True)}
+    (tmp_path / "exam.json").write_text(X.exam())
+    (tmp_path / "grading.json").write_text(json.dumps({"exam_id": "tiny", "questions": spec}, indent=1))
+    assert cli.main(["validate", str(tmp_path)]) == 0
+    spec["q1"]["rule"]["correct"] = ["Z"]
+    del spec["q7"]
+    (tmp_path / "grading.json").write_text(json.dumps({"exam_id": "tiny", "questions": spec}))
+    assert cli.main(["validate", str(tmp_path)]) == 1
+    assert set(capsys.readouterr().out.split("\n")) >= {"tiny: no rule: q7", "tiny: unknown option: q1"}
+    row = {"model": "lab:m", "slug": "m", "run_index": 1, "status": "ok", "awarded": 4.0, "covered_max": 8.0}
+    (tmp_path / "bench.json").write_text(json.dumps({"exam_id": "tiny", "effort": "low", "rows": [row]}))
+    assert cli.main(["board", str(tmp_path)]) == 0 and cli.main(["runs", str(tmp_path)]) == 0
+    out = capsys.readouterr().out
+    assert "lab-m-low" in out and "50.0" in out
