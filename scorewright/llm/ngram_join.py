@@ -11,7 +11,9 @@
    many classes is dealt over tiles of bounded size by size band and hash.
 4. Clusters meet in tiles again, now with their sorted shingle arrays: bitmaps as long
    as the sets bound the overlap, then sorted-array intersection decides exactly.
-   Pairs that are connected already need no decision.  Verified links give components.
+   Pairs that are connected already need no decision.  A cluster too large for a tile is
+   first dealt twice at random, which joins most of it; then only rows outside its largest
+   component meet the others.  Verified links give components.
 """
 
 from __future__ import annotations
@@ -313,14 +315,20 @@ def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame
 # --- exact decision ----------------------------------------------------------------
 
 
-def exact_links(sets: list[np.ndarray], percent: int, block: int = 32) -> list[tuple[int, int]]:
-    """Similar pairs of a tile, without those whose ends are connected already; sets are in order of size."""
+def exact_links(sets: list[np.ndarray], percent: int, known: list | None = None, block: int = 32) -> list[tuple[int, int]]:
+    """Similar pairs of a tile, without those whose ends are connected already; sets are in order of size.
+
+    ``known``: a component of each set from before, or None.
+    """
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     words = max(1, bitmap_words(int(np.median(n)), 256))
     while words > 1 and words * 64 > 4 * n.max():
         words //= 2
     bits = np.stack([parity_bitmap(x, words) for x in sets])
     label = np.arange(len(sets))
+    if known:
+        first: dict = {}
+        label = np.array([i if c is None else first.setdefault(c, i) for i, c in enumerate(known)])
     out = []
     low = np.searchsorted(n, -(-percent * n // 100))  # 100 * smaller >= percent * larger
     for j in range(1, len(sets)):
@@ -350,38 +358,70 @@ def exact_links(sets: list[np.ndarray], percent: int, block: int = 32) -> list[t
 
 
 def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between digests of similar classes; ``members``: digest, doc_id, n, cluster."""
+    """Links (a, b) between digests of similar classes, enough to connect all that are; ``members``: digest, doc_id, n, cluster."""
+    c = F.col
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
-    tiled = salted_lookup(members, sizes, "cluster", "digest").select(
-        "doc_id", "digest", "n", tile_keys(F.col("cluster"), F.ceil(F.col("total") / TILE_SHINGLES), F.col("n"), F.col("digest"), percent).alias("tiles")
-    )
+    rows = written(salted_lookup(members, sizes, "cluster", "digest").withColumn("m", F.ceil(c("total") / TILE_SHINGLES)), "members")
+    width = -math.log(percent / 100 - 0.001)
+    place = F.log(c("n").cast("double")) / width
+    band = F.floor(place)
+
+    def deal(r: int) -> Column:  # bands lie half a band apart in the two deals
+        block = F.pmod(F.xxhash64("digest", F.lit(r)), c("m"))
+        return F.xxhash64("cluster", F.lit(r), F.floor(place + r / 2), block)
+
+    once = F.when(c("m") <= 1, F.array("cluster")).otherwise(F.array(deal(0), deal(1)))
+    links = written(tile_links(docs, rows.select("doc_id", "digest", "n", once.alias("tiles"), F.lit(None).cast("binary").alias("known")), words, percent), "links")
+    large = rows.where("m > 1")
+    if large.isEmpty():
+        return links
+    joined = components(links).select(c("node").alias("digest"), "component")
+    large = written(large.join(joined, "digest", "left").withColumn("known", F.coalesce("component", "digest")), "large")
+    parts = large.groupBy("cluster", "known").agg(F.sum("n").alias("part"))
+    base = parts.groupBy("cluster").agg(F.max_by("known", F.struct("part", "known")).alias("base"), F.max("part").alias("most"), F.count("*").alias("parts"))
+    rest = salted_lookup(large, base.where("parts > 1"), "cluster", "digest")
+    # the largest component's rows (i of m_b blocks) meet the other rows (j of m_s blocks), and those each other
+    m_b, m_s = F.ceil(c("most") / TILE_SHINGLES), F.ceil((c("total") - c("most")) / TILE_SHINGLES)
+    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
+    upto = lambda m: F.sequence(F.lit(0).cast("long"), m - 1)
+    across = lambda low, i, high, j: F.xxhash64("cluster", F.lit("across"), low, i, high, j)
+    i, j = F.pmod(F.xxhash64("digest", F.lit("i")), m_b), F.pmod(F.xxhash64("digest", F.lit("j")), m_s)
+    inner = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_s), lambda y: across(band, i, band + d, y))))
+    outer = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_b), lambda x: across(band + d, x, band, j))))
+    outer = F.concat(outer, tile_keys(F.xxhash64("cluster", F.lit("others")), m_s, c("n"), c("digest"), percent))
+    tiles = F.when(c("known") == c("base"), inner).otherwise(outer)
+    return links.unionByName(tile_links(docs, rest.select("doc_id", "digest", "n", tiles.alias("tiles"), "known"), words, percent))
+
+
+def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links inside tiles; ``tiled``: digest, doc_id, n, known, tiles (array of keys)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    texts = texts.join(tiled.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles")
+    texts = texts.join(tiled.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles", "known")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=SLICE):
             rows = []
             found = shingle_sets(texts_of(part), words)
-            for x, digest, tiles in zip(found, part.column("digest").to_pylist(), part.column("tiles").to_pylist(), strict=True):
+            for x, digest, tiles, known in zip(found, *(part.column(c).to_pylist() for c in ("digest", "tiles", "known")), strict=True):
                 if set_digest(x) == digest:  # else another text of a repeated doc_id
-                    rows += [(t, len(x), digest, x.tobytes()) for t in tiles]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tile", "n", "digest", "shingles"])
+                    rows += [(t, len(x), digest, known, x.tobytes()) for t in tiles]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tile", "n", "digest", "known", "shingles"])
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "tile", 1):
             key = t.column("tile").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
-            digest, raw = t.column("digest").to_pylist(), t.column("shingles").to_pylist()
+            digest, known, raw = (t.column(c).to_pylist() for c in ("digest", "known", "shingles"))
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
                 at = [i for i in range(a, b) if i == a or digest[i] != digest[i - 1]]
-                pairs = exact_links([np.frombuffer(raw[i], np.uint64) for i in at], percent) if len(at) > 1 else []
+                pairs = exact_links([np.frombuffer(raw[i], np.uint64) for i in at], percent, [known[i] for i in at]) if len(at) > 1 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest[at[i]] for i, _ in pairs], pa.binary()), pa.array([digest[at[j]] for _, j in pairs], pa.binary())], ["a", "b"]
                 )
 
-    rows = texts.mapInArrow(sets, "tile long, n int, digest binary, shingles binary")
+    rows = texts.mapInArrow(sets, "tile long, n int, digest binary, known binary, shingles binary")
     return rows.repartition("tile").sortWithinPartitions("tile", "n", "digest").mapInArrow(links, "a binary, b binary")
 
 

@@ -110,8 +110,9 @@ def near_copies(n=140, seed=2):
     return rows
 
 
-def test_jaccard_with_tiny_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
+@pytest.mark.parametrize("size", [90, 300, 1500])
+def test_jaccard_with_tiny_tiles(spark, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", size)
     rows = near_copies()
     assert sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows)).collect())) == jaccard_brute(rows, 4, 85)
 
