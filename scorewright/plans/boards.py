@@ -123,13 +123,12 @@ def board_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("entry_id", F.row_number().over(Window.orderBy(results.board_key(), "entry_id")).cast("bigint").alias("rank"))
 
 
-@query(
-    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 5 <> 1 OR c_custkey % 3 = 0"
-)
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_acctbal, c_acctbal) AS balance FROM customer FULL JOIN supplier ON s_suppkey = c_custkey")
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
-    new = c.where("c_custkey % 3 = 0").withColumn("balance", F.col("balance") + 1)
-    return results.upsert(c.where("c_custkey % 5 <> 1"), new, "c_custkey")
+    """Suppliers put over customers by key."""
+    old = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    new = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return results.upsert(old, new, "id")
 
 
 @query("SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -175,11 +174,11 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores_sql(det: bool, cost: str = "secs", per_question: bool = False) -> str:
     a, m = ("da", "dm") if det else ("da + ja", "dm + jm")
-    s = "det_awarded" if det else "det_awarded + judge_awarded"
+    s = "da" if det else "da + ja"
     chosen = "SELECT subset FROM papers GROUP BY subset HAVING max(dm) > 0" if det else "SELECT DISTINCT subset FROM papers"
     price = "sum(secs) / (count(*) * 11)" if per_question else "sum(secs)"
     return f"""{A.PAPERS_SQL}, chosen AS ({chosen}), sat AS (SELECT * FROM papers WHERE ok_runs > 0 AND subset IN (FROM chosen)), totals AS (
-        SELECT entry_id, sample, sum({s}) AS t FROM nth WHERE sample <= 3 AND subset IN (FROM chosen) GROUP BY entry_id, sample
+        SELECT entry_id, sample, sum({s}) AS t FROM nth WHERE subset IN (FROM chosen) GROUP BY entry_id, sample
     ), dev AS (SELECT entry_id, stddev_samp(t) AS d FROM totals GROUP BY entry_id), scores AS (
         SELECT entry_id, count(*) AS papers, count(*) = (SELECT count(*) FROM chosen) AS eligible, sum({a}) AS awarded, sum({m}) AS covered_max, 100 * sum({a}) / nullif(sum({m}), 0) AS micro,
                avg(100 * ({a}) / nullif({m}, 0)) AS macro, {price} AS cost, min(ok_runs) AS lo, max(ok_runs) AS hi FROM sat GROUP BY entry_id

@@ -109,37 +109,38 @@ def grade_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """Rules of three kinds over parts, sheets of suppliers, and needs; text-only takers are those with an odd id."""
+    """Twenty exams over all parts; every supplier sits one of them; text-only takers are those with an odd id."""
     q = F.col("question_id")
+    exam = lambda c: (c % 20).cast("string").alias("exam_id")
     rules = A.rules(spark, sf_dir).select(
-        F.lit("e").alias("exam_id"), q.cast("string").alias("question_id"), F.concat(F.lit("s"), (q % 5).cast("string")).alias("section_id"),
+        exam(q), q.cast("string").alias("question_id"), F.concat(F.lit("s"), (q % 5).cast("string")).alias("section_id"),
         F.when(q % 11 == 0, "judge").otherwise("choice").alias("kind"), "max_points", "min_points", "correct", F.lit(None).cast("boolean").alias("correct_bool"),
         F.col("partial").alias("partial_credit"), F.col("penalty").alias("wrong_penalty"), "negative", F.lit(None).cast("array<double>").alias("ratios"),
         F.lit(None).cast("array<struct<id: string, accepted: array<string>, weight: double>>").alias("blanks"), F.lit(None).cast("double").alias("tolerance"),
         F.lit(False).alias("relative"), F.lit(False).alias("all_or_nothing"), F.lit(None).cast("map<string,string>").alias("pairs"),
     )
     answers = A.picks(spark, sf_dir).select(
-        F.col("taker").cast("string").alias("run_id"), F.lit("e").alias("exam_id"), q.cast("string").alias("question_id"),
+        F.col("taker").cast("string").alias("run_id"), exam(F.col("taker")), q.cast("string").alias("question_id"),
         F.when(q % 13 == 0, "essay").when(q % 4 == 0, "single_choice").otherwise("multiple_choice").alias("type"), "selected", F.lit(None).cast("boolean").alias("value"),
         F.lit(None).cast("map<string,string>").alias("blanks"), F.lit(None).cast("map<string,string>").alias("pairs"), F.lit("").alias("text"),
     )
     s = F.col("s_suppkey")
-    runs = A.table(spark, sf_dir, "supplier").where(s < 40).select(
-        s.cast("string").alias("run_id"), F.lit("e").alias("exam_id"), F.when(s % 2 == 1, F.array(F.lit("text"))).otherwise(F.array(F.lit("image"), F.lit("text"))).alias("capabilities"), F.concat(F.lit("m"), (s % 4).cast("string")).alias("model")
+    runs = A.table(spark, sf_dir, "supplier").select(
+        s.cast("string").alias("run_id"), exam(s), F.when(s % 2 == 1, F.array(F.lit("text"))).otherwise(F.array(F.lit("image"), F.lit("text"))).alias("capabilities"), F.concat(F.lit("m"), (s % 4).cast("string")).alias("model")
     )
-    needs = A.rules(spark, sf_dir).where(q % 6 == 0).select(F.lit("e").alias("exam_id"), q.cast("string").alias("question_id"), F.array(F.lit("image"), F.lit("text")).alias("modalities"))
+    needs = A.rules(spark, sf_dir).where(q % 3 == 0).select(exam(q), q.cast("string").alias("question_id"), F.array(F.lit("image"), F.lit("text")).alias("modalities"))
     judged = answers.where(F.col("question_id").cast("bigint") % 22 == 0).select("run_id", "question_id", F.lit(0.5).alias("awarded"))
     return rules, answers, runs, needs, judged
 
 
 _LADDER_SQL = A.SQL + """, res AS (
     SELECT s.s_suppkey AS run, r.question_id AS q, r.question_id % 5 AS section, r.high,
-           CASE WHEN c.sel IS NULL AND s.s_suppkey % 2 = 1 AND r.question_id % 6 = 0 THEN 'skipped'
+           CASE WHEN c.sel IS NULL AND s.s_suppkey % 2 = 1 AND r.question_id % 3 = 0 THEN 'skipped'
                 WHEN c.sel IS NULL THEN 'unanswered'
                 WHEN r.question_id % 11 = 0 AND r.question_id % 22 = 0 THEN 'judge'
                 WHEN r.question_id % 11 = 0 THEN 'error'
                 WHEN r.question_id % 13 = 0 THEN 'error' ELSE 'deterministic' END AS mode, c.points
-    FROM (SELECT * FROM supplier WHERE s_suppkey < 40) s CROSS JOIN rules r LEFT JOIN scored c ON c.taker = s.s_suppkey AND c.question_id = r.question_id
+    FROM supplier s JOIN rules r ON r.question_id % 20 = s.s_suppkey % 20 LEFT JOIN scored c ON c.taker = s.s_suppkey AND c.question_id = r.question_id
 ), graded AS (
     SELECT *, CASE mode WHEN 'judge' THEN 0.5 WHEN 'deterministic' THEN points ELSE 0.0 END AS awarded FROM res
 )"""
@@ -156,7 +157,7 @@ def grade_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).groupBy("run_id", "mode").agg(F.count("*").alias("questions"), F.round(F.sum("awarded"), 6).alias("awarded"))
 
 
-@query(f"WITH {_LADDER_SQL} SELECT CAST(run AS VARCHAR) AS run_id, 'e' AS exam_id, 's' || section AS section_id, round(sum(awarded), 6) AS awarded, round(sum(high), 6) AS max_points FROM graded GROUP BY run, section")
+@query(f"WITH {_LADDER_SQL} SELECT CAST(run AS VARCHAR) AS run_id, CAST(run % 20 AS VARCHAR) AS exam_id, 's' || section AS section_id, round(sum(awarded), 6) AS awarded, round(sum(high), 6) AS max_points FROM graded GROUP BY run, section")
 def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grading.section_totals(results(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in ("awarded", "max_points")})
@@ -174,25 +175,28 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("awarded", "total_points", "covered_max", "percentage", "covered_percentage")})
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS run_id, CAST(l_partkey AS VARCHAR) AS question_id FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)")
+@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS run_id, CAST(l_partkey AS VARCHAR) AS question_id FROM lineitem WHERE l_partkey % 20 <> l_suppkey % 20 OR l_partkey NOT IN (SELECT p_partkey FROM part)")
 def unknown_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, answers, *_ = _sheets(spark, sf_dir)
-    return grading.unknown_answers(answers, rules.where(F.col("question_id").cast("bigint") % 9 != 0)).select("run_id", "question_id")
+    return grading.unknown_answers(answers, rules).select("run_id", "question_id")
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS run_id, CASE WHEN s_suppkey % 4 = 1 THEN 'judges itself' END AS warning FROM supplier WHERE s_suppkey < 40 AND s_suppkey % 4 = 1 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'one judge' FROM supplier WHERE s_suppkey < 40")
+@query(
+    "SELECT CAST(s_suppkey AS VARCHAR) AS run_id, 'judges itself' AS warning FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey % 20 % 2 = 1 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'one judge' FROM supplier WHERE s_suppkey % 20 % 2 = 1"
+)
 def self_judging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd exams have m1 as their only judge, the others two that take none."""
     runs = _sheets(spark, sf_dir)[2]
-    judges = spark.createDataFrame([("e", "m1")], "exam_id string, judge string")
+    judges = spark.createDataFrame([(str(e), j) for e in range(20) for j in (["m1"] if e % 2 else ["x", "y"])], "exam_id string, judge string")
     return grading.self_judging(runs, judges)
 
 
 # --- text ---------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(text, '^[\t\n\x0b\f\r ]+|[\t\n\x0b\f\r ]+$', '', 'g'), '[\t\n\x0b\f\r ]+', ' ', 'g')))) AS sha, length(text) AS n FROM documents WHERE text ~ '^[\x00-\x7f]*$'")
+@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(text, '^[\t\n\x0b\f\r ]+|[\t\n\x0b\f\r ]+$', '', 'g'), '[\t\n\x0b\f\r ]+', ' ', 'g')))) AS sha, length(text) AS n FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    d = A.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(T.normalize_ascii(F.col("text")), 256).alias("sha"), F.length("text").cast("bigint").alias("n"))
 
 
