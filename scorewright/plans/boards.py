@@ -137,12 +137,12 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'gsat' WHEN 1 THEN 'gsat-115' WHEN 2 THEN 'gsat-115-math-a' ELSE 'gsat-x-math' END AS subset FROM part)
-    SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN 'gsat' END AS exam, CASE WHEN p_partkey % 4 = 2 THEN '115' END AS year, CASE p_partkey % 4 WHEN 2 THEN 'math-a' WHEN 3 THEN 'math' ELSE subset END AS short FROM s"""
+    """WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mock' WHEN 1 THEN 'mock-115' WHEN 2 THEN 'mock-115-math-a' ELSE 'mock-x-math' END AS subset FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN 'mock' END AS exam, CASE WHEN p_partkey % 4 = 2 THEN '115' END AS year, CASE p_partkey % 4 WHEN 2 THEN 'math-a' WHEN 3 THEN 'math' ELSE subset END AS short FROM s"""
 )
 def paper_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    s = A.table(spark, sf_dir, "part").withColumn("subset", F.when(k % 4 == 0, "gsat").when(k % 4 == 1, "gsat-115").when(k % 4 == 2, "gsat-115-math-a").otherwise("gsat-x-math"))
+    s = A.table(spark, sf_dir, "part").withColumn("subset", F.when(k % 4 == 0, "mock").when(k % 4 == 1, "mock-115").when(k % 4 == 2, "mock-115-math-a").otherwise("mock-x-math"))
     exam, year = results.paper_meta(F.col("subset"))
     return s.select("p_partkey", exam.alias("exam"), year.alias("year"), T.short_subject(F.col("subset")).alias("short"))
 
