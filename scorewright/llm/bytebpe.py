@@ -2,12 +2,15 @@
 
 The vocabulary and merge order come from a ``tokenizers`` JSON file; the merges
 themselves run in ``tiktoken``, which gives the same ids several times faster
-(the tests hold both libraries against each other).
+(the tests hold both libraries against each other).  Its split pattern runs out of stack
+on about a million whitespace characters in a row, so texts with a very long run go to
+``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -16,6 +19,8 @@ import numpy as np
 # Fixed value: the vocabulary's published split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 2
+#: Whitespace characters in a row from which a text goes to ``tokenizers``.
+LONG_RUN = 100_000
 
 
 def default_path() -> str:
@@ -44,6 +49,7 @@ class ByteBpe:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             if vocab[left + right] != 256 + i:
                 raise ValueError(f"{path}: ids do not follow the merge order")
+        self._path, self._library = path, None
         added = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
         ranks = {bytes(byte[c] for c in tok): i for tok, i in vocab.items() if tok not in added}
         self.vocab_size = max(max(vocab.values()), *(t["id"] for t in spec.get("added_tokens", [{"id": 0}]))) + 1
@@ -51,10 +57,20 @@ class ByteBpe:
             "byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
 
+    def _ids(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN or max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) < LONG_RUN:
+            return self._encode(text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+            self._library.encode_special_tokens = True  # their strings are ordinary text
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: Sequence[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts and the ``len(texts) + 1`` offsets; a null text is empty."""
         tail = [] if end_id is None else [end_id]
-        parts = [np.array(self._encode(t or "") + tail, np.uint32) for t in texts]
+        parts = [np.array(self._ids(t or "") + tail, np.uint32) for t in texts]
         offsets = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=offsets[1:])
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets

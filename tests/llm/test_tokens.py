@@ -74,6 +74,20 @@ def test_byte_pairs_equal_the_library(library):
         assert ids[off[i] : off[i + 1]].tolist() == [*library(t), 2]
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, " \t\u3000" * 400_000], ids=["spaces", "lines", "mixed"])
+@pytest.mark.parametrize("tail", ["word", "", "!"])
+def test_byte_pairs_of_long_whitespace(library, run, tail):
+    ids, off = bytebpe.encoder(bytebpe.default_path()).encode(["before", "it's" + run + tail, "after"])
+    assert ids[off[1] : off[2]].tolist() == [*library("it's" + run + tail), 2]
+    assert ids[: off[1]].tolist() == [*library("before"), 2] and ids[off[2] :].tolist() == [*library("after"), 2]
+
+
+@pytest.mark.parametrize("run", [" " * 99_998, "\n" * 99_998])
+def test_both_encoders_agree_below_the_long_run(library, run):
+    ids, _ = bytebpe.encoder(bytebpe.default_path()).encode([run + "word"])
+    assert ids.tolist() == [*library(run + "word"), 2]
+
+
 @pytest.mark.parametrize("lengths", [[], [1024], [1, 1023, 1024, 600, 500, 424], list(range(1, 400))])
 def test_sum_of_squares_places(lengths):
     lengths = np.array(sorted(lengths, reverse=True), np.int64)
