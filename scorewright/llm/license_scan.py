@@ -91,10 +91,31 @@ def _known() -> dict[str, str]:
     return {normalise(s): k for k, s in SENTENCES.items()}
 
 
+def wrapped_pattern(sentence: str) -> str:
+    """The words of a sentence, any of whose spaces may be one line break with comment marks.
+
+    Between words no sentence ends, unless the sentence itself has such a place.
+    """
+    inside, out = r"(?:[^A-Za-z0-9\n.!?:]|[.!?:](?!\s))", r"(?i)(?<![a-z0-9])"
+    for i, (word, gap) in enumerate(re.findall(r"([A-Za-z0-9]+)([^A-Za-z0-9]*)", sentence.rstrip(".:"))):
+        x = r"[^A-Za-z0-9\n]" if re.search(r"[.!?:]\s", gap) else inside
+        between = rf"(?=[^A-Za-z0-9]){x}*+(?:\n{x}*+)?" if re.search(r"\s", gap) else f"{x}++"
+        out += (word if i else f"({word})") + (between if gap else "")
+    return out + r"(?![A-Za-z0-9])"
+
+
+def unwrapped(text: Column) -> Column:
+    """The text with each known sentence on one line, longer ones first; the first word stays as it is."""
+    out = text
+    for s in sorted(SENTENCES.values(), key=len, reverse=True):
+        out = F.regexp_replace(out, wrapped_pattern(s), "$1 " + normalise(s).split(" ", 1)[1])
+    return F.when(F.contains(text, F.lit("\n")), out).otherwise(text)
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for kv in _known().items() for x in kv])
-    joined = F.regexp_replace(text, _WRAP, " $1")
+    joined = F.regexp_replace(unwrapped(text), _WRAP, " $1")
     # a sentence that itself holds a cut is known under the whole form only: ends inside it are hidden first
     for inner, shown in _INNER:
         joined = F.regexp_replace(joined, inner, shown)
@@ -104,8 +125,20 @@ def sentence_ids(text: Column) -> Column:
 
 # Ends of sentences inside known sentences, and what stands for them.
 _INNER = [(r"(?i)free software:\s", "free software "), (r"(?i)License, v\.\s2", "License, v 2")]
+
+
+def _cues() -> list[str]:
+    """Words of seven letters or more of which every known sentence holds one; the commonest first, then by name."""
+    left, out = [set(re.findall("[a-z]{7,}", normalise(s))) for s in SENTENCES.values()], []
+    while left:
+        words = sorted({w for s in left for w in s})
+        out.append(max(words, key=lambda w: sum(w in s for s in left)))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 #: No known sentence lacks all of these words, so other texts need no splitting.
-CUES = r"(?i)licen[sc]e|permission|redistribution|software|public domain|copyright"
+CUES = "(?i)" + "|".join(_cues())
 
 
 def apply_rules(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:

@@ -48,6 +48,28 @@ def test_license(spark, text, found):
     assert license_scan.license_scan(frame(spark, [(1, text)])).collect()[0].licenses == found
 
 
+@pytest.mark.parametrize("mark", ["\n", "\r\n", "\n# ", "\n   // "])
+def test_license_sentences_wrapped_at_every_space(spark, mark):
+    """Each known sentence whole, with one space a line break, and with all spaces line breaks."""
+    want, rows = {}, []
+    for name, s in license_scan.SENTENCES.items():
+        places = [m.start() for m in re.finditer(" ", s)]
+        for text in (s, *(s[:i] + mark + s[i + 1 :] for i in places), s.replace(" ", mark)):
+            want[len(rows)] = name
+            rows.append((len(rows), f"Foo bar.\n{text}\nMore text."))
+    got = {r.doc_id: r.sentence_ids for r in license_scan.license_scan(frame(spark, rows).repartition(4)).collect()}
+    assert {rows[k][1]: v for k, v in got.items() if v != want[k]} == {}
+
+
+@pytest.mark.parametrize("text", ["Released under the MIT.\nLicense.", "Released under the MIT\n\nLicense.", "Released under the MIT. License.", "It is Released under the\nMIT License.", "Released under the MIT\nLicense or so."])
+def test_license_other_breaks_still_cut(spark, text):
+    assert license_scan.license_scan(frame(spark, [(1, text)])).collect()[0].n_sentences == 0
+
+
+def test_license_cues_are_in_every_known_sentence():
+    assert all(re.search(license_scan.CUES, s) for s in license_scan.SENTENCES.values())
+
+
 def license_brute(text):
     text = re.sub(r"\n[ \t]*(?:[#*;%]+|//+)?[ \t]*([a-z(])", r" \1", text or "")
     for a, b in license_scan._INNER:
