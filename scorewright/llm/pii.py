@@ -6,8 +6,9 @@ script and case, separators, lengths, octet ranges and card check digits stay va
 given names change to names of the same gender and script.  A permutation maps
 different entities of a format to different surrogates, and the same entity always to
 the same one, in every document (coreference).  The distinct entities of all documents
-are then checked: two entities with one surrogate, or a surrogate that is another
-entity of the corpus, make the next key round be taken for all.
+are then checked: an entity whose surrogate is another entity of the corpus, or is taken
+already, draws again with the next key round until its surrogate is free.  The few that
+drew again come to their documents by a join.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from scorewright.llm.textops import empty_text, written
 
 KEY = "scorewright"
 KEY_ROUNDS = 6
+#: Rounds in which an entity draws in its own format, then rounds in which names and emails take a wider one.
+FORM_ROUNDS, WIDE_ROUNDS = 8, 16
 
 # Given names by script and gender; a name is replaced by another of its list.
 GIVEN = {
@@ -253,6 +256,8 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
 def choose_key(docs: DataFrame, key: str = KEY, rounds: int = KEY_ROUNDS) -> str:
     """The first key round without a collision among all distinct entities, else the one with fewest.
 
+    The operators do not rest on it: ``exceptions`` settles collisions entity by entity.
+
     Two entities never share a surrogate of one format; in a dense format, such as
     addresses when most occur, a surrogate may still be another real entity.
     """
@@ -267,6 +272,73 @@ def choose_key(docs: DataFrame, key: str = KEY, rounds: int = KEY_ROUNDS) -> str
     return best[1]
 
 
+def _word(key: Column, value: Column) -> Column:
+    """Twelve drawn letters."""
+    digest = _digest(key, F.lit(0), value)
+
+    def letter(i: int) -> Column:
+        letters = "aeiou" if i % 2 else "bcdfghjklmnpqrstvwxz"
+        return F.substr(F.lit(letters), (_draw(digest, F.lit(i), len(letters)) + 1).cast("int"), F.lit(1))
+
+    return F.concat(*map(letter, range(12)))
+
+
+def _wide(entity: Column, key: str) -> Column:
+    """Drawn letters in place of a name or an email whose own format has no free surrogate."""
+    word, kind = _word(F.lit(f"{key}/wide"), entity), kind_of(entity)
+    mail = F.concat(word, F.lit("@"), _word(F.lit(f"{key}/wide/domain"), entity), F.lit(".com"))
+    return F.when(kind == "name", F.initcap(word)).when(kind == "email", mail).otherwise(surrogate(entity, key))
+
+
+def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
+    """Entities whose surrogate of round 0 is not free, with one that is: entity, surrogate; None if there are none.
+
+    In each round the entities that are left draw a surrogate.  It is theirs unless it is
+    an entity of the corpus or was given before; of several entities that draw one, the
+    smallest takes it.  So no two entities share a surrogate and none is a real entity.
+    Entities that no round serves stop the query, with their number by kind.
+    """
+    spark = docs.sparkSession
+    found = written(docs.select(F.explode(entities(empty_text())).alias("entity")).distinct(), "entities")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, given, again = found.repartition(parts, "entity"), None, None
+    for r in range(FORM_ROUNDS + WIDE_ROUNDS):
+        drawn = (surrogate if r < FORM_ROUNDS else _wide)(F.col("entity"), f"{key}/{r}")
+        made = written(left.select("entity", drawn.alias("surrogate")), "surrogates")
+        taken = found.select(F.col("entity").alias("surrogate"))
+        taken = taken if given is None else taken.union(given.select("surrogate"))
+        free = made.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("entity").alias("entity"))
+        got = written(free.select("entity", "surrogate"), "given")
+        given = got if given is None else given.union(got)
+        if r:
+            again = got if again is None else again.union(got)
+        left = written(made.join(got, "entity", "left_anti").select("entity"), "left")
+        if not left.take(1):
+            return again
+    kinds = left.groupBy(kind_of(F.col("entity")).alias("kind")).count().orderBy("kind").collect()  # one row per kind
+    raise ValueError("no free surrogate for entities of the corpus: " + ", ".join(f"{k} {n}" for k, n in kinds))
+
+
+def _replacing(docs: DataFrame, key: str | None) -> tuple[DataFrame, Column]:
+    """``docs`` with column ``_found`` and what the entities of ``_found`` become.
+
+    What an entity that drew again becomes is the same in texts with the same entities,
+    so texts find it by these.
+    """
+    key, found = key or KEY, entities(F.col("text"))
+    with_found, again = docs.withColumn("_found", found), exceptions(docs, key)
+    if again is None:
+        return with_found, F.transform("_found", lambda e: surrogate(e, f"{key}/0"))
+    again = again.select(F.col("entity").alias("_entity"), "surrogate")
+    lists = docs.select(found.alias("_key")).where(F.size("_key") > 0).distinct()
+    per_list = lists.select("_key", F.explode(F.array_distinct("_key")).alias("_entity")).join(again, "_entity")
+    per_list = per_list.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_entity", "surrogate"))).alias("_again"))
+    # texts without entities match nothing; they are spread by their hash
+    spread = F.array(F.concat(F.lit("\0"), F.xxhash64("doc_id", "text").cast("string")))
+    met = with_found.withColumn("_key", F.when(F.size("_found") > 0, F.col("_found")).otherwise(spread)).join(per_list, "_key", "left")
+    return met, F.transform("_found", lambda e: F.coalesce(F.try_element_at(F.col("_again"), e), surrogate(e, f"{key}/0")))
+
+
 def _joined(text: Column, made: Column) -> Column:
     """The text with its entities, in order, replaced by ``made``."""
     parts = F.when(_has_name(text), F.split(text, ENTITY, -1)).otherwise(F.split(text, STRUCTURED, -1))
@@ -275,10 +347,9 @@ def _joined(text: Column, made: Column) -> Column:
 
 def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced; other columns, and null texts, stay as they are."""
-    key = key or choose_key(docs)
-    text, found = F.col("text"), entities(F.col("text"))
-    changed = F.when(F.size(found) > 0, _joined(text, F.transform(found, lambda e: surrogate(e, key)))).otherwise(text)
-    return docs.withColumn("text", changed)
+    met, made = _replacing(docs, key)
+    changed = F.when(F.size("_found") > 0, _joined(F.col("text"), made)).otherwise(F.col("text"))
+    return met.withColumn("text", changed).select(*docs.columns)
 
 
 def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -287,13 +358,12 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     A null text stays null with no entities; repeated rows give a row each; an empty
     table none; only doc_id and text are read.
     """
-    key = key or choose_key(docs)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", entities(F.col("text")).alias("found"))
-    made = F.transform("found", lambda e: surrogate(e, key))
-    none = F.coalesce(F.size("found") <= 0, F.lit(True))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found, made = _replacing(narrow, key)
+    none = F.coalesce(F.size("_found") <= 0, F.lit(True))
     return found.select(
         "doc_id",
         F.when(none, F.col("text")).otherwise(_joined(F.col("text"), made)).alias("text"),
-        F.when(none, F.lit(0)).otherwise(F.size("found")).cast("long").alias("n_entities"),
-        F.when(none, F.lit("")).otherwise(F.array_join(F.transform("found", kind_of), ",")).alias("kinds"),
+        F.when(none, F.lit(0)).otherwise(F.size("_found")).cast("long").alias("n_entities"),
+        F.when(none, F.lit("")).otherwise(F.array_join(F.transform("_found", kind_of), ",")).alias("kinds"),
     )
