@@ -41,7 +41,7 @@ def solve(questions: DataFrame, solver: Callable[[dict], dict], problems: Callab
 
 
 def judge(tasks: DataFrame, judges: DataFrame, ask: Callable[[str, dict], dict]) -> DataFrame:
-    """Verdicts of every judge (judges.judge, a handful) on every task (run_id, question_id, task JSON)."""
+    """Verdicts of every judge (judges.judge, any number) on every task (run_id, question_id, task JSON)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -54,7 +54,7 @@ def judge(tasks: DataFrame, judges: DataFrame, ask: Callable[[str, dict], dict])
                     out.append((r.run_id, r.question_id, r.judge, "error", None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["run_id", "question_id", "judge", "status", "total", "rationale", "error"])
 
-    every = tasks.select("run_id", "question_id", "task").join(F.broadcast(judges.select("judge").distinct().limit(1000)))
+    every = tasks.select("run_id", "question_id", "task").crossJoin(judges.select("judge").distinct())
     return every.mapInPandas(run, JUDGED)
 
 

@@ -103,3 +103,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["board", str(tmp_path)]) == 0 and cli.main(["runs", str(tmp_path)]) == 0
     out = capsys.readouterr().out
     assert "lab-m-low" in out and "50.0" in out
+
+
+def test_every_judge_gives_a_verdict(spark):
+    from scorewright.operators import seams
+
+    tasks = spark.createDataFrame([("r", "q", "{}")], "run_id string, question_id string, task string")
+    judges = spark.range(1200).selectExpr("cast(id % 1100 as string) AS judge")
+    got = seams.judge(tasks, judges, lambda judge, task: {"total": 1.0}).collect()
+    assert len(got) == 1100 and {r.judge for r in got} == {str(i) for i in range(1100)} and all(r.status == "ok" for r in got)
