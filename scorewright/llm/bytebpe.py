@@ -2,9 +2,10 @@
 
 The vocabulary and merge order come from a ``tokenizers`` JSON file; the merges
 themselves run in ``tiktoken``, which gives the same ids several times faster
-(the tests hold both libraries against each other).  Its split pattern runs out of stack
-on about a million whitespace characters in a row, so texts with a very long run go to
-``tokenizers`` itself.
+(the tests hold both libraries against each other).  Added tokens, such as ``<|endoftext|>``,
+are found in the text first and get their one id, as in ``tokenizers``.  The split pattern of
+``tiktoken`` runs out of stack on about a million whitespace characters in a row, so texts with
+a very long run go to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder; ``vocab_size`` counts special tokens, whose strings are ordinary text here."""
+    """Encoder with the ids of ``tokenizers`` for the same file and ``add_special_tokens=False``."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -50,21 +51,33 @@ class ByteBpe:
             if vocab[left + right] != 256 + i:
                 raise ValueError(f"{path}: ids do not follow the merge order")
         self._path, self._library = path, None
-        added = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: an added token takes in its surroundings, which this encoder does not know")
+        self._added = added
+        self._cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         ranks = {bytes(byte[c] for c in tok): i for tok, i in vocab.items() if tok not in added}
-        self.vocab_size = max(max(vocab.values()), *(t["id"] for t in spec.get("added_tokens", [{"id": 0}]))) + 1
+        self.vocab_size = max(*vocab.values(), *added.values()) + 1
         self._encode = tiktoken.Encoding(
             "byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
 
     def _ids(self, text: str) -> list[int]:
+        """Ids of a text: added tokens, leftmost first, and the ordinary text between them."""
+        out, at = [], 0
+        for m in self._cut.finditer(text) if self._cut else ():
+            out += self._ordinary(text[at : m.start()])
+            out.append(self._added[m.group()])
+            at = m.end()
+        return out + self._ordinary(text[at:]) if at else self._ordinary(text)
+
+    def _ordinary(self, text: str) -> list[int]:
         if len(text) < LONG_RUN or max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) < LONG_RUN:
             return self._encode(text)
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self._path)
-            self._library.encode_special_tokens = True  # their strings are ordinary text
         return self._library.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: Sequence[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:

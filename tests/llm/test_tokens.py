@@ -22,7 +22,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -74,6 +73,19 @@ def test_byte_pairs_equal_the_library(library):
         assert ids[off[i] : off[i + 1]].tolist() == [*library(t), 2]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "x <|endoftext|> y", " <|endoftext|><|endoftext|>z", "<|endoftext|", "<|<|endoftext|>|>", "a\n<|endoftext|>\nb's", "<|ENDOFTEXT|>", "x <|endoftext|>" + " " * 150_000 + "y<|endoftext|>"])
+def test_added_tokens_have_one_id(library, text):
+    ids, _ = bytebpe.encoder(bytebpe.default_path()).encode([text])
+    assert ids.tolist() == [*library(text), 2]
+    assert ids.tolist().count(50256) == text.count("<|endoftext|>")
+
+
+@pytest.mark.parametrize("char", [" ", "\n", "a", "7", "!", "日"])
+def test_two_million_equal_characters(library, char):
+    ids, off = bytebpe.encoder(bytebpe.default_path()).encode([char * 2_000_000, "after"])
+    assert ids[: off[1]].tolist() == [*library(char * 2_000_000), 2]
+
+
 @pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, " \t\u3000" * 400_000], ids=["spaces", "lines", "mixed"])
 @pytest.mark.parametrize("tail", ["word", "", "!"])
 def test_byte_pairs_of_long_whitespace(library, run, tail):
