@@ -13,21 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.textops import empty_text, written
+from scorewright.llm.graph import salts_for
+from scorewright.llm.textops import empty_text, take_rows, text_tag, written
 
 # Fixed value: the characters that normalisation deletes.
 DELETED = " \t\n\x0b\f\r"
-SALTS = 32
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text is the empty text.  The row with most code points stays, then the one
     with the smallest doc_id; a null doc_id loses against any other.  Rows that
     repeat the winning doc_id are all marked kept (the id is what identifies a row);
-    an empty table gives no rows; only doc_id and text are read.
+    an empty table gives no rows; only doc_id and text are read.  ``salts``: as many as keep
+    every salt of a group bounded, unless given.
     """
+    salts = salts or salts_for(docs.count())
     text = empty_text()
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -58,7 +60,22 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, one per group of equal texts."""
-    keep = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+def without_copies(docs: DataFrame, salts: int | None = None) -> DataFrame:
+    """One row of ``docs`` for each group of equal texts, with all its columns.
+
+    Null text is the empty text.  The row with most code points stays, then the one with the
+    smallest doc_id (null last), then the one whose text has the smallest digest; of rows that
+    repeat id and text one is taken.  An empty table gives no rows; columns of any name are kept.
+    """
+    salts = salts or salts_for(docs.count())
+    text = empty_text()
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), text_tag().alias("tag"), F.translate(text, DELETED, "").alias("norm")
+    ).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    salt = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(salts)).cast("int")
+    order = F.struct((-F.col("n_points")).alias("least"), F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    local = rows.groupBy("sha", salt.alias("salt"), "norm").agg(F.min(order).alias("best"))
+    best = local.groupBy("sha", "norm").agg(F.min("best").alias("best")).select("best.doc_id", "best.tag")
+    times = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag")).groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+    keep = best.alias("b").join(times.alias("t"), F.expr("b.doc_id <=> t.doc_id AND b.tag = t.tag"), "left")
+    return take_rows(docs, written(keep.select("b.doc_id", "b.tag", F.coalesce("n", F.lit(1)).alias("n")), "keep"))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from scorewright.llm.textops import written
 
 SALTS = 32
+#: A hot key's rows are dealt over so many salts that none has more rows than this, even if all rows have that key.
+SALT_ROWS = 1_000_000
+#: Rows of two numbers that are small enough to be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def salts_for(rows: int) -> int:
+    return max(SALTS, -(-rows // SALT_ROWS))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,35 +23,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, follows two hooks, and
     replaces the ends of all edges by their hooks; edges inside a component vanish, so
-    tables shrink from round to round.  Aggregation is partial before each shuffle.
+    tables shrink from round to round.  Aggregation is partial before each shuffle, and
+    joins with hooks are dealt over salts, as contraction makes hubs with many edges.
     """
     left = written(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges"
     )
-    hooks: list[DataFrame] = []
+    hooks: list[tuple[DataFrame, int]] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
+        n = hook.count()
         for _ in range(2):
             over = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-            hook = hook.join(over, "to").select("node", F.col("far").alias("to"))
+            hook = lookup(hook, over, n, "to", "node").select("node", F.col("far").alias("to"))
         hook = written(hook, "hooks")
-        hooks.append(hook)
+        hooks.append((hook, n))
         at_a = hook.select(F.col("node").alias("a"), F.col("to").alias("x"))
         at_b = hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        left = written(
-            left.join(at_a, "a").join(at_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(),
-            "edges",
-        )
+        left = lookup(lookup(left, at_a, n, "a", "b"), at_b, n, "b", "a")
+        left = written(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
     if not hooks:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = hooks[0].withColumnRenamed("to", "component")
-    for later in hooks[1:]:
+    out = hooks[0][0].withColumnRenamed("to", "component")
+    for later, n in hooks[1:]:
         nxt = later.select(F.col("node").alias("component"), F.col("to").alias("next"))
-        out = out.join(nxt, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        out = lookup(out, nxt, n, "component", "node", "left").select("node", F.coalesce("next", "component").alias("component"))
     return written(out, "components")
 
 
+def lookup(rows: DataFrame, table: DataFrame, n: int, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` of n rows, one per ``key``: broadcast if n is small, else written and salted."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    rows, table = written(rows, "rows"), written(table, "table")
+    return salted_lookup(rows, table, key, by, how, salts_for(rows.count()))
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined with ``table`` (one row per ``key``) without gathering a hot key's rows.
 

@@ -2,7 +2,8 @@
 
 1. Equal shingle sets are one class; all later steps see classes only.
 2. A class's rarest shingles, as many as a similar set must share one of, are its
-   keys (prefix filter); rarity comes from a sketch of counts over all documents.
+   keys (prefix filter); rarity comes from a sketch of counts over all documents, and the
+   classes that share a key are counted exactly.
 3. Classes that share a key meet in a tile.  A tile is ordered by set size, so that
    only sizes within the threshold are compared, and the number of differing bits of
    two hashed bitmaps bounds the overlap from above.  Tiles carry short bitmaps; pairs of
@@ -26,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from scorewright.llm.graph import components, salted_lookup
+from scorewright.llm.graph import components, salted_lookup, salts_for
 from scorewright.llm.shingles import shingle_sets
-from scorewright.llm.textops import slices, texts_of, written
+from scorewright.llm.textops import slices, take_rows, text_tag, texts_of, written
 
 #: Classes that share a key in one tile, and shingles of a cluster in one tile, about.
 TILE_ROWS = 4096
@@ -56,10 +56,10 @@ def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     """Counts of all documents' shingles by hash slot: ``slots`` numbers, whatever the input."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int32)
+        total = np.zeros(slots, np.int64)
         for part in slices(batches, max_bytes=SLICE):
             sets = shingle_sets(texts_of(part), words)
-            total += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.int32)
+            total += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         if total.any():
             rows = total.reshape(-1, SKETCH_BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "counts"])
@@ -76,7 +76,7 @@ def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
     out = np.zeros((slots // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
     for r in rows:
-        out[r["block"]] += np.frombuffer(r["counts"], np.int32)
+        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
     return out.ravel()
 
 
@@ -107,30 +107,31 @@ def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
 
 
-def set_digest(x: np.ndarray) -> bytes:
-    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+def set_digest(x: np.ndarray, check: np.ndarray) -> bytes:
+    """A digest of a set by both hashes of its shingles."""
+    return hashlib.blake2b(x.tobytes() + check.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, n int, digest binary, short binary, bitmap binary, tokens array<long>, tiles array<int>"
+SIGNED = "doc_id long, tag binary, n int, digest binary, short binary, bitmap binary, tokens array<long>"
 
 
 def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> DataFrame:
-    """Per document: set size, digest, bitmap, its prefix of rarest shingles and how many tiles each is dealt over."""
+    """Per document (doc_id, text, tag): set size, digest, bitmap and its prefix of rarest shingles."""
     slots = len(over)
     noise = 8 + 4 * int(math.sqrt(max(1.0, float(over.mean()))))
     level = np.where(over > noise, 1 + np.log2(np.maximum(over, 1) / noise), 0).astype(np.uint8)
-    tiles = np.minimum(1 + over // TILE_ROWS, 1 << 20).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((level, tiles))  # a fixed number of slots
+    shared = docs.sparkSession.sparkContext.broadcast(level)  # a fixed number of slots
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, tiles = shared.value
+        level = shared.value
         for part in slices(batches, max_bytes=SLICE):
-            sets = shingle_sets(texts_of(part), words)
-            sizes, digests, short, bitmaps, tokens, dealt = [], [], [], [], [], []
-            for x in sets:
+            checks: list[np.ndarray] = []
+            sets = shingle_sets(texts_of(part), words, checks)
+            sizes, digests, short, bitmaps, tokens = [], [], [], [], []
+            for x, check in zip(sets, checks, strict=True):
                 n = len(x)
                 sizes.append(n)
-                digests.append(set_digest(x))
+                digests.append(set_digest(x, check))
                 if not n:
                     short.append(b"")
                     bitmaps.append(b"")
@@ -142,24 +143,22 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
                 p = n - (-(-percent * n // 100)) + 1
                 rarest = np.argsort(level[slot], kind="stable")[:p]  # x is sorted, so ties go by hash
                 tokens.append(x[rarest])
-                dealt.append(tiles[slot[rarest]])
             off = np.concatenate([[0], np.cumsum([n and n - (-(-percent * n // 100)) + 1 for n in sizes])]).astype(np.int32)
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            many = np.concatenate(dealt) if dealt else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("tag"),
                     pa.array(sizes, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(short, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(off), pa.array(many)),
                 ],
-                ["doc_id", "n", "digest", "short", "bitmap", "tokens", "tiles"],
+                ["doc_id", "tag", "n", "digest", "short", "bitmap", "tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, SIGNED)
 
 
 # --- tiles -------------------------------------------------------------------------
@@ -294,11 +293,17 @@ def full_bitmaps_pass(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFr
     return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int, salts: int) -> DataFrame:
     """Edges (a, b) between nodes of classes that may be similar; with their ends' components they cover all such pairs."""
-    rows = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "tiles")).alias("x"))
-    keyed = rows.select("node", "n", F.explode(tile_keys(F.col("x.tokens"), F.col("x.tiles").cast("long"), F.col("n"), F.col("node"), percent)).alias("key"))
-    met = keyed.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1").drop("met")
+    rows = written(reps.select("node", "n", F.explode("tokens").alias("token")), "tokens")
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(salts)).cast("int")
+    # exact counts of a key's classes; its rows, dealt over salts, fetch them
+    pairs = rows.groupBy("token", salt.alias("salt")).agg(F.count("*").alias("k"))
+    shared = pairs.groupBy("token").agg(F.sum("k").alias("met")).where("met > 1")
+    shares = pairs.select("token", "salt").join(shared, "token")
+    met = rows.withColumn("salt", salt).join(shares, ["token", "salt"])
+    tiles_of = F.ceil(F.col("met") / TILE_ROWS)
+    met = met.select("node", "n", F.explode(tile_keys(F.col("token"), tiles_of, F.col("n"), F.col("node"), percent)).alias("key"))
     tiles = met.join(bits.select("node", "short"), "node").repartition("key").sortWithinPartitions("key", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +320,13 @@ def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame
 # --- exact decision ----------------------------------------------------------------
 
 
-def exact_links(sets: list[np.ndarray], percent: int, known: list | None = None, block: int = 32) -> list[tuple[int, int]]:
+def exact_links(
+    sets: list[np.ndarray], percent: int, known: list | None = None, block: int = 32, checks: list[np.ndarray] | None = None
+) -> list[tuple[int, int]]:
     """Similar pairs of a tile, without those whose ends are connected already; sets are in order of size.
 
-    ``known``: a component of each set from before, or None.
+    ``known``: a component of each set from before, or None.  ``checks``: second hashes of the
+    elements, which must agree as well, or None.
     """
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     words = max(1, bitmap_words(int(np.median(n)), 256))
@@ -344,8 +352,10 @@ def exact_links(sets: list[np.ndarray], percent: int, known: list | None = None,
         while len(near):
             part, near = near[:block], near[block:]
             flat = np.concatenate([sets[i] for i in part])
-            at = np.searchsorted(sets[j], flat)
-            hit = sets[j][np.minimum(at, n[j] - 1)] == flat
+            at = np.minimum(np.searchsorted(sets[j], flat), n[j] - 1)
+            hit = sets[j][at] == flat
+            if checks is not None:
+                hit &= checks[j][at] == np.concatenate([checks[i] for i in part])
             ends = np.cumsum(n[part])
             shared = np.diff(np.concatenate([[0], np.cumsum(hit)[ends - 1]]))
             for i in part[(100 + percent) * shared >= percent * (n[part] + n[j])].tolist():
@@ -357,11 +367,11 @@ def exact_links(sets: list[np.ndarray], percent: int, known: list | None = None,
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int, salts: int) -> DataFrame:
     """Links (a, b) between digests of similar classes, enough to connect all that are; ``members``: digest, doc_id, n, cluster."""
     c = F.col
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
-    rows = written(salted_lookup(members, sizes, "cluster", "digest").withColumn("m", F.ceil(c("total") / TILE_SHINGLES)), "members")
+    rows = written(salted_lookup(members, sizes, "cluster", "digest", salts=salts).withColumn("m", F.ceil(c("total") / TILE_SHINGLES)), "members")
     width = -math.log(percent / 100 - 0.001)
     place = F.log(c("n").cast("double")) / width
     band = F.floor(place)
@@ -379,7 +389,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     large = written(large.join(joined, "digest", "left").withColumn("known", F.coalesce("component", "digest")), "large")
     parts = large.groupBy("cluster", "known").agg(F.sum("n").alias("part"))
     base = parts.groupBy("cluster").agg(F.max_by("known", F.struct("part", "known")).alias("base"), F.max("part").alias("most"), F.count("*").alias("parts"))
-    rest = salted_lookup(large, base.where("parts > 1"), "cluster", "digest")
+    rest = salted_lookup(large, base.where("parts > 1"), "cluster", "digest", salts=salts)
     # the largest component's rows (i of m_b blocks) meet the other rows (j of m_s blocks), and those each other
     m_b, m_s = F.ceil(c("most") / TILE_SHINGLES), F.ceil((c("total") - c("most")) / TILE_SHINGLES)
     steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
@@ -400,11 +410,11 @@ def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> D
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=SLICE):
-            rows = []
-            found = shingle_sets(texts_of(part), words)
-            for x, digest, tiles, known in zip(found, *(part.column(c).to_pylist() for c in ("digest", "tiles", "known")), strict=True):
-                if set_digest(x) == digest:  # else another text of a repeated doc_id
-                    rows += [(t, len(x), digest, known, x.tobytes()) for t in tiles]
+            rows, checks = [], []
+            found = shingle_sets(texts_of(part), words, checks)
+            for x, y, digest, tiles, known in zip(found, checks, *(part.column(c).to_pylist() for c in ("digest", "tiles", "known")), strict=True):
+                if set_digest(x, y) == digest:  # else another text of a repeated doc_id
+                    rows += [(t, len(x), digest, known, x.tobytes() + y.tobytes()) for t in tiles]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tile", "n", "digest", "known", "shingles"])
@@ -416,7 +426,8 @@ def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> D
             digest, known, raw = (t.column(c).to_pylist() for c in ("digest", "known", "shingles"))
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
                 at = [i for i in range(a, b) if i == a or digest[i] != digest[i - 1]]
-                pairs = exact_links([np.frombuffer(raw[i], np.uint64) for i in at], percent, [known[i] for i in at]) if len(at) > 1 else []
+                both = [np.frombuffer(raw[i], np.uint64).reshape(2, -1) for i in at]
+                pairs = exact_links([x[0] for x in both], percent, [known[i] for i in at], checks=[x[1] for x in both]) if len(at) > 1 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest[at[i]] for i, _ in pairs], pa.binary()), pa.array([digest[at[j]] for _, j in pairs], pa.binary())], ["a", "b"]
                 )
@@ -425,41 +436,62 @@ def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> D
     return rows.repartition("tile").sortWithinPartitions("tile", "n", "digest").mapInArrow(links, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document.
+def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Signed documents; per class with shingles: digest, component (a digest that names it), least doc_id of it; and salts.
 
-    Null text and text without words have no shingle and are linked with nothing; their
-    component is their own doc_id.  Equal sets are linked.  A null doc_id counts as larger than
-    any other, so it names a component only alone; repeated rows give a row each; an empty table none;
-    only doc_id and text are read.
+    ``docs``: doc_id long, text, tag (anything that the caller wants back with each row).
     """
     n_docs = docs.count()
+    salts = salts_for(n_docs)
     slots = 1 << min(22, max(16, (4 * n_docs).bit_length()))
     over = excess(count_sketch(docs, words, slots))
     signed = written(signatures(docs, words, percent, over), "signatures")
     first_bytes = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     of = signed.where("n > 0").groupBy("digest")
     classes = written(of.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "short", "bitmap"))).withColumn("node", first_bytes), "classes")
-    reps = of.agg(*(F.first(c).alias(c) for c in ("n", "tokens", "tiles"))).withColumn("node", first_bytes)
-    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent))
+    reps = of.agg(*(F.first(c).alias(c) for c in ("n", "tokens"))).withColumn("node", first_bytes)
+    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent, salts))
     members = written(
         classes.join(clusters, "node").select("digest", "doc_id", "n", F.col("component").alias("cluster")), "members"
     )
-    linked = components(verified_links(docs, members, words, percent))
-    linked = linked.select(F.col("node").alias("digest"), "component")
-    named = classes.select("digest", "doc_id").join(linked, "digest")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_class = classes.select("digest", F.col("doc_id").alias("own")).join(
-        salted_lookup(written(linked, "linked"), least, "component", "digest").select("digest", "least"), "digest", "left"
-    )
-    of_class = of_class.select("digest", F.coalesce("least", "own").alias("component_id"))
-    rows = salted_lookup(signed.where("n > 0").select("doc_id", "n", "digest"), of_class, "digest", "doc_id")
+    linked = components(verified_links(docs, members, words, percent, salts))
+    linked = written(linked.select(F.col("node").alias("digest"), "component"), "linked")
+    least = classes.select("digest", "doc_id").join(linked, "digest").groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = salted_lookup(linked, least, "component", "digest", salts=salts).select("digest", "component", "least")
+    of_class = classes.select("digest", F.col("doc_id").alias("own")).join(found, "digest", "left")
+    return signed, of_class.select("digest", F.coalesce("component", "digest").alias("component"), F.coalesce("least", "own").alias("least")), salts
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document.
+
+    Null text and text without words have no shingle and are linked with nothing; their
+    component is their own doc_id.  Equal sets are linked.  A null doc_id counts as larger than
+    any other, so it names a component only alone; repeated rows give a row each; an empty table none;
+    only doc_id and text are read.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("tag"))
+    signed, of_class, salts = linked_classes(narrow, words, percent)
+    some = signed.where("n > 0").select("doc_id", "n", "digest")
+    rows = salted_lookup(some, of_class.select("digest", F.col("least").alias("component_id")), "digest", "doc_id", salts=salts)
     rest = signed.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(rest)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with all their columns."""
-    found = jaccard_components(docs, words, percent)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One row of ``docs`` for each component, that with the smallest doc_id, with all its columns.
+
+    A null doc_id counts as larger than any other; rows of a component that share its smallest
+    doc_id are told apart by their texts' digests, and of rows that repeat id and text one is taken.
+    Texts without words, null ones too, are linked with nothing and all stay; an empty table gives
+    no rows; columns of any name are kept as they are.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"))
+    signed, of_class, salts = linked_classes(narrow, words, percent)
+    some = signed.where("n > 0").select("doc_id", "tag", "digest").withColumn("by", F.xxhash64("doc_id", "tag"))
+    met = salted_lookup(some, of_class.select("digest", "component"), "digest", "by", salts=salts)
+    rows = met.groupBy("component", "doc_id", "tag").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n")
+    best = rows.groupBy("component").agg(F.min(order).alias("best")).select("best.doc_id", "best.tag", "best.n")
+    bare = signed.where("n = 0").select("doc_id", "tag", F.lit(1).cast("long").alias("n"))
+    return take_rows(docs, written(best.unionByName(bare), "keep"))

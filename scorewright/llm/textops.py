@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,10 +37,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; outside a cluster a local one is set."""
+    """The folder that all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster, whose executors
+    would not see such a folder, it must be set.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not at:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         at = tempfile.mkdtemp(prefix="scorewright-")
@@ -47,27 +54,67 @@ def shared_dir(spark: SparkSession) -> str:
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
 
 
+#: Paths made inside each open ``scratch``.
+_open: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver's JVM ends."""
+    """A new path in the shared folder; it goes with the ``scratch`` around it, else when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, what was written inside it: for steps whose result is written before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it again."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder, or at ``path``, and read it again."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def empty_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def text_tag(column: str = "text"):
+    """A digest of a whole text, null as the empty text; with doc_id it tells rows apart."""
+    return F.unhex(F.sha2(empty_text(column), 256))
+
+
+def take_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` names, with all their columns.
+
+    ``keep``: doc_id, tag (``text_tag``), n.  Of rows with the same doc_id and text one is taken
+    where n is over 1, in which case partial aggregation leaves one in each task.
+    """
+    names = docs.columns
+    tagged = docs.withColumns({"_doc_id": F.col("doc_id").cast("long"), "_tag": text_tag()})
+    met = F.col("_doc_id").eqNullSafe(F.col("doc_id_kept")) & (F.col("_tag") == F.col("tag_kept"))
+    keep = keep.select(F.col("doc_id").alias("doc_id_kept"), F.col("tag").alias("tag_kept"), "n").distinct()
+    out = tagged.join(keep.where("n = 1"), met, "left_semi").select(*names)
+    repeated = keep.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    same = tagged.join(repeated, met, "left_semi").groupBy("_doc_id", "_tag").agg(F.first(F.struct(*names)).alias("_row"))
+    return out.unionByName(same.select("_row.*"))

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from scorewright.llm import exact_dedup, ngram_join
+from scorewright.llm import exact_dedup, graph, ngram_join, shingles, textops
 from scorewright.llm.graph import components
 from scorewright.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import same
@@ -172,3 +172,126 @@ def test_one_of_each_keeps_the_smallest(spark):
     rows = near_copies(60)
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(frame(spark, rows)).collect())
     assert kept == [d for d, _, c in jaccard_brute(rows, 5, 80) if d == c]
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("n", [3, 6, 8, 10, 12])
+def test_words_of_a_regular_pattern_have_other_hashes(n):
+    """A polynomial modulo 2 ** 64 gives such a word and its complement the same hash."""
+    word, checks = thue_morse(n), []
+    a, b = shingles.shingle_sets([word, word.translate(str.maketrans("ab", "ba"))], 4, checks)
+    assert a.tolist() != b.tolist() and checks[0].tolist() != checks[1].tolist()
+
+
+def test_regular_patterns_are_not_linked(spark):
+    word = thue_morse(10)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    assert sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_word_hashes_by_plain_words():
+    """Equal hashes for equal lower-cased shingles and for no others, in texts of all lengths of words."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abAé") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 700]))) for _ in range(rng.randrange(12))) for _ in range(300)]
+    for checks in (None, []):
+        found = shingles.shingle_sets(texts, 2, checks)
+        plain = sets_of(enumerate(texts), 2)
+        assert [len(x) for x in found] == [len(plain[i]) for i in range(300)]
+        assert len(np.unique(np.concatenate(found))) == len(set().union(*plain.values()))
+
+
+def test_second_hashes_decide():
+    """Elements that agree in the first hash only are not shared."""
+    x = np.arange(1, 101, dtype=np.uint64)
+    assert ngram_join.exact_links([x, x], 85, checks=[x, x]) == [(0, 1)]
+    assert ngram_join.exact_links([x, x], 85, checks=[x, x + np.uint64(1)]) == []
+
+
+def test_sketch_counts_beyond_32_bits():
+    many = np.array([1_500_000_000, 2_000_000_000], np.int64)
+    assert (ngram_join.excess(np.concatenate([many * 4, np.zeros(6, np.int64)])) >= 0).all()
+
+
+def test_sketch_counts_all_shingles(spark):
+    rows = [(i, f"a b c d e{i % 7} f") for i in range(200)] + [(900, None)]
+    counts = ngram_join.count_sketch(frame(spark, rows).repartition(5), 4, 1 << 16)
+    assert counts.dtype == np.int64 and counts.sum() == 600 and counts.max() == 200
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """A hub of 100,000 edges through the salted joins."""
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 100)
+    e = spark.range(1, 100_001).selectExpr("CAST(0 AS LONG) AS a", "id AS b").unionByName(spark.createDataFrame([(100_001, 100_002), (100_002, 100_003)], "a long, b long"))
+    got = components(e).groupBy("component").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 100_001), (100_001, 3)]
+
+
+ODD_IDS = [
+    (None, "same words here again and again"), (None, "same  words here again and again"), (None, "same words here again and again"),
+    (7, "twice the very same row"), (7, "twice the very same row"), (7, "another text under the same id"), (8, "twice the very same  row"),
+    (None, "alone without an id"), (9, None), (10, ""), (10, ""), (11, "  "),
+]
+
+
+def test_without_copies_leaves_one_row_of_each_text(spark):
+    kept = exact_dedup.without_copies(frame(spark, ODD_IDS).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(None, "same  words here again and again"), (7, "another text under the same id"), (8, "twice the very same  row"), (None, "alone without an id"), (11, "  ")], key=str
+    )
+
+
+def test_one_of_each_leaves_one_row_of_each_component(spark):
+    kept = ngram_join.one_of_each(frame(spark, ODD_IDS).repartition(3)).collect()
+    words = [(r.doc_id, r.text.split()) for r in kept if (r.text or "").strip()]
+    assert sorted(words, key=str) == sorted(
+        [(None, "same words here again and again".split()), (7, "another text under the same id".split()), (7, "twice the very same row".split()), (None, "alone without an id".split())], key=str
+    )
+    assert sorted((r.doc_id, r.text or "") for r in kept if not (r.text or "").strip()) == [(9, ""), (10, ""), (10, ""), (11, "  ")]
+    assert set(kept[0].asDict()) == set(frame(spark, []).columns)
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    before = textops.written(spark.range(3).toDF("x"), "outer")
+    with textops.scratch(spark):
+        inner = textops.written(spark.range(5).toDF("x"), "inner")
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path) and before.count() == 3
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class S:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class O:
+                                @staticmethod
+                                def getOrElse(x):
+                                    return x
+
+                            return O
+
+                    return S
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        textops.shared_dir(Spark())
