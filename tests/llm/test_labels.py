@@ -102,6 +102,102 @@ def test_license_query(spark, odd, odd_rows, none):
     assert license_scan.license_scan(odd).count() == len(odd_rows) and license_scan.license_scan(none).count() == 0
 
 
+# Published forms: text, the sentences that must be found, the licence.
+PUBLISHED = {
+    "mit": (
+        'MIT License\n\nCopyright (c) 2021 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "mit-title,mit-grant,mit-notice,as-is-software,mit-liable",
+        "MIT",
+    ),
+    "apache header": (
+        'Copyright 2019 Some Body\n\nLicensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "apache2-header,apache2-url,apache2-as-is,apache2-see",
+        "Apache-2.0",
+    ),
+    "apache text": (
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "apache2-title,apache2-terms,apache2-grant",
+        "Apache-2.0",
+    ),
+    "bsd2": (
+        'BSD 2-Clause License\n\nCopyright (c) 2001, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+        "bsd2-title,bsd-redistribution,bsd-source,bsd-binary,bsd-as-is,bsd-liable",
+        "BSD-2-Clause",
+    ),
+    "bsd3 with a named holder": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n* Neither the name of Some Company, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY SOME COMPANY, INC. AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+        "bsd-redistribution,bsd-source,bsd-binary,bsd-endorse-holder,bsd-as-is",
+        "BSD-3-Clause",
+    ),
+    "gpl2": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+        "gpl2-later,gpl-hope,gpl-see,gpl-copy-write",
+        "GPL-2.0-or-later",
+    ),
+    "gpl3": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>.",
+        "gpl3-later,gpl-hope,gpl-see,gpl-copy,gnu-url",
+        "GPL-3.0-or-later",
+    ),
+    "gpl3 text": (
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "gpl3-title,fsf-verbatim",
+        "GPL-3.0-only",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "lgpl21-later,lgpl-hope,lgpl-see",
+        "LGPL-2.1-or-later",
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "mpl2,mpl2-copy",
+        "MPL-2.0",
+    ),
+    "isc": (
+        'ISC License\n\nCopyright (c) 2011 Some Consortium, Inc. ("SC")\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND SC DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL SC BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+        "isc-title,isc-grant,isc-as-is,isc-liable",
+        "ISC",
+    ),
+}
+
+
+def wrapped(text, width, mark):
+    """Paragraphs filled to a width, each line behind a comment mark."""
+    import textwrap
+
+    lines = []
+    for block in text.split("\n"):
+        lines += textwrap.wrap(block, width, break_long_words=False, break_on_hyphens=False) or [""]
+    return "\n".join((mark + line).rstrip() for line in lines)
+
+
+def test_published_licences(spark):
+    """Whole sentences and the right licence, in several widths and comment styles and with text around."""
+    rows, want = [], []
+    for name, (text, ids, licence) in PUBLISHED.items():
+        for form in (text, wrapped(text, 72, ""), wrapped(text, 50, "# "), wrapped(text, 60, " * "), wrapped(text, 33, "// "), "/*\n" + wrapped(text, 78, "   ") + "\n */\nint main;\n"):
+            rows.append((len(rows), form))
+            want.append((name, ids, licence))
+    got = license_scan.license_scan(frame(spark, rows).repartition(4)).orderBy("doc_id").collect()
+    assert [(w[0], r.sentence_ids, r.licenses) for w, r in zip(want, got, strict=True)] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: (GPL-2.0+ OR BSD-2-Clause) AND apache-2.0\nx = 1", "GPL-2.0-or-later,BSD-2-Clause,Apache-2.0"),
+        ("# SPDX-License-Identifier: LGPL-2.1\n# MIT is not named here", "LGPL-2.1-only"),
+        ("SPDX-License-Identifier: No-Such-1.0", ""),
+        ("Neither the name of the firm\n\nnor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ""),
+        ("Released under the MIT License.\n\nSPDX-License-Identifier: MIT", "MIT"),
+    ],
+)
+def test_license_tags_and_gaps(spark, text, found):
+    assert license_scan.license_scan(frame(spark, [(1, text)])).collect()[0].licenses == found
+
+
 PRIVATE = "Mr. Smith and Anna Kowalska wrote jane.doe7@mail3.example.com, +1 (743) 555-3824, 227.5.221.1, 4111 1111 1111 1111, 123-45-6789, DE89 3704 0044 0532 0130 00, 9233A8ECF7C5B09FE5949719B6B82BC439E9329B; Иван Петров."
 
 
