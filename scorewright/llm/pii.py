@@ -2,38 +2,61 @@
 
 Entities are found by one expression per text.  Each gets a surrogate by a keyed
 permutation of its own format: digits stay digits, letters stay letters of the same
-script and case, separators, lengths, octet ranges and card check digits stay valid,
-given names change to names of the same gender and script.  A permutation maps
+script and case, separators, lengths, octet ranges, prefixes of tokens and check digits of
+cards and bank accounts stay valid, given names change to names of the same gender and
+script.  A permutation maps
 different entities of a format to different surrogates, and the same entity always to
 the same one, in every document (coreference).  The distinct entities of all documents
 are then checked: an entity whose surrogate is another entity of the corpus, or is taken
 already, draws again with the next key round until its surrogate is free.  The few that
 drew again come to their documents by a join.
+
+Who has the key can undo the permutations, so none is kept here: callers give one, or the
+session has ``spark.scorewright.pii.key``, or one is drawn for the run.
 """
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.textops import empty_text, written
 
-KEY = "scorewright"
-KEY_ROUNDS = 6
+KEY_SETTING = "spark.scorewright.pii.key"
 #: Rounds in which an entity draws in its own format, then rounds in which names and emails take a wider one.
 FORM_ROUNDS, WIDE_ROUNDS = 8, 16
 
+
+@lru_cache(maxsize=1)
+def _drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
+def key_of(docs: DataFrame, key: str | None) -> str:
+    """The key given, else the session's, else one drawn once for this run of the driver."""
+    return key or docs.sparkSession.conf.get(KEY_SETTING, None) or _drawn_key()
+
+
 # Given names by script and gender; a name is replaced by another of its list.
 GIVEN = {
-    "latin-f": "Alice Anna Barbara Carmen Claire Elena Emma Eva Hannah Helen Ines Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa".split(),
-    "latin-m": "Adam Albert Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry James Jean John Jose Juan Karl Louis Luis Mark Martin Michael Pablo Paul Peter Pierre Robert Thomas".split(),
+    "latin-f": "Agnieszka Aisha Alice Amina Ana Ananya Anita Anna Barbara Beatriz Camille Carmen Chloé Claire Deepa Elena Emma Eva Fatima Hannah Helen Ines Ingrid Isabel Jane Julia Karen Katarzyna Lakshmi Laura Leila Linda Lucia Léa Maria Marie Martha Mary María Mei Neha Nina Noor Olivia Paula Priya Rosa Sakura Sarah Sofia Susan Teresa Yuki Zeynep Zoë".split(),
+    "latin-m": "Adam Ahmed Albert Ali Amir Andrzej Arjun Björn Carlos Charles Daniel David Diego Edward Felix François Frank George Hans Henry Hiroshi James Jean John Jorge Jose José Juan Jürgen Karl Kenji Louis Luis Mark Martin Michael Mohammed Omar Pablo Paul Peter Pierre Rahul Raj Ravi Robert Søren Thomas Wei Yusuf".split(),
     "cyrillic-f": "Анна Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     "cyrillic-m": "Алексей Андрей Борис Дмитрий Иван Михаил Николай Сергей".split(),
+    "greek-f": "Αγγελική Βασιλική Ελένη Κατερίνα Μαρία Σοφία".split(),
+    "greek-m": "Αλέξανδρος Γιάννης Γιώργος Δημήτρης Κώστας Νίκος Παναγιώτης".split(),
 }
 #: Titles after which a capitalised word is a name.
 TITLES = "Mrs|Mr|Ms|Miss|Dr|Prof|Mme|Herr|Frau|Señora|Señor|Sra|Sr"
+#: Titles that follow a Chinese name.
+HAN_TITLES = "先生|女士|小姐|博士|教授"
 
-# Alphabets inside which a character is replaced, tried in this order.
+# Alphabets inside which a character is replaced.  No character is in two of them.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗郑梁谢宋唐许邓冯韩曹曾彭萧蔡潘田董袁于余叶蒋杜苏魏程吕丁沈任姚卢傅钟姜崔谭廖范汪陆金石戴贾韦夏邱方侯邹熊孟秦白江阎薛尹段雷黎史龙陶贺顾毛郝龚邵万钱严武戚莫孔向汤"
+HAN_GIVEN = "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂华玉红玲芬燕辉建国志文小晓梅春雪飞鹏俊峰波宇浩凯健斌琳欣怡佳慧婷雅倩楠晨阳子轩博"
 ALPHABETS = (
     "0123456789",
     "bcdfghjklmnpqrstvwxz",
@@ -44,54 +67,87 @@ ALPHABETS = (
     "аеёиоуыэюя",
     "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
     "АЕЁИОУЫЭЮЯ",
-    "çñßšžčćđłńśźż",
-    "äëïöüáéíóúàèìòùâêîôûåæøœ",
+    "ћђљњџґ",
+    "ЋЂЉЊЏҐ",
+    "іїє",
+    "ІЇЄ",
+    "йьъ",
+    "ЙЬЪ",
+    "βγδζθκλμνξπρστφχψ",
+    "αεηιουωάέήίόύώϊϋΐΰ",
+    "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏΪΫ",
+    "çñßšžčćđłńśźżğşþðŵĉĝĥĵŝţțșřťďľĺňŕķģļņħŋ",
+    "äëïöüáéíóúàèìòùâêîôûåæøœãõýÿāēīōūąęėįųıůőűěŷŭǎ",
+    "ÇÑŠŽČĆĐŁŃŚŹŻĞŞÞÐŴĈĜĤĴŜŢȚȘŘŤĎĽĹŇŔĶĢĻŅĦŊ",
+    "ÄËÏÖÜÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÅÆØŒÃÕÝŸĀĒĪŌŪĄĘĖĮŲİŮŐŰĚŶŬǍ",
+    HAN_SURNAMES,
+    HAN_GIVEN,
 )
+#: Other scripts, by first and last code point of their letters; a letter is replaced within its range.
+RANGES = (("ぁ", "ゖ"), ("ァ", "ヺ"), ("가", "힣"), ("ا", "غ"), ("ف", "ي"), ("א", "ת"), ("अ", "ह"), ("ก", "ฮ"), ("ა", "ჰ"), ("ա", "ֆ"), ("Ա", "Ֆ"), ("一", "龥"))
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
+#: Letters that no alphabet or range has: a name or an email that holds one is replaced whole.
+UNKNOWN = r"[\p{L}&&[^ς" + "".join(ALPHABETS) + "".join(f"{a}-{b}" for a, b in RANGES) + "]]"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_H = "[0-9A-Fa-f]{1,4}"
+#: What a token of a known kind begins with; its surrogate keeps it.
+TOKEN = r"(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_])?|gh[opsur]_|xox[bp]-|AKIA|(?:sk|pk|ghp|gho))"
 #: Kinds in the order in which they are tried at a place.  Lookbehinds keep the search linear in long runs.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|gho|AKIA)[-_]?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}"
+    r"|(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_])?|gh[opsur]_|xox[bp]-)[A-Za-z0-9]{16,64}"
+    r"|(?=[A-Za-z]{0,64}[0-9])(?:sk|pk|ghp|gho)[A-Za-z0-9]{16,64}|AKIA[-_]?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": rf"(?=[0-9A-Fa-f]{{1,4}}:)(?<![\w:.])(?=[A-Fa-f:]{{0,30}}[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![\w:])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}"
+    r"|(?:\+\d{1,3}[ .-]?(?:\(0\))?\d|0\d)(?:[ .-]\d{2}){4}|\+\d{1,3}(?:[ .-]\d{2,8}){2,4}|\+\d{8,15})(?![\w-])",
 }
-_NAME_LATIN = r"\p{Lu}[\p{Ll}'-]+"
+#: A capitalised word, with inner apostrophes, hyphens and capitals (O'Brien, Smith-Jones, McDonald), without a possessive s.
+_NAME = r"\p{Lu}(?:['’](?=\p{Lu}))?(?:\p{Lu}(?=\p{Ll}))?[\p{Ll}\p{M}]++(?:(?:['’](?!s\b)|-)\p{Lu}?[\p{Ll}\p{M}]++|\p{Lu}[\p{Ll}\p{M}]++)*+"
+_HAN = "[一-龥]"
+_HAN_NAME = rf"(?={_HAN}{{2}})(?<!{_HAN})[{HAN_SURNAMES}](?:{_HAN}{{1,2}}(?={HAN_TITLES})|{_HAN}{{2}}(?!{_HAN}))"
 PATTERNS["name"] = (
-    rf"(?<=\b(?:{TITLES})\.? )(?:{_NAME_LATIN} ){{0,2}}{_NAME_LATIN}"
-    + r"|(?<![\p{L}])(?:" + "|".join(n for names in GIVEN.values() for n in names) + rf")(?= ){' '}{_NAME_LATIN}"
+    rf"(?=\p{{Lu}})(?<=\b(?:{TITLES})\.? )(?:\p{{Lu}}\. ?){{0,3}}(?:{_NAME} ){{0,2}}{_NAME}"
+    + r"|(?=\p{Lu})(?<!\p{L})(?:" + "|".join(n for names in GIVEN.values() for n in names) + rf")(?= ) (?:\p{{Lu}}\. ?){{0,2}}{_NAME}"
+    + f"|{_HAN_NAME}"
 )
-#: All kinds but names; places where no number can begin are passed over at once.
+#: All kinds but names; places where none can begin are passed over at once.
 STRUCTURED = (
-    "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban"))
+    "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban", "ip6"))
     + "|(?=[0-9+(])(?:"
     + "|".join(f"(?:{PATTERNS[k]})" for k in ("ssn", "card", "ip", "phone"))
     + ")"
 )
 ENTITY = f"{STRUCTURED}|(?:{PATTERNS['name']})"
+#: What every entity but a name holds: a digit, an at sign or a token's mark.
+CUE = "[0-9@]"
+MARKS = "sk- sk_ pk- pk_ rk- rk_ gho_ ghp_ ghs_ ghu_ ghr_ xoxb- xoxp- AKIA".split()
 #: Words before a capitalised word that make it part of a name.
 _BEFORE_NAME = [*TITLES.split("|"), *(n for names in GIVEN.values() for n in names)]
 
 
 def _has_name(text: Column) -> Column:
-    """Whether a title or a listed given name comes before a capitalised word."""
+    """Whether a title or a listed given name comes before a capitalised word, or a Chinese surname stands in a short word."""
     before = F.regexp_extract_all(text, F.lit(r"(\p{Lu}\p{Ll}+)\.? (?=\p{Lu})"), F.lit(1))
     listed = F.array(*map(F.lit, _BEFORE_NAME))
-    return F.when(text.rlike(r"\p{Lu}\p{Ll}+\.? \p{Lu}"), F.arrays_overlap(before, listed)).otherwise(F.lit(False))
+    latin = F.when(text.rlike(r"\p{Lu}\p{Ll}+\.? \p{Lu}"), F.arrays_overlap(before, listed)).otherwise(F.lit(False))
+    return latin | text.rlike(_HAN_NAME)
 
 
 def entities(text: Column) -> Column:
     """All entities of a text in order, as array<string>.
 
-    Cheap searches come first: an entity holds a digit or an at sign, or is a name.
+    Cheap searches come first: an entity holds a digit, an at sign or a token's beginning, or is a name.
     """
     return (
         F.when(_has_name(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
-        .when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(STRUCTURED), F.lit(0)))
+        .when(text.rlike(CUE) | reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in MARKS)), F.regexp_extract_all(text, F.lit(STRUCTURED), F.lit(0)))
         .otherwise(F.array().cast("array<string>"))
     )
 
@@ -100,8 +156,7 @@ def kind_of(entity: Column) -> Column:
     """The first kind whose pattern the whole entity has."""
     out = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
-        bare = PATTERNS[kind].replace("(?<![\\w.])", "").replace("(?<![\\w+])", "")
-        out = F.when(entity.rlike(rf"\A(?:{bare})\z"), F.lit(kind)).otherwise(out)
+        out = F.when(entity.rlike(rf"\A(?:{PATTERNS[kind]})\z"), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -115,35 +170,56 @@ def _draw(digest: Column, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(digest, i), F.lit(n))
 
 
-def _rotate(char: Column, digest: Column, i: Column, alphabet: str) -> Column:
-    at = (F.instr(F.lit(alphabet), char) - 1 + _draw(digest, i, len(alphabet))) % len(alphabet)
-    return F.substr(F.lit(alphabet), (at + 1).cast("int"), F.lit(1))
+def _chr(code: Column) -> Column:
+    """The character of a code point below 65536."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
 
 
-def _shift(char: Column, digest: Column, i: Column, alphabets: tuple[str, ...]) -> Column:
-    out = char
-    for a in reversed(alphabets):
-        out = F.when(F.instr(F.lit(a), char) > 0, _rotate(char, digest, i, a)).otherwise(out)
-    return out
+#: Alphabets by table: all, hexadecimal digits of one case, and of both.
+TABLES = (ALPHABETS, (HEX_LOWER,), (HEX_UPPER,), ("0123456789", "abcdef", "ABCDEF"))
 
 
-def permuted(value: Column, key: Column, alphabets: tuple[str, ...] = ALPHABETS, rounds: int = 4) -> Column:
+def _shift(char: Column, digest: Column, i: Column, every: Column, lows: Column, sizes: Column) -> Column:
+    """A character moved by a draw within its alphabet, or within its script's range of letters; others stay."""
+
+    def moved(at: Column) -> Column:
+        low, size = F.get(lows, at - 1), F.get(sizes, at - 1)
+        to = low + (at - 1 - low + F.pmod(F.xxhash64(digest, i), size)) % size
+        out = F.when(at > 0, F.substr(every, (to + 1).cast("int"), F.lit(1)))
+        lo = F.coalesce(*(F.when(char.between(a, b), F.lit(ord(a))) for a, b in RANGES))
+        n = F.coalesce(*(F.when(char.between(a, b), F.lit(ord(b) - ord(a) + 1)) for a, b in RANGES))
+        code = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("long")
+        out = out.when(lo.isNotNull(), _chr((lo + (code - lo + F.pmod(F.xxhash64(digest, i), n)) % n).cast("long")))
+        return out.otherwise(char)
+
+    return _let(F.instr(every, char), moved)
+
+
+def permuted(value: Column, key: Column, table: Column | None = None, rounds: int = 4) -> Column:
     """A keyed permutation of the strings with ``value``'s pattern of alphabets.
 
     A Feistel network over characters at even and odd places: a round turns one half by
-    draws from the other half, so each round can be undone.
+    draws from the other half, so each round can be undone.  ``table``: which of ``TABLES``, the first unless given.
     """
+    table = F.lit(0) if table is None else table
+    flat = ["".join(t) for t in TABLES]
+    # a literal each once the optimizer has folded them
+    lows = F.from_json(F.lit(str([[f.index(a) for a in t for _ in a] for f, t in zip(flat, TABLES, strict=True)])), "array<array<int>>")
+    sizes = F.from_json(F.lit(str([[len(a) for a in t for _ in a] for t in TABLES])), "array<array<int>>")
+    every = F.split(F.lit("\n".join(flat)), "\n")
 
-    def step(chars: Column, r: Column) -> Column:
-        rest = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, F.lit("")).otherwise(c)), "")
-        turned = F.transform(
-            F.arrays_zip(chars.alias("c"), F.array_repeat(_digest(key, r, rest), F.size(chars)).alias("h")),
-            lambda x, i: F.when(i % 2 == r % 2, _shift(x["c"], x["h"], i, alphabets)).otherwise(x["c"]),
-        )
-        return turned
+    def run(t: Column) -> Column:
+        def step(chars: Column, r: Column) -> Column:
+            rest = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, F.lit("")).otherwise(c)), "")
+            return _let(
+                _digest(key, r, rest),
+                lambda h: F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, _shift(c, h, i, t["every"], t["lows"], t["sizes"])).otherwise(c)),
+            )
+
+        chars = F.filter(F.split(value, ""), lambda c: c != "")
+        return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), chars, step), "")
 
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), chars, step), "")
+    return _let(F.struct(every[table].alias("every"), lows[table].alias("lows"), sizes[table].alias("sizes")), run)
 
 
 def _digits(value: Column) -> Column:
@@ -172,12 +248,9 @@ def _into(pattern: Column, digits: Column) -> Column:
     return done["out"]
 
 
-def _card(value: Column, key: Column) -> Column:
-    """First digit and the Luhn remainder stay (0: valid); the digits between are permuted."""
-    d = _digits(value)
-    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permuted(F.substr(d, F.lit(2), F.length(d) - 2), key))
-    check = F.pmod(_luhn_rest(d) - _luhn_rest(F.concat(body, F.lit("0"))), F.lit(10))
-    return _into(value, F.concat(body, check.cast("string")))
+def _card_check(first: Column, body: Column, value: Column) -> Column:
+    """The last digit for which the Luhn remainder stays as it was (0: valid)."""
+    return F.pmod(_luhn_rest(_digits(value)) - _luhn_rest(F.concat(first, body, F.lit("0"))), F.lit(10)).cast("string")
 
 
 def _ip(value: Column, key: Column) -> Column:
@@ -194,103 +267,114 @@ def _ip(value: Column, key: Column) -> Column:
     return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(3)), octets, step).cast("array<string>"), ".")
 
 
-def _name(value: Column, key: Column) -> Column:
-    """A given name turns to another of its gender and script; other words are permuted within their letters."""
-    words = F.split(value, " ")
-    given = words[0]
-    first = permuted(given, F.concat(key, F.lit("/name")))
-    for group, names in GIVEN.items():
-        listed = F.array(*map(F.lit, names))
-        turn = _draw(_digest(key, F.lit(0), F.lit(group)), F.lit(0), len(names) - 1) + 1
-        at = (F.array_position(listed, given) - 1 + turn) % len(names)
-        first = F.when(F.array_contains(listed, given), F.get(listed, at.cast("int"))).otherwise(first)
-    rest = F.transform(F.slice(words, 2, F.size(words)), lambda w: permuted(w, F.concat(key, F.lit("/name"))))
-    return F.array_join(F.concat(F.array(first), rest), " ")
+def _mod97(chars: Column) -> Column:
+    """The remainder modulo 97 of a string of digits and capitals, a capital being two digits."""
+    values = F.filter(F.split(chars, ""), lambda c: c != "")
 
+    def step(r: Column, c: Column) -> Column:
+        v = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+        return (r * F.when(v > 9, 100).otherwise(10) + v) % 97
 
-def _phone(value: Column, key: Column) -> Column:
-    """A country code stays."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0)
-    return F.concat(code, permuted(F.substr(value, F.length(code) + 1, F.length(value)), key))
+    return F.aggregate(values, F.lit(0), step)
 
 
-def _iban(value: Column, key: Column) -> Column:
-    return F.concat(F.substr(value, F.lit(1), F.lit(2)), permuted(F.substr(value, F.lit(3), F.length(value)), key))
+def _iban_check(country: Column, old: Column, body: Column, new: Column) -> Column:
+    """Check digits of account ``new`` that are as far from the right ones as ``old`` were with ``body`` (0: valid)."""
+    right = F.transform(F.array(body, new), lambda x: 98 - _mod97(F.concat(F.replace(x, F.lit(" "), F.lit("")), country, F.lit("00"))))
+    return F.lpad((F.pmod(right[1] - 2 + old.cast("int") - right[0], F.lit(97)) + 2).cast("string"), 2, "0")
 
 
-def _email(value: Column, key: Column) -> Column:
-    """Local part and domain are permuted apart, so one domain stays one; the top-level domain stays."""
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    name = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(permuted(local, key), F.lit("@"), permuted(name, F.concat(key, F.lit("/domain"))), top)
+def _given(given: Column, key: Column, other: Column) -> Column:
+    """A listed given name turns to another of its gender and script; for the rest ``other``."""
+    out = other
+    for group, names in GIVEN.items():
+        listed = F.split(F.lit(" ".join(names)), " ")
+        turn = _draw(_digest(key, F.lit(0), F.lit(group)), F.lit(0), len(names) - 1) + 1
+        at = (F.array_position(listed, given) - 1 + turn) % len(names)
+        out = F.when(F.array_contains(listed, given), F.get(listed, at.cast("int"))).otherwise(out)
+    return out
 
 
-def _secret(value: Column, key: Column) -> Column:
-    return (
-        F.when(value.rlike(r"\A[0-9a-f]+\z"), permuted(value, key, (HEX_LOWER,)))
-        .when(value.rlike(r"\A[0-9A-F]+\z"), permuted(value, key, (HEX_UPPER,)))
-        .otherwise(permuted(value, key))
-    )
+def _let(value: Column, use) -> Column:
+    """``use`` applied to a value that is computed once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
 
 
-def surrogate(entity: Column, key: str) -> Column:
-    """The replacement of one entity under a key."""
-    kind = kind_of(entity)
-    by_kind = {"email": _email, "secret": _secret, "card": _card, "ip": _ip, "phone": _phone, "iban": _iban}
-    out = _name(entity, F.lit(f"{key}/name"))
-    for k in ("ssn", *by_kind):
-        out = F.when(kind == k, by_kind.get(k, permuted)(entity, F.lit(f"{key}/{k}"))).otherwise(out)
-    return out
+def surrogate(entity: Column, key: str | Column) -> Column:
+    """The replacement of one entity under a key.
 
+    What stays: a phone's country code, a bank account's country, a token's mark, a card's first digit,
+    an email's top-level domain.  Parts that are permuted apart: the words of a name, and an email's
+    local part and domain, so one domain stays one.
+    """
+    key = F.lit(key) if isinstance(key, str) else key
+    return _let(F.struct(kind_of(entity).alias("kind"), entity.alias("e")), lambda x: _surrogate(x["kind"], x["e"], key))
+
+
+def _surrogate(kind: Column, e: Column, key: Column) -> Column:
+    is_hex = kind.isin("secret", "ip6")
+    upper, lower = F.when(is_hex, ~e.rlike("[a-z]")), F.when(is_hex, ~e.rlike("[A-Z]"))
+    plain_hex = (kind == "ip6") | e.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")
+    table = F.when(~is_hex | ~plain_hex, 0).when(lower, 1).when(upper, 2).otherwise(3)
+    stays = (
+        F.when(kind == "secret", F.when(plain_hex, "").otherwise(F.regexp_extract(e, rf"\A{TOKEN}", 0)))
+        .when(kind == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0))
+        .when(kind == "iban", F.substr(e, F.lit(1), F.lit(4)))
+        .otherwise("")
+    )
+    top = F.concat(F.lit("."), F.substring_index(e, ".", -1))
+    domain = F.substring_index(e, "@", -1)
+    parts = (
+        F.when(kind == "name", F.split(e, " "))
+        .when(kind == "email", F.array(F.substring_index(e, "@", 1), F.substr(domain, F.lit(1), F.length(domain) - F.length(top))))
+        .when(kind == "card", F.array(F.substr(_digits(e), F.lit(2), F.length(_digits(e)) - 2)))
+        .otherwise(F.array(F.substr(e, F.length(stays) + 1, F.length(e))))
+    )
+    under = F.concat(key, F.lit("/"), kind)
 
-def collisions(found: DataFrame, key: str) -> DataFrame:
-    """Entities (column ``entity``, distinct) whose surrogate is shared or is itself an entity of the corpus."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = written(found.repartition(parts, "entity").select("entity", surrogate(F.col("entity"), key).alias("surrogate")), "surrogates")
-    shared = made.groupBy("surrogate").agg(F.count("*").alias("n")).where("n > 1").select("surrogate")
-    real = made.select(F.col("entity").alias("surrogate"))
-    return made.join(shared.union(real), "surrogate", "left_semi")
+    def build(x: Column) -> Column:
+        made = F.transform(x["parts"], lambda p, i: permuted(p, F.concat(under, F.when((kind == "email") & (i == 1), "/domain").otherwise("")), x["table"]))
 
+        def joined(m: Column) -> Column:
+            name = F.array_join(F.concat(F.array(_given(x["parts"][0], under, m[0])), F.slice(m, 2, F.size(m))), " ")
+            whole = F.initcap(_word(F.concat(key, F.lit("/whole")), e))
+            first = F.substr(_digits(e), F.lit(1), F.lit(1))
+            country, old = F.substr(e, F.lit(1), F.lit(2)), F.substr(e, F.lit(3), F.lit(2))
+            return (
+                F.when(kind == "name", F.when(e.rlike(UNKNOWN), whole).otherwise(name))
+                .when(kind == "email", F.concat(m[0], F.lit("@"), m[1], top))
+                .when(kind == "card", _into(e, F.concat(first, m[0], _card_check(first, m[0], e))))
+                .when(kind == "ip", _ip(e, under))
+                .when(kind == "iban", F.concat(country, _iban_check(country, old, x["parts"][0], m[0]), m[0]))
+                .otherwise(F.concat(x["stays"], m[0]))
+            )
 
-def choose_key(docs: DataFrame, key: str = KEY, rounds: int = KEY_ROUNDS) -> str:
-    """The first key round without a collision among all distinct entities, else the one with fewest.
+        return _let(made, joined)
 
-    The operators do not rest on it: ``exceptions`` settles collisions entity by entity.
-
-    Two entities never share a surrogate of one format; in a dense format, such as
-    addresses when most occur, a surrogate may still be another real entity.
-    """
-    found = written(docs.select(F.explode(entities(empty_text())).alias("entity")).distinct(), "entities")
-    best = (None, f"{key}/0")
-    for r in range(rounds):
-        n = collisions(found, f"{key}/{r}").count()
-        if best[0] is None or n < best[0]:
-            best = (n, f"{key}/{r}")
-        if n == 0:
-            break
-    return best[1]
+    return _let(F.struct(parts.alias("parts"), stays.alias("stays"), table.alias("table")), build)
 
 
 def _word(key: Column, value: Column) -> Column:
     """Twelve drawn letters."""
-    digest = _digest(key, F.lit(0), value)
 
-    def letter(i: int) -> Column:
-        letters = "aeiou" if i % 2 else "bcdfghjklmnpqrstvwxz"
-        return F.substr(F.lit(letters), (_draw(digest, F.lit(i), len(letters)) + 1).cast("int"), F.lit(1))
+    def letters(d: Column) -> Column:
+        def letter(i: int) -> Column:
+            of = "aeiou" if i % 2 else "bcdfghjklmnpqrstvwxz"
+            return F.substr(F.lit(of), (_draw(d, F.lit(i), len(of)) + 1).cast("int"), F.lit(1))
+
+        return F.concat(*map(letter, range(12)))
 
-    return F.concat(*map(letter, range(12)))
+    return _let(_digest(key, F.lit(0), value), letters)
 
 
-def _wide(entity: Column, key: str) -> Column:
+def _wide(entity: Column, key: Column) -> Column:
     """Drawn letters in place of a name or an email whose own format has no free surrogate."""
-    word, kind = _word(F.lit(f"{key}/wide"), entity), kind_of(entity)
-    mail = F.concat(word, F.lit("@"), _word(F.lit(f"{key}/wide/domain"), entity), F.lit(".com"))
+    word, kind = _word(F.concat(key, F.lit("/wide")), entity), kind_of(entity)
+    mail = F.concat(word, F.lit("@"), _word(F.concat(key, F.lit("/wide/domain")), entity), F.lit(".com"))
     return F.when(kind == "name", F.initcap(word)).when(kind == "email", mail).otherwise(surrogate(entity, key))
 
 
-def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
+def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
     """Entities whose surrogate of round 0 is not free, with one that is: entity, surrogate; None if there are none.
 
     In each round the entities that are left draw a surrogate.  It is theirs unless it is
@@ -302,9 +386,11 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
     found = written(docs.select(F.explode(entities(empty_text())).alias("entity")).distinct(), "entities")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left, given, again = found.repartition(parts, "entity"), None, None
+    round_key = F.concat(F.lit(f"{key}/"), F.col("_round"))
+    form, wide = (draw(F.col("entity"), round_key).alias("surrogate") for draw in (surrogate, _wide))
     for r in range(FORM_ROUNDS + WIDE_ROUNDS):
-        drawn = (surrogate if r < FORM_ROUNDS else _wide)(F.col("entity"), f"{key}/{r}")
-        made = written(left.select("entity", drawn.alias("surrogate")), "surrogates")
+        rows = left.withColumn("_round", F.lit(str(r)))
+        made = written(rows.select("entity", form if r < FORM_ROUNDS else wide), "surrogates")
         taken = found.select(F.col("entity").alias("surrogate"))
         taken = taken if given is None else taken.union(given.select("surrogate"))
         free = made.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("entity").alias("entity"))
@@ -325,7 +411,7 @@ def _replacing(docs: DataFrame, key: str | None) -> tuple[DataFrame, Column]:
     What an entity that drew again becomes is the same in texts with the same entities,
     so texts find it by these.
     """
-    key, found = key or KEY, entities(F.col("text"))
+    key, found = key_of(docs, key), entities(F.col("text"))
     with_found, again = docs.withColumn("_found", found), exceptions(docs, key)
     if again is None:
         return with_found, F.transform("_found", lambda e: surrogate(e, f"{key}/0"))
