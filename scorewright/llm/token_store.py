@@ -2,23 +2,25 @@
 
 File layout (little-endian):
 
-    8 bytes   magic "SWTOKEN1"
+    8 bytes   magic "SWTOKEN2"
     u32       bits per id
     u32       ids per block
-    u64       ids in the file
-    u64       blocks
-    u64 x blocks   byte offset of each block from the start of the file
     blocks    ids as consecutive ``bits``-wide fields, first id in the lowest bits,
               each block padded to 8 bytes
+    u64 x blocks   byte offset of each block from the start of the file
+    u64       blocks
+    u64       ids in the file
+    8 bytes   magic
 
 ``bits`` is the least width that holds every id of the vocabulary.  A block holds
-a multiple of 64 ids, so any block unpacks alone.
+a multiple of 64 ids, so any block unpacks alone.  Offsets come last, so a writer streams
+its blocks and holds one of them; files end at a document after ``FILE_IDS`` ids.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 from scorewright.llm import bytebpe
 from scorewright.llm.textops import shared_path, slices, texts_of, written
 
-MAGIC = b"SWTOKEN1"
+MAGIC = b"SWTOKEN2"
 BLOCK = 8192
+#: Ids after which a file ends, and text bytes of one range of documents, about.
+FILE_IDS = 1 << 28
+RANGE_BYTES = 256 << 20
 MANIFEST = "doc_id long, file string, first long, n_tokens long"
 
 
@@ -56,28 +61,44 @@ def unpack_bits(raw: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Takes ids in any portions; blocks are packed as they fill, so ids are held packed only."""
+    """Takes ids in any portions and gives each block to ``put`` as it fills; ``close`` gives the rest and the footer.
+
+    Without ``put`` the parts are kept for ``image``.
+    """
 
-    def __init__(self, bits: int, block: int = BLOCK):
+    def __init__(self, bits: int, block: int = BLOCK, put: Callable[[bytes], object] | None = None):
         self.bits, self.block, self.n = bits, block, 0
-        self._blocks: list[bytes] = []
+        self._parts: list[bytes] = []
+        self._out, self._at, self._offsets = put or self._parts.append, 0, []
         self._rest = np.zeros(0, np.uint32)
+        self._put(MAGIC + np.array([bits, block], "<u4").tobytes())
+
+    def _put(self, raw: bytes) -> None:
+        self._out(raw)
+        self._at += len(raw)
+
+    def _put_block(self, ids: np.ndarray) -> None:
+        self._offsets.append(self._at)
+        self._put(pack_bits(ids, self.bits))
 
     def add(self, ids: np.ndarray) -> None:
         self.n += len(ids)
         ids = np.concatenate([self._rest, ids])
         full = len(ids) // self.block * self.block
-        self._blocks += [pack_bits(ids[i : i + self.block], self.bits) for i in range(0, full, self.block)]
+        for i in range(0, full, self.block):
+            self._put_block(ids[i : i + self.block])
         self._rest = ids[full:]
 
+    def close(self) -> None:
+        if len(self._rest):
+            self._put_block(self._rest)
+        foot = np.array([*self._offsets, len(self._offsets), self.n], "<u8").tobytes()
+        self._put(foot + MAGIC)
+
     def image(self) -> Iterator[bytes]:
         """The file's bytes, in parts."""
-        blocks = [*self._blocks, pack_bits(self._rest, self.bits)] if len(self._rest) else self._blocks
-        head = 32 + 8 * len(blocks)
-        at = head + np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[: len(blocks)]
-        yield MAGIC + np.array([self.bits, self.block], "<u4").tobytes() + np.array([self.n, len(blocks)], "<u8").tobytes()
-        yield at.astype("<u8").tobytes()
-        yield from blocks
+        self.close()
+        yield from self._parts
 
 
 class Reader:
@@ -85,11 +106,16 @@ class Reader:
 
     def __init__(self, stream):
         self._in = stream
-        head = stream.read(32)
-        if head[:8] != MAGIC:
-            raise ValueError("not a token file")
+        head = stream.read(16)
+        stream.seek(0, 2)
+        end = stream.tell()
+        stream.seek(max(0, end - 24))
+        tail = stream.read(24)
+        if head[:8] != MAGIC or tail[16:] != MAGIC:
+            raise ValueError("not a whole token file")
         self.bits, self.block = np.frombuffer(head, "<u4", 2, 8).tolist()
-        self.n, blocks = np.frombuffer(head, "<u8", 2, 16).tolist()
+        blocks, self.n = np.frombuffer(tail, "<u8", 2).tolist()
+        stream.seek(end - 24 - 8 * blocks)
         self._at = np.frombuffer(stream.read(8 * blocks), "<u8")
         self._have: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
 
@@ -116,44 +142,55 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, partitions: int | None = None) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, folder: str, tokenizer: str | None = None, partitions: int | None = None, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Write token files in ascending doc_id order; returns the manifest, lazily.
 
-    Range partitioning orders files, sorting orders documents within one.  A task
-    writes under a name of its own and renames it when whole, so a repeated task
-    replaces a file by the same bytes.
+    Ranges of doc_id, as many as the texts' bytes ask for, order files; sorting orders documents
+    within one.  A task streams blocks under a name of its own and renames the file when whole,
+    so a repeated task replaces a file by the same bytes.
     """
     path = tokenizer or bytebpe.default_path()
     spark = docs.sparkSession
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    if partitions is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES), 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyspark import TaskContext
 
-        enc = bytebpe.encoder(path)
-        out, first, rows = Writer(width_of(enc.vocab_size)), 0, []
-        name = f"part-{TaskContext.get().partitionId():06d}.tokens"
+        enc, where, base = bytebpe.encoder(path), *_filesystem(folder)
+        task, part_no, stream, own, out = TaskContext.get().partitionId(), 0, None, "", None
+
+        def name() -> str:
+            return f"part-{task:06d}-{part_no:06d}.tokens"
+
+        def end() -> None:
+            out.close()
+            stream.close()
+            where.move(own, f"{base}/{name()}")
+
         for part in slices(batches):
+            if stream is None:
+                where.create_dir(base, recursive=True)
+                own = f"{base}/_{name()}.{uuid.uuid4().hex}"
+                stream = where.open_output_stream(own)
+                out = Writer(width_of(enc.vocab_size), put=stream.write)
             ids, off = enc.encode(texts_of(part))
+            first = off[:-1] + out.n
             out.add(ids)
-            rows.append((part.column("doc_id"), off[:-1] + first, np.diff(off)))
-            first += len(ids)
-        if not rows:
-            return
-        where, base = _filesystem(folder)
-        where.create_dir(base, recursive=True)
-        own = f"{base}/_{name}.{uuid.uuid4().hex}"
-        with where.open_output_stream(own) as f:
-            for x in out.image():
-                f.write(x)
-        where.move(own, f"{base}/{name}")
-        for doc, start, n in rows:
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array([name] * len(doc)), pa.array(start, pa.int64()), pa.array(n, pa.int64())],
+                [part.column("doc_id"), pa.array([name()] * part.num_rows), pa.array(first, pa.int64()), pa.array(np.diff(off), pa.int64())],
                 ["doc_id", "file", "first", "n_tokens"],
             )
+            if out.n >= file_ids:
+                end()
+                stream, part_no = None, part_no + 1
+        if stream is not None:
+            end()
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,7 +221,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def file_starts(manifest: DataFrame) -> DataFrame:
-    """Ids before each file.  One row per file: bounded by the partition count, not by documents."""
+    """Ids before each file.  One row per file: bounded by the corpus over ``FILE_IDS`` and the range count, not by documents."""
     per_file = manifest.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
     rows, before = [], 0
     for r in sorted(per_file, key=lambda r: r["file"]):

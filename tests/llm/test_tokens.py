@@ -203,3 +203,29 @@ def test_token_store_odd_rows(odd, odd_rows, none, library):
     assert sorted(r.n_tokens for r in rows) == sorted(len(library(t)) + 1 for _, t, *_ in odd_rows)
     assert {r.start for r in rows if r.doc_id is None} == {0, len(library("a text without id")) + 1}
     assert token_store.token_store(none).count() == 0
+
+
+def test_token_files_end_and_stream(spark, library, tmp_path):
+    """Small files: several of a range, each whole, found in order, with blocks given away as they fill."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = f"file://{tmp_path}/tokens"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        manifest = token_store.written(token_store.write_tokens(docs.repartition(3), folder, partitions=2, file_ids=1), "manifest")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list((tmp_path / "tokens").glob("part-*-000002.tokens"))) == 2
+    before = {r.file: r.before for r in token_store.file_starts(manifest).collect()}
+    got = sorted(token_store.read_tokens(manifest, folder).collect(), key=lambda r: before[r.file] + r.first)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in docs.collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.ids_crc32 == zlib.crc32(np.array([*library(texts[r.doc_id]), 2], "<u4").tobytes()) for r in got)
+    assert not [f for f in (tmp_path / "tokens").iterdir() if f.name.startswith("_")]
+    parts = []
+    w = token_store.Writer(16, 64, parts.append)
+    for _ in range(50):
+        w.add(np.arange(100, dtype=np.uint32))
+        assert len(w._rest) < 64
+    assert len(parts) == 1 + 5000 // 64
+    with pytest.raises(ValueError):
+        token_store.Reader(io.BytesIO(b"".join(parts)))
