@@ -35,20 +35,54 @@ def strip(text: Column) -> Column:
 
 
 def normalize_ascii(text: Column, case_insensitive: bool = True, trim: bool = True, collapse: bool = True) -> Column:
-    """Normalised text; exact for ASCII texts and inside generated code."""
+    """Normalised text; exact for ASCII texts."""
     out = strip(text) if trim else text
     out = F.regexp_replace(out, rf"{ASCII_SPACE}+", " ") if collapse else out
     return F.lower(out) if case_insensitive else out
 
 
-def normalize_text(text: Column) -> Column:
-    """Normalised text for any script.  The UDF is only needed for texts that are not ASCII."""
-    return F.when(text.rlike(r"\A[\x00-\x7f]*\z"), normalize_ascii(text)).otherwise(unicode_key(text))
+def nfkc_form(text: Column) -> Column:
+    """NFKC form by the ICU library that Spark ships."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
+def folded(text: Column) -> Column:
+    """Full case folding by the ICU library that Spark ships; ``lower`` differs for some letters."""
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
+
+
+#: White space of any script and the four ASCII separators.
+ANY_SPACE = r"(?U)[\s\x1c-\x1f]"
+ASCII_ONLY = r"\A[\x00-\x7f]*\z"
+
+
+def normalize_text(text: Column, case_insensitive: Column | bool = True, trim: Column | bool = True, collapse: Column | bool = True, nfkc: Column | bool = True) -> Column:
+    """Text of any script after NFKC, strip, collapse of white space and case folding, in this order; each can be switched off.
+
+    Switches are constants or columns.  ASCII texts take plain expressions only; nothing leaves the JVM.
+    """
+
+    def step(on: Column | bool, value: Column, changed: Column) -> Column:
+        return (changed if on else value) if isinstance(on, bool) else F.when(on, changed).otherwise(value)
+
+    def steps(t: Column, space: str, fold) -> Column:
+        t = step(trim, t, F.regexp_replace(t, rf"\A{space}+|{space}+\z", ""))
+        t = step(collapse, t, F.regexp_replace(t, rf"{space}+", " "))
+        return step(case_insensitive, t, fold(t))
+
+    plain = steps(text, ASCII_SPACE, F.lower)
+    return F.when(text.rlike(ASCII_ONLY), plain).otherwise(steps(step(nfkc, text, nfkc_form(text)), ANY_SPACE, folded))
+
+
+# The zeros of scripts whose decimal digits follow one another.
+ZEROS = "٠۰߀०০੦૦୦௦౦೦൦๐໐༠၀០᠐０"
+_DIGITS = ("".join(chr(ord(z) + i) for z in ZEROS for i in range(10)), "0123456789" * len(ZEROS))
 
 
 def parse_number(text: Column) -> Column:
-    """Number of a text: thousands commas, fractions a/b and words for infinities are read; else null."""
-    t = F.replace(strip(text), F.lit(","), F.lit(""))
+    """Number of a text: thousands commas, fractions a/b, words for infinities and digits of other scripts are read; else null."""
+    t = F.replace(F.regexp_replace(text, rf"\A{ANY_SPACE}+|{ANY_SPACE}+\z", ""), F.lit(","), F.lit(""))
+    t = F.when(t.rlike(ASCII_ONLY), t).otherwise(F.translate(t, *_DIGITS))
     over, under = F.split_part(t, F.lit("/"), F.lit(1)), F.split_part(t, F.lit("/"), F.lit(2))
     plain = F.replace(t, F.lit("_"), F.lit(""))
     return (
@@ -69,7 +103,7 @@ def numbers_close(a: Column, b: Column, absolute: Column | None = None, relative
     return ~F.isnan(a) & ~F.isnan(b) & ((a == b) | (finite & (F.abs(a - b) <= room)))
 
 
-def texts_match(given: Column, accepted: Column, tolerance: Column | None = None, relative: bool = False, normal=normalize_ascii) -> Column:
+def texts_match(given: Column, accepted: Column, tolerance: Column | None = None, relative: bool = False, normal=normalize_text) -> Column:
     """Normalised texts are equal, or both are numbers within the tolerance."""
     same = normal(F.coalesce(given, F.lit(""))) == normal(accepted)
     if tolerance is None:

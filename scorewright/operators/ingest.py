@@ -41,17 +41,17 @@ def numbering(questions: DataFrame, by: list[str], number: str = "number", pos:
 
 def find_gaps(questions: DataFrame, by: list[str], number: str = "number", pos: str = "pos", expected: str | None = None) -> DataFrame:
     """Runs (first, last) of missing numbers of documents whose numbering rises; ``expected`` names a column
-    of the last number, used if it is at most 50 past the largest seen."""
-    span = numbering(questions, by, number, pos).where("rising AND leads >= 2")
-    if expected:
-        want = questions.groupBy(*by).agg(F.max(expected).alias("_want"))
-        near = (F.col("high") < F.col("_want")) & (F.col("_want") <= F.col("high") + 50)
-        span = span.join(want, by).withColumn("high", F.when(near, F.col("_want")).otherwise(F.col("high")))
-    every = span.select(*by, F.explode(F.sequence("low", "high")).alias("n"))
-    have = questions.select(*by, F.explode(covered_numbers(F.col(number))).alias("n")).distinct()
-    lost = every.join(have, [*by, "n"], "left_anti")
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*by).orderBy("n"))
-    return lost.withColumn("_island", island).groupBy(*by, "_island").agg(F.min("n").alias("first"), F.max("n").alias("last")).drop("_island")
+    of the last number, used if it is at most 50 past the largest seen.  Gaps lie between neighbours,
+    so a misread number costs no more than a row."""
+    span = numbering(questions, by, number, pos).where("rising AND leads >= 2").select(*by, "high")
+    have = questions.select(*by, F.explode(covered_numbers(F.col(number))).alias("n")).distinct().join(span, by, "left_semi")
+    nxt = F.lead("n").over(Window.partitionBy(*by).orderBy("n"))
+    out = have.withColumn("_next", nxt).where("_next > n + 1").select(*by, (F.col("n") + 1).alias("first"), (F.col("_next") - 1).alias("last"))
+    if not expected:
+        return out
+    want = questions.groupBy(*by).agg(F.max(expected).alias("last"))
+    tail = span.join(want, by).where((F.col("high") < F.col("last")) & (F.col("last") <= F.col("high") + 50))
+    return out.unionByName(tail.select(*by, (F.col("high") + 1).alias("first"), "last"))
 
 
 def gap_chunks(gaps: DataFrame, chunk_numbers: DataFrame, by: list[str]) -> DataFrame:
@@ -156,3 +156,62 @@ def synthesised_kind(question_type: Column, has_options: Column, has_bool: Colum
         .when((question_type == "matching") & has_pairs, "matching")
         .otherwise("judge")
     )
+
+
+def question_ids(questions: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """Ids q1, q2, ... of top questions in order, and q1.<suffix> of their children (parent_pos, suffix)."""
+    tops = questions.where("parent_pos IS NULL")
+    named = tops.withColumn("question_id", F.concat(F.lit("q"), F.row_number().over(Window.partitionBy(*by).orderBy(pos)).cast("string")))
+    parents = named.select(*by, F.col(pos).alias("parent_pos"), F.col("question_id").alias("_parent"))
+    kids = questions.where("parent_pos IS NOT NULL").join(parents, [*by, "parent_pos"])
+    nth = F.row_number().over(Window.partitionBy(*by, "parent_pos").orderBy(pos)).cast("string")
+    kids = kids.withColumn("question_id", F.concat_ws(".", "_parent", F.coalesce("suffix", nth))).drop("_parent")
+    return named.unionByName(kids)
+
+
+def index_lines(questions: DataFrame) -> DataFrame:
+    """A printed line for each question: id, number, type, points, option ids."""
+    shown = F.when(F.size("options") > 0, F.concat(F.lit(" options "), F.array_join("options", "/"))).otherwise(F.lit(""))
+    number = F.when(F.col("number").isNotNull(), F.concat(F.lit(" (printed "), "number", F.lit(")"))).otherwise(F.lit(""))
+    return questions.withColumn("line", F.concat("question_id", number, F.lit(": "), "type", shown))
+
+
+def valid_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (by, l, r) of a matching key whose ends both exist; left: by, id; right: by, id."""
+    out = pairs.join(left.select(*by, F.col("id").alias("l")).distinct(), [*by, "l"], "left_semi")
+    return out.join(right.select(*by, F.col("id").alias("r")).distinct(), [*by, "r"], "left_semi")
+
+
+def dropped_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """How many pairs of each question name an end that does not exist."""
+    kept = valid_pairs(pairs, left, right, by).groupBy(*by).agg(F.count("*").alias("kept"))
+    return pairs.groupBy(*by).agg(F.count("*").alias("n")).join(kept, by, "left").select(*by, (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped")).where("dropped > 0")
+
+
+def answer_values(entries: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """Maps from lists of keys and values; of a repeated key the last value counts."""
+    last = entries.groupBy(*by, "key").agg(F.max_by("value", pos).alias("value"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
+
+
+def repaired(questions: DataFrame, recovered: DataFrame, by: list[str], number: str = "number", pos: str = "pos", expected: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Questions with those recovered for their gaps put in place, and the gaps that stay.
+
+    Only documents that ``repair_allowed`` lets through; of what a second pass found, only questions that
+    cover a missing number and whose printed number is not there already, each once.
+    """
+    gaps = find_gaps(questions, by, number, pos, expected)
+    allowed = gaps.join(repair_allowed(gaps, questions, by).select(*by), by, "left_semi")
+    key = normalize_number(F.col(number))
+    seen = questions.select(*by, key.alias("_key")).distinct()
+    fresh = recovered.withColumn("_key", key).join(seen, [*by, "_key"], "left_anti")
+    fresh = fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_key").orderBy(pos))).where("_nth = 1").drop("_nth")
+    numbers = fresh.select(*by, "_key", F.explode(covered_numbers(F.col(number))).alias("n"))
+    on = [numbers[c] == allowed[c] for c in by] + [numbers["n"].between(allowed["first"], allowed["last"])]
+    useful = numbers.join(allowed, on, "left_semi").select(*by, "_key").distinct()
+    add = fresh.join(useful, [*by, "_key"], "left_semi").drop("_key")
+    extra = [c for c in questions.columns if c not in add.columns]
+    add = add.withColumns({c: F.lit(None).cast(questions.schema[c].dataType) for c in extra})
+    out = insert_recovered(questions, add, by, number, pos)
+    left = find_gaps(out.drop(pos).withColumnRenamed("place", pos), by, number, pos, expected)
+    return out, left

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.scoring import percent_or_null
-from scorewright.functions.text import effort_rank, short_subject, split_model
+from scorewright.functions.text import floor5, effort_rank, short_subject, split_model
 
 z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
@@ -155,3 +155,35 @@ def board_markdown(rows: DataFrame, columns: list[str], order: list[Column]) ->
     head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |\n"
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", cells.alias("line")))), lambda x: x["line"]), "\n")
     return numbered.agg(F.concat(F.lit(head), lines).alias("markdown"))
+
+
+def dropped_papers(papers: DataFrame) -> DataFrame:
+    """Papers without deterministic points, which a board of deterministic points leaves out."""
+    return papers.groupBy("subset").agg(F.max(F.coalesce("deterministic_covered_max", F.lit(0.0))).alias("most")).where("most <= 0").select("subset")
+
+
+def selected_papers(papers: DataFrame, wanted: DataFrame, det_only: bool = False) -> DataFrame:
+    """Papers of a selection (subset), without those that a board of deterministic points drops."""
+    out = papers.join(wanted.select("subset").distinct(), "subset", "left_semi")
+    return out.join(dropped_papers(papers), "subset", "left_anti") if det_only else out
+
+
+def unknown_subsets(wanted: DataFrame, papers: DataFrame) -> DataFrame:
+    """Selected subsets that no paper has."""
+    return wanted.select("subset").distinct().join(papers.select("subset").distinct(), "subset", "left_anti")
+
+
+def score_floor(least: Column) -> Column:
+    """Where a score axis begins: the five below the least score, at most 80."""
+    return F.least(floor5(least), F.lit(80.0))
+
+
+def stub_numbers(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Number of each row within its group, given before any filter, so that filters do not move it."""
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def judges_seen(papers: DataFrame, by: str, order: str, judges: str = "judge_models") -> DataFrame:
+    """Distinct judges of each entry in the order in which its papers name them."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, judges))), lambda x: x[judges])
+    return papers.groupBy(by).agg(F.array_distinct(F.flatten(lists)).alias("judges"))

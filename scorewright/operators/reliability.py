@@ -28,22 +28,31 @@ def complete(cell_rows: DataFrame, judges: int) -> DataFrame:
     return cell_rows.where("p IS NOT NULL").withColumn("_k", F.count("*").over(w)).where(F.col("_k") == judges).drop("_k")
 
 
+#: Rows of per-judge and per-group means that are small enough to be broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if its counted rows are few."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def mean_squares(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, k and the mean squares of answers, judges and residual of complete cells (two-way layout)."""
+    """n, k and the mean squares of answers, judges and residual of complete cells (two-way layout).
+
+    Answers' means come from a window over each answer; those of judges and of groups are joined.
+    """
     by = by or []
-    mean = lambda *keys: F.avg("p").over(Window.partitionBy(*by, *keys))
-    if not by:
-        cell_rows, by = cell_rows.withColumn("_all", F.lit(1)), ["_all"]
-        mean = lambda *keys: F.avg("p").over(Window.partitionBy("_all", *keys))
-    row = cell_rows.groupBy(*by, "qid", "sheet").agg(F.avg("p").alias("rm"))
     col = cell_rows.groupBy(*by, "judge").agg(F.avg("p").alias("cm"))
     grand = cell_rows.groupBy(*by).agg(F.avg("p").alias("g"))
-    x = cell_rows.join(row, [*by, "qid", "sheet"]).join(col, [*by, "judge"]).join(grand, by)
+    rows = cell_rows.withColumn("rm", F.avg("p").over(Window.partitionBy(*by, "qid", "sheet")))
+    x = rows.join(small(col), [*by, "judge"])
+    x = x.join(small(grand), by) if by else x.crossJoin(F.broadcast(grand))  # one row
     sq = lambda a, b: F.sum((F.col(a) - F.col(b)) ** 2)
     s = x.groupBy(*by).agg(
         F.count_distinct("qid", "sheet").alias("n"), F.count_distinct("judge").alias("k"), sq("rm", "g").alias("ssr"), sq("cm", "g").alias("ssc"), sq("p", "g").alias("sst")
     )
-    out = s.select(
+    return s.where("n > 0").select(
         *by,
         "n",
         "k",
@@ -51,7 +60,6 @@ def mean_squares(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame
         F.try_divide("ssc", F.col("k") - 1).alias("msc"),
         F.try_divide(F.col("sst") - F.col("ssr") - F.col("ssc"), (F.col("n") - 1) * (F.col("k") - 1)).alias("mse"),
     )
-    return out.drop("_all")
 
 
 def icc(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -177,3 +185,63 @@ def cluster_bootstrap(cell_rows: DataFrame, draws: int = 200, seed: int = 1) ->
     picks = cell_rows.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), "id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_i"))
     rows = picks.join(qs, "_i").join(cell_rows, "qid").select("draw", F.concat_ws("#", "qid", F.col("id").cast("string")).alias("qid"), "sheet", "judge", "p")
     return icc(rows, ["draw"])
+
+
+def conditions(rows: DataFrame, empty: str, reference: str) -> DataFrame:
+    """Per condition: answers, judges' mean range, mean score, and means of the empty and the reference anchor.
+
+    rows: condition, qid, sheet, judge, p.
+    """
+    per = rows.groupBy("condition", "qid", "sheet").agg(F.avg("p").alias("m"), (F.max("p") - F.min("p")).alias("range"))
+    real = ~F.col("sheet").isin(empty, reference)
+    at = lambda cond, c: F.avg(F.when(cond, F.col(c)))
+    return per.groupBy("condition").agg(
+        F.count_if(real).alias("answers"),
+        at(real, "range").alias("disagreement"),
+        at(real, "m").alias("mean"),
+        at(F.col("sheet") == empty, "m").alias("empty_mean"),
+        at(F.col("sheet") == reference, "m").alias("reference_mean"),
+    )
+
+
+def writers(rows: DataFrame, writer: str = "sheet") -> DataFrame:
+    """Per writer: mean, population deviation and minimum of the panel's means over questions."""
+    per = rows.groupBy(writer, "qid").agg(F.avg("p").alias("m"))
+    return per.groupBy(writer).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), F.min("m").alias("least"))
+
+
+def writer_ranks(rows: DataFrame, first: list[str], second: list[str], writer: str = "sheet") -> DataFrame:
+    """Rank of every writer under two panels of judges, best first, ties by name.
+
+    Ranks go over writers, a handful, so one task makes them.
+    """
+    of = lambda names: F.avg(F.when(F.col("judge").isin(names), F.col("p")))
+    per = rows.groupBy(writer).agg(of(first).alias("a"), of(second).alias("b"))
+    rank = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), writer))
+    return per.withColumns({"rank_a": rank("a"), "rank_b": rank("b")})
+
+
+def family_lengths(rows: DataFrame, family: str = "wfam", length: str = "len") -> DataFrame:
+    """Mean answer length of each writer family, each answer once."""
+    once = rows.groupBy(family, "qid", "sheet").agg(F.max(length).alias("n"))
+    return once.groupBy(family).agg(F.avg("n").alias("mean_length"), F.count("*").alias("answers"))
+
+
+def median_spearman(values: DataFrame, by: list[str], x: str, y: str, tie: list[str], least: int = 4) -> DataFrame:
+    """The median over groups of their rank correlations."""
+    return spearman_within(values, by, x, y, tie, least).where("rho IS NOT NULL").agg(F.median("rho").alias("median_rho"), F.count("*").alias("groups"))
+
+
+STUDY_FILE = r"([A-Za-z0-9.]+)__([A-Za-z0-9.:-]+?)(?:__r([0-9]+))?[.]json$"
+
+
+def study_rows(reports: DataFrame, pattern: str = STUDY_FILE) -> DataFrame:
+    """Study rows from grade reports (file, question_id, mode, awarded, max_points): sheet, judge and repeat from file names.
+
+    Only judged questions count; p is the share of the points, null without points.
+    """
+    part = lambda i: F.regexp_extract("file", pattern, i)
+    return reports.where("mode = 'judge'").select(
+        F.col("question_id").alias("qid"), part(1).alias("sheet"), part(2).alias("judge"),
+        F.coalesce(F.nullif(part(3), F.lit("")).try_cast("int"), F.lit(1)).alias("rep"), F.try_divide("awarded", "max_points").alias("p"),
+    ).where("sheet <> ''")

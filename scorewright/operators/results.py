@@ -186,3 +186,55 @@ def question_rows(results: DataFrame, agreement: DataFrame | None = None) -> Dat
     if agreement is None:
         return out
     return out.join(agreement.select("run_id", "question_id", F.col("spread").alias("judge_spread")), ["run_id", "question_id"], "left")
+
+
+def entries(runs: DataFrame) -> DataFrame:
+    """One row per entry from its runs: taker, repeats, first and last run; mixed configurations stop the query.
+
+    runs: entry_id, model, effort, run_index, started_at, finished_at, subset.
+    """
+    mixed = F.count_distinct(F.struct("model", F.coalesce("effort", F.lit("")).alias("effort"))) > 1
+    return runs.groupBy("entry_id").agg(
+        F.when(mixed, F.raise_error(F.concat(F.lit("more than one configuration in entry "), F.col("entry_id")))).otherwise(F.min("model")).alias("model"),
+        F.min("effort").alias("effort"),
+        F.max("run_index").alias("repeat"),
+        F.count_distinct("subset").alias("papers"),
+        F.min("started_at").alias("first_run_at"),
+        F.max(F.coalesce("finished_at", "started_at")).alias("last_run_at"),
+    )
+
+
+def failed_statuses(runs: DataFrame) -> DataFrame:
+    """Statuses of the runs of each entry and paper that failed, in order of the runs."""
+    bad = F.filter(F.array_sort(F.collect_list(F.struct("run_index", "status"))), lambda x: x["status"] != "ok")
+    return runs.groupBy("entry_id", "subset").agg(F.transform(bad, lambda x: x["status"]).alias("failed"))
+
+
+def reindex(papers: DataFrame, path: str = "path") -> DataFrame:
+    """The index from scratch: headline numbers of every entry, of papers read twice the one of the later path."""
+    cols = [c for c in papers.columns if c not in ("entry_id", "subset")]
+    last = papers.groupBy("entry_id", "subset").agg(F.max_by(F.struct(*cols), path).alias("x")).select("entry_id", "subset", "x.*")
+    return index_entries(last)
+
+
+# Columns and types of the published question table of a result.
+QUESTION_COLUMNS = (
+    "entry_id string, model string, effort string, source_repo string, subset string, run_index int, question_id string, section_id string, number string, "
+    "question_type string, rule_kind string, mode string, max_points double, awarded double, ratio double, judge_verdicts int, judge_spread double, detail_json string"
+)
+
+
+def published_questions(results: DataFrame) -> DataFrame:
+    """The published table: all columns of ``QUESTION_COLUMNS`` in order and with their types.
+
+    A column that ``results`` lacks is empty text or null; number falls back to question_id, ratio is awarded over max_points.
+    """
+    out = results.withColumn("ratio", F.try_divide("awarded", "max_points"))
+    cols = []
+    for field in QUESTION_COLUMNS.split(", "):
+        name, kind = field.split(" ")
+        value = F.col(name) if name in out.columns else F.lit(None)
+        if name == "number":
+            value = F.coalesce(value, "question_id")
+        cols.append((F.coalesce(value, F.lit("")) if kind == "string" and name != "detail_json" else value).cast(kind).alias(name))
+    return out.select(*cols)

@@ -267,7 +267,7 @@ def group_by_exam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("entry_id", "exam", "awarded", "percentage"), "awarded", "percentage")
 
 
-_AXES = [f"exam{i}-115-s{j}" for i in range(2) for j in range(2)]
+_AXES = [f"exam{i}-115-s{j}" for i in range(3) for j in range(7)]
 
 
 @query(f"WITH {A.PAPERS_SQL} SELECT entry_id, " + ", ".join(f"round(max(100 * (da + ja) / (dm + jm)) FILTER (subset = '{s}'), 6) AS \"{s}\"" for s in _AXES) + " FROM papers GROUP BY entry_id")

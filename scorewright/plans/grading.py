@@ -92,6 +92,29 @@ def grade_fill_in_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.round(S.blanks_points(m, F.lit(4.0), F.lit(0.0), F.lit(False)), 6).alias("weighted"), S.blanks_points(m, F.lit(4.0), F.lit(0.0), F.lit(True)).alias("strict"))
 
 
+#: Texts of four scripts and widths, and what each is after normalisation.
+_SCRIPTS = [("ＢＵＩＬＤＩＮＧ　１", "building 1"), ("Straße", "STRASSE"), ("ﬁsh", "FISH"), ("１２", "12"), ("ΣΊΣΥΦΟΣ", "σίσυφος"), ("３／４", "0.75"), ("日本", "日 本"), ("I", "ı")]
+#: Which of them match: by their normal form, or as numbers within a thousandth.
+_SCRIPTS_MATCH = [1, 1, 1, 1, 1, 0, 0, 0]
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 8 AS INT) AS k, o_orderkey % 3 = 0 AS plain FROM orders)
+    SELECT o_orderkey, CASE WHEN plain THEN k = 3 ELSE {_SCRIPTS_MATCH}[k + 1] = 1 END AS matched FROM t"""
+)
+def grade_blank_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks in full-width, ligatured, cased and spaced letters; a third of the rules switch all normalisation off.
+
+    Full-width digits are read as numbers even then, so 12 matches within its tolerance.
+    """
+    k = F.col("o_orderkey")
+    at = lambda i: F.get(F.array(*(F.lit(p[i]) for p in _SCRIPTS)), (k % 8).cast("int"))
+    blanks = F.array(F.struct(F.lit("b").alias("id"), F.array(F.lit("none of these"), at(1)).alias("accepted"), F.lit(1.0).alias("weight")))
+    on = k % 3 != 0
+    m = grading.blank_matches(F.create_map(F.lit("b"), at(0)), blanks, F.lit(0.001), F.lit(False), dict.fromkeys(grading.SWITCHES, on))
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", m[0]["matched"].alias("matched"))
+
+
 @query(
     """WITH g AS (SELECT s_suppkey, n_nationkey AS l, (n_regionkey + CASE WHEN (s_suppkey + n_nationkey) % 3 = 0 THEN 1 ELSE 0 END) AS r, n_regionkey AS e,
                          (s_suppkey + n_nationkey) % 5 = 0 AS absent FROM supplier CROSS JOIN nation)
@@ -109,38 +132,42 @@ def grade_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """Twenty exams over all parts; every supplier sits one of them; text-only takers are those with an odd id."""
-    q = F.col("question_id")
-    exam = lambda c: (c % 20).cast("string").alias("exam_id")
-    rules = A.rules(spark, sf_dir).select(
-        exam(q), q.cast("string").alias("question_id"), F.concat(F.lit("s"), (q % 5).cast("string")).alias("section_id"),
+    """An exam for each supplier over the parts it met; a tenth of them it leaves unanswered, and odd exams lack a rule here and there.
+
+    Text-only takers are those with an odd id.
+    """
+    t, q = F.col("taker"), F.col("question_id")
+    met = A.picks(spark, sf_dir)
+    ruled = met.select("taker", "question_id").join(A.rules(spark, sf_dir), "question_id").where(~((q % 17 == 0) & (t % 2 == 1)))
+    exam = t.cast("string").alias("exam_id")
+    rules = ruled.select(
+        exam, q.cast("string").alias("question_id"), F.concat(F.lit("s"), (q % 5).cast("string")).alias("section_id"),
         F.when(q % 11 == 0, "judge").otherwise("choice").alias("kind"), "max_points", "min_points", "correct", F.lit(None).cast("boolean").alias("correct_bool"),
         F.col("partial").alias("partial_credit"), F.col("penalty").alias("wrong_penalty"), "negative", F.lit(None).cast("array<double>").alias("ratios"),
         F.lit(None).cast("array<struct<id: string, accepted: array<string>, weight: double>>").alias("blanks"), F.lit(None).cast("double").alias("tolerance"),
         F.lit(False).alias("relative"), F.lit(False).alias("all_or_nothing"), F.lit(None).cast("map<string,string>").alias("pairs"),
     )
-    answers = A.picks(spark, sf_dir).select(
-        F.col("taker").cast("string").alias("run_id"), exam(F.col("taker")), q.cast("string").alias("question_id"),
+    answers = met.where((t + q) % 10 != 0).select(
+        t.cast("string").alias("run_id"), exam, q.cast("string").alias("question_id"),
         F.when(q % 13 == 0, "essay").when(q % 4 == 0, "single_choice").otherwise("multiple_choice").alias("type"), "selected", F.lit(None).cast("boolean").alias("value"),
         F.lit(None).cast("map<string,string>").alias("blanks"), F.lit(None).cast("map<string,string>").alias("pairs"), F.lit("").alias("text"),
     )
     s = F.col("s_suppkey")
-    runs = A.table(spark, sf_dir, "supplier").select(
-        s.cast("string").alias("run_id"), exam(s), F.when(s % 2 == 1, F.array(F.lit("text"))).otherwise(F.array(F.lit("image"), F.lit("text"))).alias("capabilities"), F.concat(F.lit("m"), (s % 4).cast("string")).alias("model")
-    )
-    needs = A.rules(spark, sf_dir).where(q % 3 == 0).select(exam(q), q.cast("string").alias("question_id"), F.array(F.lit("image"), F.lit("text")).alias("modalities"))
+    able = F.when(s % 2 == 1, F.array(F.lit("text"))).otherwise(F.array(F.lit("image"), F.lit("text")))
+    runs = A.table(spark, sf_dir, "supplier").select(s.cast("string").alias("run_id"), s.cast("string").alias("exam_id"), able.alias("capabilities"))
+    needs = ruled.where(q % 3 == 0).select(exam, q.cast("string").alias("question_id"), F.array(F.lit("image"), F.lit("text")).alias("modalities"))
     judged = answers.where(F.col("question_id").cast("bigint") % 22 == 0).select("run_id", "question_id", F.lit(0.5).alias("awarded"))
     return rules, answers, runs, needs, judged
 
 
 _LADDER_SQL = A.SQL + """, res AS (
-    SELECT s.s_suppkey AS run, r.question_id AS q, r.question_id % 5 AS section, r.high,
-           CASE WHEN c.sel IS NULL AND s.s_suppkey % 2 = 1 AND r.question_id % 3 = 0 THEN 'skipped'
-                WHEN c.sel IS NULL THEN 'unanswered'
-                WHEN r.question_id % 11 = 0 AND r.question_id % 22 = 0 THEN 'judge'
-                WHEN r.question_id % 11 = 0 THEN 'error'
-                WHEN r.question_id % 13 = 0 THEN 'error' ELSE 'deterministic' END AS mode, c.points
-    FROM supplier s JOIN rules r ON r.question_id % 20 = s.s_suppkey % 20 LEFT JOIN scored c ON c.taker = s.s_suppkey AND c.question_id = r.question_id
+    SELECT taker AS run, question_id AS q, question_id % 5 AS section, high,
+           CASE WHEN (taker + question_id) % 10 = 0 AND taker % 2 = 1 AND question_id % 3 = 0 THEN 'skipped'
+                WHEN (taker + question_id) % 10 = 0 THEN 'unanswered'
+                WHEN question_id % 22 = 0 THEN 'judge'
+                WHEN question_id % 11 = 0 THEN 'error'
+                WHEN question_id % 13 = 0 THEN 'error' ELSE 'deterministic' END AS mode, points
+    FROM scored WHERE NOT (question_id % 17 = 0 AND taker % 2 = 1)
 ), graded AS (
     SELECT *, CASE mode WHEN 'judge' THEN 0.5 WHEN 'deterministic' THEN points ELSE 0.0 END AS awarded FROM res
 )"""
@@ -157,7 +184,7 @@ def grade_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).groupBy("run_id", "mode").agg(F.count("*").alias("questions"), F.round(F.sum("awarded"), 6).alias("awarded"))
 
 
-@query(f"WITH {_LADDER_SQL} SELECT CAST(run AS VARCHAR) AS run_id, CAST(run % 20 AS VARCHAR) AS exam_id, 's' || section AS section_id, round(sum(awarded), 6) AS awarded, round(sum(high), 6) AS max_points FROM graded GROUP BY run, section")
+@query(f"WITH {_LADDER_SQL} SELECT CAST(run AS VARCHAR) AS run_id, CAST(run AS VARCHAR) AS exam_id, 's' || section AS section_id, round(sum(awarded), 6) AS awarded, round(sum(high), 6) AS max_points FROM graded GROUP BY run, section")
 def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grading.section_totals(results(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in ("awarded", "max_points")})
@@ -175,7 +202,7 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("awarded", "total_points", "covered_max", "percentage", "covered_percentage")})
 
 
-@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS run_id, CAST(l_partkey AS VARCHAR) AS question_id FROM lineitem WHERE l_partkey % 20 <> l_suppkey % 20 OR l_partkey NOT IN (SELECT p_partkey FROM part)")
+@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS run_id, CAST(l_partkey AS VARCHAR) AS question_id FROM lineitem WHERE (l_suppkey + l_partkey) % 10 <> 0 AND l_partkey % 17 = 0 AND l_suppkey % 2 = 1")
 def unknown_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, answers, *_ = _sheets(spark, sf_dir)
     return grading.unknown_answers(answers, rules).select("run_id", "question_id")
@@ -186,7 +213,9 @@ def unknown_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def self_judging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd exams have m1 as their only judge, the others two that take none."""
-    runs = _sheets(spark, sf_dir)[2]
+    s = F.col("s_suppkey")
+    model = F.concat(F.lit("m"), (s % 4).cast("string")).alias("model")
+    runs = A.table(spark, sf_dir, "supplier").select(s.cast("string").alias("run_id"), (s % 20).cast("string").alias("exam_id"), model)
     judges = spark.createDataFrame([(str(e), j) for e in range(20) for j in (["m1"] if e % 2 else ["x", "y"])], "exam_id string, judge string")
     return grading.self_judging(runs, judges)
 
@@ -200,6 +229,18 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(T.normalize_ascii(F.col("text")), 256).alias("sha"), F.length("text").cast("bigint").alias("n"))
 
 
+@query(
+    """WITH t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'straße ' WHEN 1 THEN '１２ ' WHEN 2 THEN 'ﬁ ' ELSE 'plain ' END AS head, lower(c_name) AS name FROM customer)
+    SELECT c_custkey, CASE head WHEN 'straße ' THEN 'strasse ' WHEN '１２ ' THEN '12 ' WHEN 'ﬁ ' THEN 'fi ' ELSE 'plain ' END || name AS normal, CASE head WHEN '１２ ' THEN 12.0 END AS number FROM t"""
+)
+def normalize_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names behind words in other widths and cases, with ideographic spaces around."""
+    k = F.col("c_custkey")
+    head = F.when(k % 4 == 0, "STRAẞE").when(k % 4 == 1, "１２").when(k % 4 == 2, "ﬁ").otherwise("plain")
+    shown = F.concat(F.lit("\u3000"), head, F.lit(" \u3000\n"), "c_name", F.lit("\u2003"))
+    return A.table(spark, sf_dir, "customer").select("c_custkey", T.normalize_text(shown).alias("normal"), T.parse_number(head).alias("number"))
+
+
 @query()
 def normalize_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NFKC, strip, collapse and fold case; beyond SQL, held against plain Python in the tests."""

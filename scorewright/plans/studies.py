@@ -122,13 +122,16 @@ def answer_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S}, m AS (SELECT wfam AS condition, qid, sheet, avg(p) AS m FROM study GROUP BY ALL), s AS (SELECT condition, qid, stddev_pop(m) AS spread FROM m GROUP BY ALL)
-    SELECT a.condition, count(*) AS questions, round(median(a.spread / nullif(b.spread, 0)), 6) AS median_ratio FROM s a JOIN s b USING (qid) WHERE a.condition = '1' AND b.condition = '0' AND b.spread >= 0.01 GROUP BY a.condition"""
+    f"""WITH {S}, d AS (SELECT *, p + CASE WHEN qid % 3 <> 0 THEN sheet / 8.0 * CASE WHEN wfam = '0' THEN 0.5 ELSE 0.3 END ELSE 0 END AS d FROM study), m AS (SELECT wfam AS condition, qid, sheet, avg(d) AS m FROM d GROUP BY ALL), s AS (SELECT condition, qid, stddev_pop(m) AS spread FROM m GROUP BY ALL)
+    SELECT a.condition, count(*) AS questions, round(median(a.spread / nullif(b.spread, 0)), 6) AS median_ratio FROM s a JOIN s b USING (qid) WHERE a.condition = '1' AND b.condition = '0' AND b.spread >= 0.1 GROUP BY a.condition"""
 )
 def ablation_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.study(spark, sf_dir).groupBy(F.col("wfam").alias("condition"), "qid", "sheet").agg(F.avg("p").alias("m"))
+    """Two questions in three tell the sheets apart, less so under the second condition."""
+    by_sheet = F.col("sheet") / 8 * F.when(F.col("wfam") == "0", 0.5).otherwise(0.3)
+    d = A.study(spark, sf_dir).withColumn("p", F.col("p") + F.when(F.col("qid") % 3 != 0, by_sheet).otherwise(0.0))
+    m = d.groupBy(F.col("wfam").alias("condition"), "qid", "sheet").agg(F.avg("p").alias("m"))
     s = m.groupBy("condition", "qid").agg(F.stddev_pop("m").alias("spread"))
-    return reliability.retention(s, "0", 0.01).withColumn("median_ratio", F.round("median_ratio", 6))
+    return reliability.retention(s, "0").withColumn("median_ratio", F.round("median_ratio", 6))
 
 
 @query(f"WITH {S} SELECT jfam, wfam, round(avg(p), 6) AS mean, count(*) AS n FROM study GROUP BY CUBE (jfam, wfam)")
