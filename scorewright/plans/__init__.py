@@ -1,6 +1,6 @@
 """Queries of the library's operators over the driver's tables, with their SQL."""
 
-from scorewright.plans import boards, grading, rendering, studies
+from scorewright.plans import boards, coverage, grading, rendering, studies
 
-QUERIES = grading.QUERIES | boards.QUERIES | studies.QUERIES | rendering.QUERIES
-ORACLE_SQL = grading.ORACLE_SQL | boards.ORACLE_SQL | studies.ORACLE_SQL | rendering.ORACLE_SQL
+QUERIES = grading.QUERIES | boards.QUERIES | studies.QUERIES | rendering.QUERIES | coverage.QUERIES
+ORACLE_SQL = grading.ORACLE_SQL | boards.ORACLE_SQL | studies.ORACLE_SQL | rendering.ORACLE_SQL | coverage.ORACLE_SQL

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.operators import grading, judging, structure
+
 BENCH = (
-    "exam_id string, title string, effort string, total_points double, judge_models array<string>, started_at timestamp, finished_at timestamp, "
-    "rows array<struct<model: string, slug: string, run_index: int, status: string, awarded: double, covered_max: double, covered_percentage: double, max_points: double, solve_secs: double, grade_secs: double>>"
+    "exam_id string, title string, bundle_dir string, effort string, total_points double, judge_models array<string>, started_at timestamp, finished_at timestamp, "
+    "rows array<struct<model: string, slug: string, run_index: int, status: string, awarded: double, covered_max: double, covered_percentage: double, max_points: double, solve_secs: double, grade_secs: double, answers_path: string, report_path: string>>"
 )
 REPORT = (
     "exam_id string, total_awarded double, total_max double, "
@@ -38,10 +40,9 @@ def whole_json(spark: SparkSession, path: str, schema: str, name: str) -> DataFr
 def json_text(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Files called ``name`` as text: folder, json.  Nested documents keep their shape for ``structure.flatten_exam``."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", name)
-        .text(path)
+        .text(path, wholetext=True)  # an option of that name would be overridden
         .select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"), F.col("value").alias("json"))
     )
 
@@ -49,22 +50,136 @@ def json_text(spark: SparkSession, path: str, name: str) -> DataFrame:
 def read_runs(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """Rows of all bench.json files below ``path``; ``model`` filters takers before anything is joined."""
     bench = whole_json(spark, path, BENCH, "bench.json")
-    rows = bench.select("folder", "exam_id", "effort", "started_at", "finished_at", F.posexplode("rows").alias("pos", "r")).select("folder", "exam_id", "effort", "started_at", "finished_at", "pos", "r.*")
+    of = ["folder", "exam_id", "bundle_dir", "effort", "started_at", "finished_at"]
+    rows = bench.select(*of, F.posexplode("rows").alias("pos", "r")).select(*of, "pos", "r.*")
     return rows if model is None else rows.where(F.col("model") == model)
 
 
 GRADING = (
-    "exam_id string, questions map<string, struct<question_id: string, max_points: double, min_points: double, "
-    "rule: struct<kind: string, correct: string, ratio_by_errors: array<double>>>>"
+    "exam_id string, judge struct<models: array<string>, aggregation: string>, "
+    "questions map<string, struct<question_id: string, max_points: double, min_points: double, rule: struct<kind: string, correct: string, partial_credit: boolean, "
+    "wrong_selection_penalty: double, negative_marking: double, ratio_by_errors: array<double>, blanks: map<string, struct<accepted: array<string>, weight: double>>, "
+    "normalization: struct<case_insensitive: boolean, strip: boolean, collapse_whitespace: boolean, unicode_nfkc: boolean, numeric_tolerance: double, numeric_relative: boolean>, "
+    "all_or_nothing: boolean, correct_pairs: map<string, string>, wrong_pair_penalty: double, reference_answer: string, judge_instructions: string, "
+    "rubric: array<struct<id: string, description: string, levels: array<struct<points: double, descriptor: string>>>>>>>"
+)
+SHEET = (
+    "exam_id string, taker string, answers map<string, struct<type: string, selected: string, value: boolean, blanks: map<string, string>, pairs: map<string, string>, "
+    "text: string, description: string, image_asset: string>>"
 )
+MANIFEST = "name string, version string, created_at string"
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of all grading.json files below ``path``: exam_id, question_id, kind, points, options, ratios."""
-    spec = whole_json(spark, path, GRADING, "grading.json").select("exam_id", F.explode("questions").alias("question_id", "g"))
+    """Rules of all grading.json files below ``path``, with everything that ``grading.grade_sheets`` reads but sections.
+
+    Defaults: floor 0, no penalty, weight 1, all normalisation on, judges' mean.
+    """
+    spec = whole_json(spark, path, GRADING, "grading.json").select("folder", "exam_id", "judge", F.explode("questions").alias("question_id", "g"))
+    r, n = "g.rule.", "g.rule.normalization."
+    off = lambda c: F.coalesce(F.col(c), F.lit(False))
+    on = lambda c: F.coalesce(F.col(c), F.lit(True))
+    text = F.trim(F.col(r + "correct"))
     # the key of a choice is a list, that of a true-false rule a boolean
-    correct = F.when(F.col("g.rule.correct").startswith("["), F.from_json("g.rule.correct", "array<string>"))
-    return spec.select("exam_id", "question_id", "g.rule.kind", "g.max_points", "g.min_points", correct.alias("correct"), F.col("g.rule.ratio_by_errors").alias("ratios"))
+    correct = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    blanks = F.transform(F.map_entries(r + "blanks"), lambda e: F.struct(e["key"].alias("id"), e["value"]["accepted"].alias("accepted"), F.coalesce(e["value"]["weight"], F.lit(1.0)).alias("weight")))
+    return spec.select(
+        "folder", "exam_id", "question_id", r + "kind", "g.max_points", F.coalesce("g.min_points", F.lit(0.0)).alias("min_points"), correct.alias("correct"),
+        F.when(F.col(r + "kind") == "true_false", F.lower(text).try_cast("boolean")).alias("correct_bool"), off(r + "partial_credit").alias("partial_credit"),
+        F.coalesce(r + "wrong_selection_penalty", r + "wrong_pair_penalty", F.lit(0.0)).alias("wrong_penalty"), F.col(r + "negative_marking").alias("negative"),
+        F.col(r + "ratio_by_errors").alias("ratios"), blanks.alias("blanks"), F.col(n + "numeric_tolerance").alias("tolerance"), off(n + "numeric_relative").alias("relative"),
+        off(r + "all_or_nothing").alias("all_or_nothing"), F.col(r + "correct_pairs").alias("pairs"),
+        on(n + "case_insensitive").alias("case_insensitive"), on(n + "strip").alias("trim"), on(n + "collapse_whitespace").alias("collapse"), on(n + "unicode_nfkc").alias("nfkc"),
+        r + "reference_answer", r + "judge_instructions", r + "rubric", F.coalesce("judge.models", F.array().cast("array<string>")).alias("judge_models"), F.coalesce("judge.aggregation", F.lit("mean")).alias("aggregation"),
+    )
+
+
+def rubric_levels(rules: DataFrame) -> DataFrame:
+    """Criteria of all rubrics: exam_id, question_id, criterion_id, description, levels falling."""
+    c = rules.where("size(rubric) > 0").select("exam_id", "question_id", F.explode("rubric").alias("c"))
+    levels = F.reverse(F.array_sort(F.transform("c.levels", lambda x: x["points"])))
+    return c.select("exam_id", "question_id", F.col("c.id").alias("criterion_id"), "c.description", levels.alias("levels"))
+
+
+def read_sheets(spark: SparkSession, path: str, name: str = "*-answers.json") -> tuple[DataFrame, DataFrame]:
+    """(answers, runs) of all answer sheets below ``path``; a run is named by its file's path from there.
+
+    A single choice becomes a list of one; text of a drawing is its description.
+    """
+    root = F.lit(path.rstrip("/") + "/")
+    run = F.regexp_replace(F.element_at(F.split(F.col("_file"), root), -1), r"[.]json$", "")
+    sheets = whole_json(spark, path, SHEET, name).withColumn("_file", F.input_file_name()).withColumn("run_id", run)
+    a = sheets.select("run_id", "exam_id", F.explode("answers").alias("question_id", "a"))
+    chosen = F.when(F.trim("a.selected").startswith("["), F.from_json("a.selected", "array<string>")).when(F.col("a.selected").isNotNull(), F.array("a.selected"))
+    answers = a.select("run_id", "exam_id", "question_id", "a.type", chosen.alias("selected"), "a.value", "a.blanks", "a.pairs", F.coalesce("a.text", "a.description").alias("text"))
+    return answers, sheets.select("run_id", "exam_id", "taker")
+
+
+def read_manifests(spark: SparkSession, path: str, exams: DataFrame) -> DataFrame:
+    """The manifest of each exam folder (``exams``: folder, exam_id); a folder without one gets the exam's id and version 1."""
+    found = whole_json(spark, path, MANIFEST, "manifest.json")
+    return exams.join(found, "folder", "left").select("folder", "exam_id", F.coalesce("name", "exam_id").alias("name"), F.coalesce("version", F.lit("1")).alias("version"), "created_at")
+
+
+def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, rules) of all bundle folders below ``path``; rules have their section, null if the exam lacks the question."""
+    nodes = structure.flatten_exam(json_text(spark, path, "exam.json"))
+    leaf = structure.leaves(nodes).select("exam_id", F.col("node_id").alias("question_id"), "section_id")
+    return nodes, read_rules(spark, path).join(leaf, ["exam_id", "question_id"], "left")
+
+
+def grade_folder(spark: SparkSession, bundles: str, sheets: str, verdicts: DataFrame | None = None, capabilities: list[str] | None = None) -> DataFrame:
+    """From files to results: all sheets below ``sheets`` under the rules of the bundles below ``bundles``.
+
+    verdicts: run_id, question_id, judge, total, combined as each exam's judges say; rules whose question the exam lacks are left out.
+    """
+    nodes, rules = read_bundles(spark, bundles)
+    answers, runs = read_sheets(spark, sheets)
+    runs = runs.withColumn("capabilities", F.lit(capabilities).cast("array<string>") if capabilities else F.lit(None).cast("array<string>"))
+    judged = None
+    if verdicts is not None:
+        # own names, as runs and rules are joined again below
+        run = runs.select(F.col("run_id").alias("_run"), F.col("exam_id").alias("_exam"))
+        rule = rules.select(F.col("exam_id").alias("_exam"), F.col("question_id").alias("_question"), F.col("aggregation").alias("_how"))
+        how = run.join(rule, "_exam").select(F.col("_run").alias("run_id"), F.col("_question").alias("question_id"), F.col("_how").alias("aggregation"))
+        met = verdicts.join(how, ["run_id", "question_id"])
+        ways = [judging.combine(met.where(F.col("aggregation") == w), w) for w in ("mean", "median", "min", "max")]
+        judged = ways[0].unionByName(ways[1]).unionByName(ways[2]).unionByName(ways[3])
+    needs = structure.modalities(nodes)
+    return grading.grade_sheets(rules.where("section_id IS NOT NULL"), answers, runs, needs, judged)
+
+
+def load_runs(spark: SparkSession, *paths: str, model: str | None = None) -> DataFrame:
+    """Rows of the bench files below all ``paths``, each file once, with subset and the questions of the reports of ok rows.
+
+    results is array<struct<question_id, mode, max_points, awarded, detail>>, null for rows that are not ok.  No row at
+    all, or an ok row without its report, is an error.
+    """
+    rows = read_runs(spark, paths[0], model)
+    reports = whole_json(spark, paths[0], REPORT, "*-report.json").withColumn("_file", F.input_file_name())
+    for p in paths[1:]:
+        rows = rows.unionByName(read_runs(spark, p, model))
+        reports = reports.unionByName(whole_json(spark, p, REPORT, "*-report.json").withColumn("_file", F.input_file_name()))
+    if rows.isEmpty():
+        raise ValueError(f"no runs below {', '.join(paths)}" + (f" of {model}" if model else ""))
+    entries = F.transform(F.map_entries("results"), lambda e: F.struct(e["key"].alias("question_id"), *(e["value"][c].alias(c) for c in ("mode", "max_points", "awarded", "detail"))))
+    graded = reports.dropDuplicates(["_file"]).select("_file", F.array_sort(entries).alias("results"))
+    at = F.concat_ws("/", "folder", "report_path")
+    out = rows.dropDuplicates(["folder", "pos"]).withColumn("_file", F.when(F.col("status") == "ok", at)).join(graded, "_file", "left")
+    lost = out.where("status = 'ok' AND results IS NULL").select("folder", "slug").limit(5).collect()  # a few to name
+    if lost:
+        raise ValueError("missing grade reports: " + ", ".join(f"{r.folder} {r.slug}" for r in lost))
+    return out.withColumn("subset", F.element_at(F.split("bundle_dir", "/"), -1)).drop("_file")
+
+
+def with_bundles(runs: DataFrame, *candidates: DataFrame, fallback: bool = False) -> DataFrame:
+    """``first_bundle`` for every run; subsets without one are an error, or with ``fallback`` are classified by mode."""
+    out = first_bundle(runs, *candidates).withColumn("classification", F.when(F.col("bundle").isNull(), "mode-fallback").otherwise("rules"))
+    if not fallback:
+        lost = out.where("bundle IS NULL").select("subset").distinct().orderBy("subset").limit(50).collect()
+        if lost:
+            raise ValueError("no bundle for " + ", ".join(r.subset for r in lost))
+    return out
 
 
 def read_reports(spark: SparkSession, path: str, name: str = "*.grade.json") -> DataFrame:
@@ -158,3 +273,62 @@ def is_repo_id(text: Column) -> Column:
 def is_entry_id(text: Column) -> Column:
     """Lower-case words joined by single marks, without the published prefix."""
     return text.rlike(r"^[a-z0-9][a-z0-9._-]*$") & ~text.startswith(RESULTS)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, through the file system of its path."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_bundle(spark: SparkSession, folder: str, exam: dict, grading_spec: dict, schema: dict, manifest: dict | None = None) -> None:
+    """The four documents of a bundle as indented JSON; null fields stay as they are given."""
+    import json
+
+    documents = {"exam.json": exam, "grading.json": grading_spec, "answer.schema.json": schema, "manifest.json": manifest or {"name": exam["id"], "version": "1"}}
+    for name, document in documents.items():
+        write_text(spark, f"{folder.rstrip('/')}/{name}", json.dumps(document, ensure_ascii=False, indent=2) + "\n")
+
+
+def write_entry_files(entries: DataFrame, papers: DataFrame, index: DataFrame, folder: str) -> None:
+    """results-index.json, and results-<id>/entry.json of each entry with its papers; writing again replaces.
+
+    A board's rows go through the driver one by one: they are takers, not answers.
+    """
+    import json
+
+    spark = entries.sparkSession
+    folder = folder.rstrip("/")
+    per = papers.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("subset", *(c for c in papers.columns if c not in ("subset", "entry_id"))))).alias("papers"))
+    for r in entries.join(per, "entry_id", "left").select("entry_id", F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+        write_text(spark, f"{folder}/{RESULTS}{r['entry_id']}/entry.json", json.dumps(json.loads(r["json"]), ensure_ascii=False, indent=2) + "\n")
+    from scorewright.operators.results import board_key
+
+    rows = [json.loads(r["json"]) for r in index.orderBy(board_key(), "entry_id").select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()]
+    write_text(spark, f"{folder}/results-index.json", json.dumps({"entries": rows}, ensure_ascii=False, indent=2) + "\n")
+
+
+PAPER = (
+    "subset: string, ok_runs: int, deterministic_awarded: double, deterministic_covered_max: double, judge_awarded: double, judge_covered_max: double, solve_secs: double"
+)
+
+
+def read_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers of all entry files below ``folder`` with the path they come from, as ``results.reindex`` takes them."""
+    found = whole_json(spark, folder, f"entry_id string, papers array<struct<{PAPER}>>", "entry.json")
+    return found.select("entry_id", F.col("folder").alias("path"), F.inline("papers"))
+
+
+def read_index(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    """Rows of results-index.json, None if there is no such file; one that cannot be read stops the job and is not reset."""
+    path = f"{folder.rstrip('/')}/results-index.json"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    found = spark.read.schema(f"entries array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return found.select(F.inline("entries"))

@@ -112,3 +112,90 @@ def test_every_judge_gives_a_verdict(spark):
     judges = spark.range(1200).selectExpr("cast(id % 1100 as string) AS judge")
     got = seams.judge(tasks, judges, lambda judge, task: {"total": 1.0}).collect()
     assert len(got) == 1100 and {r.judge for r in got} == {str(i) for i in range(1100)} and all(r.status == "ok" for r in got)
+
+
+def bundle(folder):
+    """The tiny exam and its whole rules as files."""
+    from tests import fixtures as X
+
+    rule = lambda kind, **more: {"kind": kind} | more
+    rules = {
+        "q1": (2, rule("choice", correct=["B"])),
+        "q2": (3, rule("choice", correct=["A", "C"], partial_credit=True, wrong_selection_penalty=0.5)),
+        "q3": (1, rule("true_false", correct=True, negative_marking=-0.5)),
+        "q4": (2, rule("fill_in_blank", blanks={"b1": {"accepted": ["Oslo"], "weight": 3}, "b2": {"accepted": ["2.72"]}}, normalization={"numeric_tolerance": 0.01, "case_insensitive": False})),
+        "q5": (2, rule("matching", correct_pairs={"L1": "R2", "L2": "R1"}, wrong_pair_penalty=0.25)),
+        "q6.a": (2, rule("judge", reference_answer="x")),
+        "q6.b": (3, rule("judge", rubric=[{"id": "c", "description": "?", "levels": [{"points": 0, "descriptor": "none"}, {"points": 3, "descriptor": "all"}]}])),
+        "q7": (2, rule("judge")),
+    }
+    spec = {"exam_id": "tiny", "judge": {"models": ["a", "b"], "aggregation": "median"}, "questions": {q: {"question_id": q, "max_points": p, "min_points": -1 if q == "q3" else 0, "rule": r} for q, (p, r) in rules.items()}}
+    return json.loads(X.exam()), spec
+
+
+def test_bundle_files_to_report(spark, tmp_path):
+    from scorewright.operators import grading
+
+    at = str(tmp_path / "bundles" / "one")
+    exam, spec = bundle(at)
+    io.write_bundle(spark, at, exam, spec, {"type": "object"})
+    answers = {
+        "q1": {"type": "single_choice", "selected": "B"}, "q2": {"type": "multiple_choice", "selected": ["A", "D"]}, "q3": {"type": "true_false", "value": False},
+        "q4": {"type": "fill_in_blank", "blanks": {"b1": "oslo", "b2": "２．７２"}}, "q5": {"type": "matching", "pairs": {"L1": "R2", "L2": "R3"}},
+        "q6.a": {"type": "text", "text": "?"}, "q7": {"type": "drawing", "description": "a line"},
+    }
+    (tmp_path / "sheets" / "x").mkdir(parents=True)
+    (tmp_path / "sheets" / "x" / "m-answers.json").write_text(json.dumps({"exam_id": "tiny", "taker": "m", "answers": answers}, indent=1))
+    sheets, runs = io.read_sheets(spark, str(tmp_path / "sheets"))
+    assert [(r.run_id, r.taker) for r in runs.collect()] == [("x/m-answers", "m")]
+    assert {r.question_id: r.selected for r in sheets.where("selected IS NOT NULL").collect()} == {"q1": ["B"], "q2": ["A", "D"]}
+    verdicts = spark.createDataFrame([("x/m-answers", "q6.a", j, p) for j, p in (("a", 1.0), ("b", 2.0), ("c", 0.0))], "run_id string, question_id string, judge string, total double")
+    got = {r.question_id: (r["mode"], r.awarded) for r in io.grade_folder(spark, str(tmp_path / "bundles"), str(tmp_path / "sheets"), verdicts).collect()}
+    want = {"q1": 2.0, "q2": 1.0, "q3": -0.5, "q4": 0.5, "q5": 0.75}
+    assert got == {q: ("deterministic", p) for q, p in want.items()} | {"q6.a": ("judge", 1.0), "q6.b": ("unanswered", 0.0), "q7": ("error", 0.0)}
+    nodes, rules = io.read_bundles(spark, str(tmp_path / "bundles"))
+    assert {r.section_id for r in rules.collect()} == {"s1"} and rules.where("aggregation = 'median'").count() == 8
+    assert [(r.criterion_id, r.levels) for r in io.rubric_levels(rules).collect()] == [("c", [3.0, 0.0])]
+    none = io.read_manifests(spark, str(tmp_path / "bundles"), rules.select("folder", "exam_id").distinct()).collect()[0]
+    assert (none.name, none.version) == ("tiny", "1")
+    assert grading.missing_rules(nodes.where("type <> 'composite'").withColumnRenamed("node_id", "question_id"), rules).count() == 0
+
+
+def test_load_runs(spark, tmp_path):
+    row = {"model": "m", "slug": "m", "run_index": 1, "status": "ok", "report_path": "m-report.json"}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "bench.json").write_text(json.dumps({"exam_id": "t", "bundle_dir": "/x/y/paper-1", "rows": [row, {"model": "n", "slug": "n", "run_index": 1, "status": "solve_error"}]}))
+    with pytest.raises(ValueError, match="missing grade reports"):
+        io.load_runs(spark, str(tmp_path))
+    (tmp_path / "a" / "m-report.json").write_text(json.dumps({"exam_id": "t", "results": {"q1": {"mode": "judge", "max_points": 2, "awarded": 1}}}))
+    got = {r.model: r for r in io.load_runs(spark, str(tmp_path), str(tmp_path / "a")).collect()}
+    assert len(got) == 2 and got["m"].subset == "paper-1" and [(x.question_id, x.awarded) for x in got["m"].results] == [("q1", 1.0)] and got["n"].results is None
+    assert io.load_runs(spark, str(tmp_path), str(tmp_path / "a")).count() == 2 and io.load_runs(spark, str(tmp_path), model="n").count() == 1
+    with pytest.raises(ValueError, match="no runs"):
+        io.load_runs(spark, str(tmp_path), model="other")
+    runs = io.load_runs(spark, str(tmp_path)).select("subset", "model")
+    some = spark.createDataFrame([("paper-2", "/b")], "subset string, folder string")
+    with pytest.raises(ValueError, match="paper-1"):
+        io.with_bundles(runs, some)
+    assert {r.classification for r in io.with_bundles(runs, some, fallback=True).collect()} == {"mode-fallback"}
+
+
+def test_entry_files_and_reindex(spark, tmp_path):
+    from scorewright.operators import results
+
+    papers = spark.createDataFrame([(e, s, 1, 3.0 + i, 8.0, 1.0, 2.0, 5.0) for i, e in enumerate("ab") for s in ("p1", "p2")], "entry_id string, subset string, ok_runs int, deterministic_awarded double, deterministic_covered_max double, judge_awarded double, judge_covered_max double, solve_secs double")
+    entries = spark.createDataFrame([("a", "m", "low"), ("b", "n", None)], "entry_id string, model string, effort string")
+    at, index = str(tmp_path / "out"), results.index_entries(papers)
+    schema = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in index.schema)
+    assert io.read_index(spark, at, schema) is None
+    for _ in range(2):
+        io.write_entry_files(entries, papers, index, at)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["results-a", "results-b", "results-index.json"]
+    again = results.reindex(io.read_entries(spark, at))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, index.collect()))
+    read = io.read_index(spark, at, schema).collect()
+    assert [r.entry_id for r in read] == ["b", "a"] and read[0].awarded == 10
+    (tmp_path / "out" / "results-index.json").write_text("{ broken")
+    (tmp_path / "out" / ".results-index.json.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)malformed|parse|FAILFAST"):
+        io.read_index(spark, at, schema).collect()
