@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from scorewright.llm.graph import components, salted_lookup, salts_for
 from scorewright.llm.shingles import shingle_sets
-from scorewright.llm.textops import slices, take_rows, text_tag, texts_of, written
+from scorewright.llm.textops import drop_path, shared_path, slices, take_rows, text_tag, texts_of, written
 
+#: Rows of a key that are joined in one place: so many at least, and one in so many documents.
+KEY_ROWS, KEY_SHARE = 20_000, 4096
 #: Classes that share a key in one tile, and shingles of a cluster in one tile, about.
 TILE_ROWS = 4096
 TILE_SHINGLES = 4_000_000
@@ -112,14 +114,18 @@ def set_digest(x: np.ndarray, check: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes() + check.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, tag binary, n int, digest binary, short binary, bitmap binary, tokens array<long>"
+SIGNED = "doc_id long, tag binary, n int, digest binary, short binary, bitmap binary, tokens array<long>, parts array<int>"
 
 
-def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> DataFrame:
-    """Per document (doc_id, text, tag): set size, digest, bitmap and its prefix of rarest shingles."""
+def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray, n_docs: int) -> DataFrame:
+    """Per document (doc_id, text, tag): set size, digest, bitmap and its prefix of rarest shingles.
+
+    Each of these has the number of parts that its rows are dealt over, which depends on the shingle alone.
+    """
     slots = len(over)
     noise = 8 + 4 * int(math.sqrt(max(1.0, float(over.mean()))))
     level = np.where(over > noise, 1 + np.log2(np.maximum(over, 1) / noise), 0).astype(np.uint8)
+    parts_at = np.ceil(noise * 2.0 ** np.arange(int(level.max()) + 1) / max(KEY_ROWS, n_docs // KEY_SHARE)).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(level)  # a fixed number of slots
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +133,7 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
         for part in slices(batches, max_bytes=SLICE):
             checks: list[np.ndarray] = []
             sets = shingle_sets(texts_of(part), words, checks)
-            sizes, digests, short, bitmaps, tokens = [], [], [], [], []
+            sizes, digests, short, bitmaps, tokens, parts = [], [], [], [], [], []
             for x, check in zip(sets, checks, strict=True):
                 n = len(x)
                 sizes.append(n)
@@ -143,6 +149,7 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
                 p = n - (-(-percent * n // 100)) + 1
                 rarest = np.argsort(level[slot], kind="stable")[:p]  # x is sorted, so ties go by hash
                 tokens.append(x[rarest])
+                parts.append(parts_at[level[slot[rarest]]])
             off = np.concatenate([[0], np.cumsum([n and n - (-(-percent * n // 100)) + 1 for n in sizes])]).astype(np.int32)
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -154,8 +161,9 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray) -> D
                     pa.array(short, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))),
                 ],
-                ["doc_id", "tag", "n", "digest", "short", "bitmap", "tokens"],
+                ["doc_id", "tag", "n", "digest", "short", "bitmap", "tokens", "parts"],
             )
 
     return docs.select("doc_id", "text", "tag").mapInArrow(run, SIGNED)
@@ -293,18 +301,23 @@ def full_bitmaps_pass(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFr
     return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int, salts: int) -> DataFrame:
-    """Edges (a, b) between nodes of classes that may be similar; with their ends' components they cover all such pairs."""
-    rows = written(reps.select("node", "n", F.explode("tokens").alias("token")), "tokens")
-    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(salts)).cast("int")
-    # exact counts of a key's classes; its rows, dealt over salts, fetch them
-    pairs = rows.groupBy("token", salt.alias("salt")).agg(F.count("*").alias("k"))
-    shared = pairs.groupBy("token").agg(F.sum("k").alias("met")).where("met > 1")
-    shares = pairs.select("token", "salt").join(shared, "token")
-    met = rows.withColumn("salt", salt).join(shares, ["token", "salt"])
+def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes of classes that may be similar; with their ends' components they cover all such pairs.
+
+    reps: node, tokens, parts.  bits: node, n, short, bitmap.
+    """
+    spark = reps.sparkSession
+    path = shared_path(spark, "tokens")
+    rows = written(reps.select("node", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select("node", "t.tokens", "t.parts").toDF("node", "token", "parts"), "tokens", path)
+    # exact counts of a key's classes, added up before the shuffle; only keys of several classes go on,
+    # and the rows of a common one, dealt over its parts, fetch its count
+    shared = rows.groupBy("token").agg(F.count("*").alias("met"), F.first("parts").alias("parts")).where("met > 1")
+    shares = shared.select("token", "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = rows.select("node", "token", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    met = dealt.join(shares, ["token", "part"]).select("node", "token", "met").join(bits.select("node", "n", "short"), "node")
     tiles_of = F.ceil(F.col("met") / TILE_ROWS)
-    met = met.select("node", "n", F.explode(tile_keys(F.col("token"), tiles_of, F.col("n"), F.col("node"), percent)).alias("key"))
-    tiles = met.join(bits.select("node", "short"), "node").repartition("key").sortWithinPartitions("key", "n")
+    keys = tile_keys(F.col("token"), tiles_of, F.col("n"), F.col("node"), percent)
+    tiles = met.select("node", "n", "short", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key", 50_000):
@@ -313,6 +326,7 @@ def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int, salts: int)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     found = written(tiles.select("key", "node", "n", "short").mapInArrow(run, "a long, b long, sure boolean"), "pairs")
+    drop_path(spark, path)
     doubtful = found.where("NOT sure").select("a", "b").distinct()
     return found.where("sure").select("a", "b").unionByName(full_bitmaps_pass(doubtful, bits, percent))
 
@@ -445,12 +459,12 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     salts = salts_for(n_docs)
     slots = 1 << min(22, max(16, (4 * n_docs).bit_length()))
     over = excess(count_sketch(docs, words, slots))
-    signed = written(signatures(docs, words, percent, over), "signatures")
+    signed = written(signatures(docs, words, percent, over, n_docs), "signatures")
     first_bytes = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     of = signed.where("n > 0").groupBy("digest")
     classes = written(of.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "short", "bitmap"))).withColumn("node", first_bytes), "classes")
-    reps = of.agg(*(F.first(c).alias(c) for c in ("n", "tokens"))).withColumn("node", first_bytes)
-    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent, salts))
+    reps = of.agg(*(F.first(c).alias(c) for c in ("tokens", "parts"))).withColumn("node", first_bytes)
+    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent))
     members = written(
         classes.join(clusters, "node").select("digest", "doc_id", "n", F.col("component").alias("cluster")), "members"
     )

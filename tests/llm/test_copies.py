@@ -213,6 +213,20 @@ def test_second_hashes_decide():
     assert ngram_join.exact_links([x, x], 85, checks=[x, x + np.uint64(1)]) == []
 
 
+def test_common_keys_in_parts(spark, monkeypatch):
+    """Keys of many classes, whose rows are dealt over parts and whose classes meet in several tiles."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(12)]
+    rows = [(i, " ".join([*base, f"x{rng.randrange(150)}", f"y{i % 2}"])) for i in range(400)]
+    docs = frame(spark, rows)
+    over = ngram_join.excess(ngram_join.count_sketch(docs, 4, 1 << 16))
+    monkeypatch.setattr(ngram_join, "KEY_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 40)
+    signed = ngram_join.signatures(docs.selectExpr("doc_id", "text", "CAST(null AS BINARY) AS tag"), 4, 60, over, len(rows)).collect()
+    assert all(len(r.parts) == len(r.tokens) for r in signed) and max(p for r in signed for p in r.parts) > 1
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, 4, 60).collect())) == jaccard_brute(rows, 4, 60)
+
+
 def test_sketch_counts_beyond_32_bits():
     many = np.array([1_500_000_000, 2_000_000_000], np.int64)
     assert (ngram_join.excess(np.concatenate([many * 4, np.zeros(6, np.int64)])) >= 0).all()
