@@ -124,15 +124,19 @@ def index(data: bytes) -> list[Track]:
         if b"stsz" not in boxes:
             return
         fixed, n = struct.unpack(">II", view[boxes[b"stsz"] + 4 : boxes[b"stsz"] + 12])
+        if n > len(data):
+            raise ValueError(f"{n} samples in {len(data)} bytes")
         size = np.full(n, fixed, np.int64) if fixed else np.frombuffer(view, ">u4", n, boxes[b"stsz"] + 12).astype(np.int64)
         chunk = _table(view, boxes[b"co64"] + 4, 1, ">u8") if b"co64" in boxes else _table(view, boxes[b"stco"] + 4, 1)
         runs = _table(view, boxes[b"stsc"] + 4, 3)
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)))
+        steps = _table(view, boxes[b"stts"] + 4, 2)
+        if max(per_chunk.sum(), steps[:, 0].sum()) > len(data):
+            raise ValueError("the sample tables name more samples than bytes")
         of = np.repeat(np.arange(len(chunk)), per_chunk)[:n]
         before = np.cumsum(size) - size
         first = np.searchsorted(of, np.arange(len(chunk)))
         offset = chunk[of, 0] + before - before[first[of]]
-        steps = _table(view, boxes[b"stts"] + 4, 2)
         step = np.repeat(steps[:, 1], steps[:, 0])[:n]
         key = _table(view, boxes[b"stss"] + 4, 1)[:, 0] - 1 if b"stss" in boxes else np.arange(n)
         at = boxes[b"mdhd"]
@@ -177,27 +181,42 @@ def media_column(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: What a truncated, damaged or foreign file makes ``index`` raise.
+DAMAGED = (ValueError, IndexError, KeyError, ZeroDivisionError, RecursionError, struct.error)
+
+
+def media_entry(data: bytes | None) -> tuple[str | None, float | None, list[dict] | None, str | None]:
+    """codec, seconds and key ranges of a file's first track, and why they are null if the file is damaged."""
+    if not data:
+        return None, None, None, None
+    try:
+        found = index(data)
+        if not found:
+            return None, None, None, "no track"
+        t = found[0]
+        keys = [{"start": int(t.offset[k]), "length": int(t.size[k])} for k in t.key.tolist()]
+        return t.codec, t.duration / t.timescale, keys, None
+    except DAMAGED as e:
+        return None, None, None, f"{type(e).__name__}: {e}"
+
+
 def media_index(media: DataFrame) -> DataFrame:
-    """Codec, timescale, duration and key sample byte ranges of the first track of each file.
+    """Codec, duration and key sample byte ranges of the first track of each file; payloads are not read.
 
-    Expects doc_id and media (null or empty media gives null columns); payloads are not read.
+    Expects doc_id and media.  Null or empty media gives null columns, a damaged file or one without
+    a track null columns and ``error``, which says why; repeated rows give a row each, an empty table none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", 16 << 20):
-            found = [(index(m) or [None])[0] if m else None for m in part.column("media").to_pylist()]
-            keys = [None if t is None else [{"start": int(t.offset[k]), "length": int(t.size[k])} for k in t.key.tolist()] for t in found]
+            cols = zip(*map(media_entry, part.column("media").to_pylist()), strict=True)
+            kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([t and t.codec for t in found], pa.string()),
-                    pa.array([t and t.duration / t.timescale for t in found], pa.float64()),
-                    pa.array(keys, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                ],
-                ["doc_id", "codec", "seconds", "key_ranges"],
+                [part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "codec", "seconds", "key_ranges", "error"]
             )
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, codec string, seconds double, key_ranges array<struct<start: long, length: long>>")
+    kind = "doc_id long, codec string, seconds double, key_ranges array<struct<start: long, length: long>>, error string"
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, kind)
 
 
 def media_digest(media: DataFrame) -> DataFrame:

@@ -545,3 +545,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == kept["pii"]
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed)
+
+
+def test_media_index_of_damaged_files(spark):
+    whole = media.build(bytes(576) * 20)
+    cut = [whole[:n] for n in (1, 9, 40, 200, 500, 640)]
+    huge = whole.replace(b"stsz" + bytes(4) + (576).to_bytes(4) + (20).to_bytes(4), b"stsz" + bytes(4) + (576).to_bytes(4) + b"\xff" * 4)
+    files = [whole, None, b"", b"no media at all", *cut, huge, b"\0\0\0\x08moov" * 3]
+    got = {r.doc_id: r for r in media.media_index(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()}
+    assert len(got) == len(files) and huge != whole
+    assert got[0].error is None and got[0].codec == "raw " and len(got[0].key_ranges) == 2
+    assert got[1].error is None and got[2].error is None
+    assert all(got[i].error and got[i].codec is None and got[i].key_ranges is None for i in range(3, len(files)))
