@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.llm import exact_dedup, langid, license_scan, media, ngram_join, packing, pii, quality, spm, token_store
+from scorewright.llm import dyadic, exact_dedup, infill, langid, license_scan, media, ngram_join, packing, pii, quality, spelling, spm, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text by lines, in PSM or SPM form, as digests; odd rows as in ``infill.fill_in_middle``."""
+    return infill.infill_digest(infill.fill_in_middle(_documents(spark, sf_dir)))
+
+
+def op12_power_of_two_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of power-of-two lengths; odd rows as in ``dyadic.power_of_two_pack``."""
+    return dyadic.packing_digest(dyadic.power_of_two_pack(_documents(spark, sf_dir)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its form and root; odd rows as in ``spelling.spelling_variants``."""
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,9 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_quality,
         op10_language_id,
+        op11_fill_in_middle,
+        op12_power_of_two_pack,
+        op13_spelling_variants,
     )
 }
 
+
 def _license_sql() -> str:
     """The scan in SQL: sentences by splitting, identifiers by a map, one step per rule."""
 
@@ -135,4 +154,55 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM t JOIN g USING (norm)
     """,
+    "op11_fill_in_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), drawn AS (
+            SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS UBIGINT)) AS h FROM cut
+        ), placed AS (
+            SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                           WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                   least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b
+            FROM drawn
+        ), parts AS (
+            SELECT *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS p, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS m,
+                   coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS s
+            FROM placed
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), CAST(b AS BIGINT))) AS t
+        ), runs AS (
+            SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL
+        ), hashed AS (
+            SELECT w, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+                                 lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END)),
+                             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+            FROM runs, crc
+        ), words AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+        ), less AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT word, rest FROM less JOIN (SELECT word AS rest FROM words) USING (rest)
+            UNION SELECT rest, word FROM less JOIN (SELECT word AS rest FROM words) USING (rest)
+        ), near AS (
+            SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM pairs JOIN words ON words.word = b GROUP BY a
+        ), forms AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+            FROM words LEFT JOIN near USING (word)
+        ), chain AS (
+            SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next
+        )
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+    """,
 }
