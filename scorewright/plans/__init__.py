@@ -1,6 +1,7 @@
 """Queries of the library's operators over the driver's tables, with their SQL."""
 
-from scorewright.plans import boards, coverage, grading, rendering, studies
+from scorewright.plans import boards, coverage, exams, grading, rendering, studies
 
-QUERIES = grading.QUERIES | boards.QUERIES | studies.QUERIES | rendering.QUERIES | coverage.QUERIES
-ORACLE_SQL = grading.ORACLE_SQL | boards.ORACLE_SQL | studies.ORACLE_SQL | rendering.ORACLE_SQL | coverage.ORACLE_SQL
+_MODULES = (grading, boards, studies, exams, rendering, coverage)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: sql for m in _MODULES for k, sql in m.ORACLE_SQL.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import render as R
 from scorewright.operators import seams, structure
 from scorewright.plans import adapters as A
-from scorewright.plans import boards, studies
+from scorewright.plans import boards, exams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,10 +89,11 @@ def solve_with_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'r' || n_regionkey AS exam_id, count(*) AS questions, sum(CASE WHEN true THEN 1 END) AS strings {studies._TREE} GROUP BY n_regionkey"""
+    """SELECT 'c' || o_custkey AS exam_id, count(*) AS questions, CAST(sum(CASE o_orderkey % 4 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS BIGINT) AS strings,
+    count(*) FILTER (o_orderkey % 4 IN (0, 2)) AS enums FROM orders GROUP BY o_custkey"""
 )
 def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = structure.leaves(structure.flatten_exam(studies.exam_json(spark, sf_dir)))
-    s = R.answer_schema(leaves)
+    s = R.answer_schema(structure.leaves(exams.nodes(spark, sf_dir)))
     required = F.from_json(F.get_json_object("schema", "$.required"), "array<string>")
-    return s.select("exam_id", F.size(required).cast("bigint").alias("questions"), F.size(F.regexp_extract_all("schema", F.lit(r'\{"type": "string"\}'), F.lit(0))).cast("bigint").alias("strings"))
+    count = lambda rx: F.size(F.regexp_extract_all("schema", F.lit(rx), F.lit(0))).cast("bigint")
+    return s.select("exam_id", F.size(required).cast("bigint").alias("questions"), count(r'\{"type": "string"\}').alias("strings"), count(r'\{"enum": ').alias("enums"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.operators import ingest, reliability, structure
+from scorewright.operators import ingest, reliability
 from scorewright.plans import adapters as A
 
 QUERIES: dict = {}
@@ -226,64 +226,3 @@ def rule_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = F.col("p_size") % 2 == 0
     kind = ingest.synthesised_kind(F.get(types, (F.col("p_partkey") % 6).cast("int")), has, has, has, has, has & (F.col("p_partkey") % 5 == 0))
     return A.table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
-
-
-# --- structure --------------------------------------------------------------------------
-
-
-def exam_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One exam document per region: sections and composites are nations, leaves their suppliers."""
-    n, s = A.table(spark, sf_dir, "nation"), A.table(spark, sf_dir, "supplier")
-    sid = F.concat(F.lit("q"), F.col("s_nationkey").cast("string"), F.lit("."), F.col("s_suppkey").cast("string"))
-    image = F.struct(F.lit("image").alias("type"), F.concat(F.lit("assets/"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("asset"))
-    prompt = F.when(F.col("s_suppkey") % 3 == 0, F.array(image)).otherwise(F.array(F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("asset"))))
-    leaf = F.struct(sid.alias("id"), F.lit("short_answer").alias("type"), F.lit(1.0).alias("points"), prompt.alias("prompt"))
-    kids = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(leaf)).alias("children"), F.count("*").cast("double").alias("points"))
-    tops = n.join(kids, n.n_nationkey == kids.s_nationkey).select(
-        "n_regionkey", F.struct(F.col("n_nationkey").alias("k"), F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("composite").alias("type"), "points", "children").alias("q")
-    )
-    section = F.struct(F.lit("s1").alias("id"), F.sort_array(F.collect_list("q")).alias("questions"))
-    exam = tops.groupBy("n_regionkey").agg(F.array(section).alias("sections"))
-    return exam.select(F.to_json(F.struct(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("id"), "sections")).alias("json"))
-
-
-_TREE = "FROM supplier JOIN nation ON s_nationkey = n_nationkey"
-
-
-@query(f"SELECT 'r' || n_regionkey AS exam_id, 'q' || n_nationkey || '.' || s_suppkey AS node_id, 'q' || n_nationkey AS parent_id, CAST(1 AS BIGINT) AS depth {_TREE}")
-def flatten_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    return structure.leaves(nodes).select("exam_id", "node_id", "parent_id", F.col("depth").cast("bigint").alias("depth"))
-
-
-@query(f"SELECT 'r' || n_regionkey AS exam_id, 'q' || n_nationkey || '.' || s_suppkey AS node_id, 'q' || n_nationkey AS ancestor_id, CAST(0 AS BIGINT) AS level {_TREE}")
-def leaf_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    return structure.ancestors(nodes).select("exam_id", "node_id", "ancestor_id", F.col("level").cast("bigint").alias("level"))
-
-
-@query(f"SELECT 'r' || n_regionkey AS exam_id, 'q' || n_nationkey || '.' || s_suppkey AS question_id, CASE WHEN s_suppkey % 3 = 0 THEN 'image,text' ELSE 'text' END AS modalities {_TREE}")
-def leaf_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    return structure.modalities(nodes).select("exam_id", "question_id", F.array_join("modalities", ",").alias("modalities"))
-
-
-@query(f"SELECT 'r' || n_regionkey AS exam_id, 'q' || n_nationkey || '.' || s_suppkey AS question_id, CASE WHEN s_suppkey % 3 = 0 THEN '![](assets/' || s_suppkey || '.png)' ELSE '' END AS question, CASE WHEN s_suppkey % 3 = 0 THEN 'assets/' || s_suppkey || '.png' ELSE '' END AS images {_TREE}")
-def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    return structure.question_table(nodes).select("exam_id", "question_id", "question", F.array_join("images", ",").alias("images"))
-
-
-@query(f"SELECT 'r' || n_regionkey AS exam_id, 'short_answer' AS type, count(*) AS questions, CAST(count(*) AS DOUBLE) AS points, count(*) FILTER (s_suppkey % 2 = 0) AS judged {_TREE} GROUP BY n_regionkey")
-def exam_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    rules = structure.leaves(nodes).select("exam_id", F.col("node_id").alias("question_id"), F.when(F.split("node_id", r"\.")[1].cast("bigint") % 2 == 0, "judge").otherwise("choice").alias("kind"))
-    return structure.exam_stats(nodes, rules)
-
-
-@query("SELECT 'r' || n_regionkey AS exam_id, 'points of parts' AS check, 'q' || n_nationkey AS subject FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
-def bundle_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exams with one fault: every fourth nation's points are one too many."""
-    nodes = structure.flatten_exam(exam_json(spark, sf_dir))
-    number = F.substr("node_id", F.lit(2), F.length("node_id")).try_cast("int")
-    return structure.check_nodes(nodes.withColumn("points", F.when(F.col("parent_id").isNull() & (number % 4 == 0), F.col("points") + 1).otherwise(F.col("points"))))
