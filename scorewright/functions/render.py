@@ -78,22 +78,52 @@ def cost_digits(cost: Column) -> Column:
     return F.when(top >= 100, 0).when(top >= 10, 1).otherwise(2)
 
 
-def answer_schema(leaves: DataFrame) -> DataFrame:
-    """A strict JSON Schema of the answers of each exam: every leaf required, ids as enums."""
-    ids = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(leaves.schema[c].dataType)), lambda o: o["id"])
+def _text(x: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _object(names: Column, values: Column) -> Column:
+    """A JSON object of names and JSON texts."""
+    return F.concat(F.lit("{"), F.array_join(F.zip_with(names, values, lambda k, v: F.concat(_text(k), F.lit(": "), v)), ", "), F.lit("}"))
+
+
+def _strict(names: Column, values: Column, required: Column | None = None) -> Column:
+    """The JSON Schema of an object with these members and no other."""
+    return F.concat(F.lit('{"type": "object", "additionalProperties": false, "properties": '), _object(names, values), F.lit(', "required": '), F.to_json(names if required is None else required), F.lit("}"))
+
+
+def answer_schema(leaves: DataFrame, by: str = "exam_id") -> DataFrame:
+    """``by``, schema: a strict JSON Schema of each exam's answer sheets, every leaf required, ids as enums.
+
+    leaves as ``structure.flatten_exam`` gives them; ``by`` tells documents apart.
+    """
+    ids = lambda c: F.coalesce(F.transform(c, lambda o: o["id"]), F.array().cast("array<string>"))
     enum = lambda a: F.concat(F.lit('{"enum": '), F.to_json(a), F.lit("}"))
-    props = lambda keys, value: F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(k) + 2), F.lit(": "), value)), ", "), F.lit("}"))
-    strict = lambda p, keys: F.concat(F.lit('{"type": "object", "additionalProperties": false, "properties": '), p, F.lit(', "required": '), F.to_json(keys), F.lit("}"))
-    kind = F.col("type")
+    each = lambda keys, value: F.transform(keys, lambda _: value)
+    string, kind, left = F.lit('{"type": "string"}'), F.col("type"), ids("matching.left")
+
+    def answer(of: str, required: tuple[str, ...], **members: Column) -> Column:
+        names, values = F.array(F.lit("type"), *map(F.lit, members)), F.array(F.lit(f'{{"const": "{of}"}}'), *members.values())
+        return _strict(names, values, F.array(F.lit("type"), *map(F.lit, required)))
+
     value = (
-        F.when(kind == "single_choice", enum(ids("options")))
-        .when(kind == "multiple_choice", F.concat(F.lit('{"type": "array", "uniqueItems": true, "items": '), enum(ids("options")), F.lit("}")))
-        .when(kind == "true_false", F.lit('{"type": "boolean"}'))
-        .when(kind == "fill_in_blank", strict(props(ids("blanks"), F.lit('{"type": "string"}')), ids("blanks")))
-        .when(kind == "matching", strict(props(F.transform("matching.left", lambda x: x["id"]), enum(F.transform("matching.right", lambda x: x["id"]))), F.transform("matching.left", lambda x: x["id"])))
-        .otherwise(F.lit('{"type": "string"}'))
+        F.when(kind == "single_choice", answer("single_choice", ("selected",), selected=enum(ids("options"))))
+        .when(kind == "multiple_choice", answer("multiple_choice", ("selected",), selected=F.concat(F.lit('{"type": "array", "uniqueItems": true, "items": '), enum(ids("options")), F.lit("}"))))
+        .when(kind == "true_false", answer("true_false", ("value",), value=F.lit('{"type": "boolean"}')))
+        .when(kind == "fill_in_blank", answer("fill_in_blank", ("blanks",), blanks=_strict(ids("blanks"), each(ids("blanks"), string))))
+        .when(kind == "matching", answer("matching", ("pairs",), pairs=_strict(left, each(left, enum(ids("matching.right"))))))
+        .when(kind == "drawing", answer("drawing", ("description",), description=string, image_asset=F.lit('{"type": ["string", "null"]}')))
+        .otherwise(answer("text", ("text",), text=string))
+    )
+    title = F.concat(F.lit("Answer sheet for "), F.coalesce("exam_title", F.lit("None")))
+    rows = leaves.select(F.col(by).alias("_by"), F.col("exam_id").alias("_id"), title.alias("_title"), "place", "node_id", value.alias("v"))
+    per = rows.groupBy("_by").agg(F.first("_id").alias("_id"), F.first("_title").alias("_title"), F.array_sort(F.collect_list(F.struct("place", "node_id", "v"))).alias("q"))
+    answers = _strict(F.transform("q", lambda x: x["node_id"]), F.transform("q", lambda x: x["v"]))
+    top = _strict(
+        F.array(*map(F.lit, ("exam_id", "taker", "usage", "answers"))),
+        F.array(F.concat(F.lit('{"const": '), _text(F.col("_id")), F.lit("}")), F.lit('{"type": ["string", "null"]}'), F.lit('{"type": ["object", "null"]}'), answers),
+        F.array(F.lit("exam_id"), F.lit("answers")),
     )
-    per = leaves.select("exam_id", "place", "node_id", value.alias("v")).groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("place", "node_id", "v"))).alias("q"))
-    keys = F.transform("q", lambda x: x["node_id"])
-    body = F.array_join(F.transform("q", lambda x: F.concat(F.lit('"'), x["node_id"], F.lit('": '), x["v"])), ", ")
-    return per.select("exam_id", strict(F.concat(F.lit("{"), body, F.lit("}")), keys).alias("schema"))
+    head = F.concat(F.lit('{"$schema": "https://json-schema.org/draft/2020-12/schema", "title": '), _text(F.col("_title")), F.lit(", "))
+    return per.select(F.col("_by").alias(by), F.concat(head, F.substr(top, F.lit(2))).alias("schema"))

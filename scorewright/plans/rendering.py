@@ -94,6 +94,6 @@ def solve_with_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = R.answer_schema(structure.leaves(exams.nodes(spark, sf_dir)))
-    required = F.from_json(F.get_json_object("schema", "$.required"), "array<string>")
+    required = F.from_json(F.get_json_object("schema", "$.properties.answers.required"), "array<string>")
     count = lambda rx: F.size(F.regexp_extract_all("schema", F.lit(rx), F.lit(0))).cast("bigint")
     return s.select("exam_id", F.size(required).cast("bigint").alias("questions"), count(r'\{"type": "string"\}').alias("strings"), count(r'\{"enum": ').alias("enums"))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.functions import render
 from scorewright.operators import grading, judging, structure
 
 BENCH = (
@@ -60,7 +61,7 @@ GRADING = (
     "questions map<string, struct<question_id: string, max_points: double, min_points: double, rule: struct<kind: string, correct: string, partial_credit: boolean, "
     "wrong_selection_penalty: double, negative_marking: double, ratio_by_errors: array<double>, blanks: map<string, struct<accepted: array<string>, weight: double>>, "
     "normalization: struct<case_insensitive: boolean, strip: boolean, collapse_whitespace: boolean, unicode_nfkc: boolean, numeric_tolerance: double, numeric_relative: boolean>, "
-    "all_or_nothing: boolean, correct_pairs: map<string, string>, wrong_pair_penalty: double, reference_answer: string, judge_instructions: string, "
+    "all_or_nothing: boolean, correct_pairs: map<string, string>, wrong_pair_penalty: double, reference_answer: string, reference_assets: array<string>, judge_instructions: string, "
     "rubric: array<struct<id: string, description: string, levels: array<struct<points: double, descriptor: string>>>>>>>"
 )
 SHEET = (
@@ -75,7 +76,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
     Defaults: floor 0, no penalty, weight 1, all normalisation on, judges' mean.
     """
-    spec = whole_json(spark, path, GRADING, "grading.json").select("folder", "exam_id", "judge", F.explode("questions").alias("question_id", "g"))
+    return parse_rules(whole_json(spark, path, GRADING, "grading.json"))
+
+
+def parse_rules(specs: DataFrame) -> DataFrame:
+    """Rules of grading documents (folder and the fields of ``GRADING``)."""
+    spec = specs.select("folder", "exam_id", "judge", F.explode("questions").alias("question_id", "g"))
     r, n = "g.rule.", "g.rule.normalization."
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     on = lambda c: F.coalesce(F.col(c), F.lit(True))
@@ -90,7 +96,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
         F.col(r + "ratio_by_errors").alias("ratios"), blanks.alias("blanks"), F.col(n + "numeric_tolerance").alias("tolerance"), off(n + "numeric_relative").alias("relative"),
         off(r + "all_or_nothing").alias("all_or_nothing"), F.col(r + "correct_pairs").alias("pairs"),
         on(n + "case_insensitive").alias("case_insensitive"), on(n + "strip").alias("trim"), on(n + "collapse_whitespace").alias("collapse"), on(n + "unicode_nfkc").alias("nfkc"),
-        r + "reference_answer", r + "judge_instructions", r + "rubric", F.coalesce("judge.models", F.array().cast("array<string>")).alias("judge_models"), F.coalesce("judge.aggregation", F.lit("mean")).alias("aggregation"),
+        F.coalesce("g.question_id", "question_id").alias("key"), F.coalesce(r + "reference_assets", F.array().cast("array<string>")).alias("reference_assets"), r + "reference_answer", r + "judge_instructions", r + "rubric", F.coalesce("judge.models", F.array().cast("array<string>")).alias("judge_models"), F.coalesce("judge.aggregation", F.lit("mean")).alias("aggregation"),
     )
 
 
@@ -121,6 +127,76 @@ def read_manifests(spark: SparkSession, path: str, exams: DataFrame) -> DataFram
     return exams.join(found, "folder", "left").select("folder", "exam_id", F.coalesce("name", "exam_id").alias("name"), F.coalesce("version", F.lit("1")).alias("version"), "created_at")
 
 
+#: Documents that every bundle has.
+BUNDLE_FILES = ("exam.json", "grading.json", "answer_schema.json")
+
+
+def _shown_path() -> Column:
+    """A file's path as ``input_file_name`` shows it."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
+
+
+def file_paths(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of all files below ``path``, as ``input_file_name`` shows them; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_shown_path().alias("path"))
+
+
+def asset_files(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """path, content of all files below ``path`` but JSON documents; files above ``most_bytes`` are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where((F.col("length") <= most_bytes) & ~F.col("path").endswith(".json")).select(_shown_path().alias("path"), "content")
+
+
+def question_table(spark: SparkSession, path: str) -> DataFrame:
+    """The published table of all bundles below ``path``, with the bytes of its figures."""
+    nodes = structure.flatten_exam(json_text(spark, path, "exam.json"), keep=("folder",))
+    table = structure.question_table(nodes, read_rules(spark, path), keep=("folder",))
+    return structure.with_images(table, asset_files(spark, path))
+
+
+def check_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Problems of all bundle folders below ``path``: folder, check, subject; valid bundles have none.
+
+    Files that lack or are no JSON documents, other exam ids in a folder's documents, questions, rules, figures and reference figures without a
+    file, and an answer schema that does not follow from the exam.  A folder whose exam or rules cannot be read has no further row.
+    """
+    files = file_paths(spark, path)
+    of = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    name = F.element_at(F.split("path", "/"), -1)
+    per = files.where(name.isin(*BUNDLE_FILES)).groupBy(of(F.col("path")).alias("folder")).agg(F.collect_set(name).alias("have"))
+    lack = per.select("folder", F.explode(F.array_except(F.array(*map(F.lit, BUNDLE_FILES)), "have")).alias("subject"))
+    found = lambda rows, check: rows.select("folder", F.lit(check).alias("check"), "subject")
+    whole = per.where(F.size("have") == len(BUNDLE_FILES)).select("folder")
+    exams, specs, schemas = (json_text(spark, path, n).join(whole, "folder") for n in BUNDLE_FILES)
+    unread = None
+    for n, rows in zip(BUNDLE_FILES, (exams, specs, schemas), strict=True):
+        one = found(rows.where(F.try_parse_json("json").isNull()).withColumn("subject", F.lit(n)), "not readable")
+        unread = one if unread is None else unread.unionByName(one)
+    good = whole.join(unread.select("folder").distinct(), "folder", "left_anti")
+    nodes = structure.flatten_exam(exams.join(good, "folder"), keep=("folder",))
+    rules = parse_rules(specs.join(good, "folder").select("folder", F.from_json("json", GRADING).alias("s")).select("folder", "s.*"))
+    ids = nodes.select("folder", F.col("exam_id").alias("own")).distinct()
+    other = found(ids.join(rules.select("folder", "exam_id").distinct(), "folder").where("exam_id <> own").withColumn("subject", F.col("exam_id")), "other exam id")
+    # a folder is one exam here, so that bundles with one id stay apart
+    n, r = nodes.drop("exam_id").withColumnRenamed("folder", "exam_id"), rules.drop("exam_id").withColumnRenamed("folder", "exam_id")
+    inner = structure.check_nodes(n).unionByName(structure.check_rules(n, r)).withColumnRenamed("exam_id", "folder")
+    fresh = render.answer_schema(structure.leaves(nodes), by="folder")
+    same = schemas.join(fresh, "folder").withColumn("subject", F.lit(BUNDLE_FILES[2]))
+    stale = found(same.where(canonical("json") != canonical("schema")), "stale schema")
+    blocks = F.concat(F.coalesce("instructions", F.array().cast(f"array<{structure.BLOCK}>")), structure.shown_blocks())
+    shown = nodes.select("folder", F.col("node_id").alias("question_id"), F.explode(F.array_distinct(F.transform(F.filter(blocks, lambda b: b["type"] == "image"), lambda b: b["asset"]))).alias("asset"))
+    refs = rules.select("folder", "question_id", F.explode("reference_assets").alias("asset"))
+    gone = lambda rows, check: found(
+        rows.withColumn("path", F.concat_ws("/", "folder", "asset")).join(files, "path", "left_anti").groupBy("folder", "asset").agg(F.min("question_id").alias("q")).withColumn("subject", F.concat_ws(": ", "q", "asset")), check
+    )
+    return found(lack, "missing file").unionByName(unread).unionByName(other).unionByName(inner).unionByName(stale).unionByName(gone(shown, "missing asset")).unionByName(gone(refs, "missing reference"))
+
+
+def canonical(json: str | Column) -> Column:
+    """A JSON text with its members in order and without white space between them, to compare documents."""
+    return F.to_json(F.try_parse_json(json))
+
+
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, rules) of all bundle folders below ``path``; rules have their section, null if the exam lacks the question."""
     nodes = structure.flatten_exam(json_text(spark, path, "exam.json"))
@@ -290,7 +366,7 @@ def write_bundle(spark: SparkSession, folder: str, exam: dict, grading_spec: dic
     """The four documents of a bundle as indented JSON; null fields stay as they are given."""
     import json
 
-    documents = {"exam.json": exam, "grading.json": grading_spec, "answer.schema.json": schema, "manifest.json": manifest or {"name": exam["id"], "version": "1"}}
+    documents = {"exam.json": exam, "grading.json": grading_spec, "answer_schema.json": schema, "manifest.json": manifest or {"name": exam.get("exam_id") or exam["id"], "version": "1"}}
     for name, document in documents.items():
         write_text(spark, f"{folder.rstrip('/')}/{name}", json.dumps(document, ensure_ascii=False, indent=2) + "\n")
 
