@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -9,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
@@ -18,3 +22,22 @@ def session(name: str = "scorewright", **more: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the one that the driver and all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; a cluster, whose executors would not see it, must set it.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not at:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="scorewright-")
+        sc.setCheckpointDir(at)
+    at = at if "://" in at or at.startswith("file:") else f"file://{at}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(found)
+    return path

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import render
 from scorewright.operators import grading, judging, structure
+from scorewright.sources import folders
 
 BENCH = (
     "exam_id string, title string, bundle_dir string, effort string, total_points double, judge_models array<string>, started_at timestamp, finished_at timestamp, "
@@ -371,18 +372,38 @@ def write_bundle(spark: SparkSession, folder: str, exam: dict, grading_spec: dic
         write_text(spark, f"{folder.rstrip('/')}/{name}", json.dumps(document, ensure_ascii=False, indent=2) + "\n")
 
 
-def write_entry_files(entries: DataFrame, papers: DataFrame, index: DataFrame, folder: str) -> None:
-    """results-index.json, and results-<id>/entry.json of each entry with its papers; writing again replaces.
+def entry_documents(entries: DataFrame, papers: DataFrame) -> DataFrame:
+    """Files of entries for ``folders.write_folders``: results-<id>/entry.json with the entry's papers in order."""
+    per = papers.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("subset", *(c for c in papers.columns if c not in ("subset", "entry_id"))))).alias("papers"))
+    whole = entries.join(per, "entry_id", "left").select("entry_id", F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+    return whole.select(F.concat(F.lit(RESULTS), "entry_id").alias("folder"), F.lit("entry.json").alias("name"), F.encode(F.concat("json", F.lit("\n")), "UTF-8").alias("content"))
+
+
+def raw_files(spark: SparkSession, runs: DataFrame, path: str) -> DataFrame:
+    """Files of entries for ``folders.write_folders``: the bench, sheet and report files of runs below ``path``, byte by byte.
+
+    runs: entry_id, folder, subset, answers_path, report_path.  A paper's files lie in results-<id>/raw/<subset>; a file that a run lacks is left out.
+    """
+    names = F.array_compact(F.array(F.lit("bench.json"), "answers_path", "report_path"))
+    folder = F.regexp_replace(F.regexp_replace("folder", "^file:/+", "/"), "^/", "file:///")
+    want = runs.select("entry_id", "subset", F.explode(names).alias("_name"), folder.alias("_folder")).withColumn("path", F.concat_ws("/", "_folder", "_name")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_shown_path().alias("path"), "content")
+    name = F.concat_ws("/", F.lit("raw"), "subset", F.element_at(F.split("_name", "/"), -1))
+    return want.join(files, "path").select(F.concat(F.lit(RESULTS), "entry_id").alias("folder"), name.alias("name"), "content")
+
 
-    A board's rows go through the driver one by one: they are takers, not answers.
+def write_entry_files(entries: DataFrame, papers: DataFrame, index: DataFrame, folder: str, raw: DataFrame | None = None) -> None:
+    """results-<id>/entry.json of each entry with its papers, ``raw`` files beside it, then results-index.json; writing again replaces.
+
+    Executors write the entries' files and a commit puts each entry in place whole; the index comes last, so it never
+    names an entry that is not there.  The index is a board, one small file.
     """
     import json
 
     spark = entries.sparkSession
     folder = folder.rstrip("/")
-    per = papers.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("subset", *(c for c in papers.columns if c not in ("subset", "entry_id"))))).alias("papers"))
-    for r in entries.join(per, "entry_id", "left").select("entry_id", F.to_json(F.struct("*")).alias("json")).toLocalIterator():
-        write_text(spark, f"{folder}/{RESULTS}{r['entry_id']}/entry.json", json.dumps(json.loads(r["json"]), ensure_ascii=False, indent=2) + "\n")
+    files = entry_documents(entries, papers)
+    folders.write_folders(files if raw is None else files.unionByName(raw), folder)
     from scorewright.operators.results import board_key
 
     rows = [json.loads(r["json"]) for r in index.orderBy(board_key(), "entry_id").select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()]
