@@ -77,24 +77,46 @@ def ranked(scores: DataFrame, score: str = "micro") -> DataFrame:
     return scores.where("eligible").withColumn("rank", F.row_number().over(order))
 
 
-def pareto(scores: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
-    """Rows that none beats on both axes: best of their cost, and above all that cost less.
+#: Ranges of cost over which running maxima are spread.
+RANGES = 256
+
 
-    Costs are grouped first, so the running maximum goes over distinct costs.
+def running_best(scores: DataFrame, score: str = "score", cost: str = "cost", ranges: int = RANGES) -> DataFrame:
+    """Per distinct cost: _cost, _top (best score at it), _before (best at all lower costs, null at the lowest).
+
+    Costs are cut into ranges at approximate quantiles, a bounded list of numbers; each range has its running maximum
+    in its own task, and the maxima of whole ranges, one row each, give what lies before.
     """
-    usable = scores.where(F.col(score).isNotNull() & (F.col(cost) > 0))
-    tops = usable.groupBy(F.col(cost).alias("_cost")).agg(F.max(score).alias("_top"))
-    before = F.max("_top").over(Window.orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1))
-    lead = tops.withColumn("_before", before).where("_before IS NULL OR _top > _before")
+    tops = scores.groupBy(F.col(cost).alias("_cost")).agg(F.max(score).alias("_top"))
+    steps = [i / ranges for i in range(1, ranges)]
+    bounds = tops.agg(F.percentile_approx("_cost", F.array(*map(F.lit, steps)), 10_000)).first()[0] or []
+    kind = tops.schema["_cost"].dataType
+    cuts = F.array(*(F.lit(x).cast(kind) for x in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    at = tops.withColumn("_range", F.size(F.filter(cuts, lambda x: x < F.col("_cost"))))
+    whole = at.groupBy("_range").agg(F.max("_top").alias("_most"))
+    lower = F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # at most ``ranges`` rows
+    inside = F.max("_top").over(Window.partitionBy("_range").orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1))
+    met = at.join(F.broadcast(whole.select("_range", lower.alias("_lower"))), "_range").withColumn("_inside", inside)
+    return met.select("_cost", "_top", F.greatest("_inside", "_lower").alias("_before"))
+
+
+def _usable(scores: DataFrame, score: str, cost: str) -> DataFrame:
+    return scores.where(F.col(score).isNotNull() & (F.col(cost) > 0))
+
+
+def pareto(scores: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
+    """Rows that none beats on both axes: best of their cost, and above all that cost less."""
+    usable = _usable(scores, score, cost)
+    lead = running_best(usable, score, cost).where("_before IS NULL OR _top > _before")
     return usable.join(lead, (F.col(cost) == F.col("_cost")) & (F.col(score) == F.col("_top")), "left_semi")
 
 
-def pareto_by_dominance(scores: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
-    """The same by its definition, an anti-join on dominance; for small boards."""
-    usable = scores.where(F.col(score).isNotNull() & (F.col(cost) > 0))
-    other = usable.select(F.col(score).alias("_s"), F.col(cost).alias("_c"))
-    beats = (F.col("_c") <= F.col(cost)) & (F.col("_s") >= F.col(score)) & ((F.col("_c") < F.col(cost)) | (F.col("_s") > F.col(score)))
-    return usable.join(other, beats, "left_anti")
+def dominance(scores: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
+    """Every usable row with what beats it: 'cheaper' (at least its score for less), else 'equal cost', null on the frontier."""
+    usable = _usable(scores, score, cost)
+    met = usable.join(running_best(usable, score, cost), F.col(cost) == F.col("_cost"))
+    by = F.when(F.col("_before") >= F.col(score), "cheaper").when(F.col("_top") > F.col(score), "equal cost")
+    return met.withColumn("beaten_by", by).drop("_cost", "_top", "_before")
 
 
 def common_papers(papers: DataFrame) -> DataFrame:
@@ -143,9 +165,10 @@ def axis_names(subsets: DataFrame) -> DataFrame:
 
 
 def step_frontier(scores: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
-    """Running maximum of the score along the cost."""
-    w = Window.orderBy(cost, F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scores.where(F.col(score).isNotNull() & (F.col(cost) > 0)).withColumn("best_so_far", F.max(score).over(w))
+    """Running maximum of the score along the cost; rows of one cost share it."""
+    usable = _usable(scores, score, cost)
+    best = running_best(usable, score, cost).select("_cost", F.greatest("_top", "_before").alias("best_so_far"))
+    return usable.join(best, F.col(cost) == F.col("_cost")).drop("_cost")
 
 
 def board_markdown(rows: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:

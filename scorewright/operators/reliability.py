@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,9 +24,9 @@ def within_sd(rows: DataFrame) -> DataFrame:
     )
 
 
-def complete(cell_rows: DataFrame, judges: int) -> DataFrame:
-    """Cells of answers that all ``judges`` judges scored."""
-    w = Window.partitionBy("qid", "sheet")
+def complete(cell_rows: DataFrame, judges: int, by: list[str] | None = None) -> DataFrame:
+    """Cells of answers that all ``judges`` judges scored, in each group of ``by``."""
+    w = Window.partitionBy(*(by or []), "qid", "sheet")
     return cell_rows.where("p IS NOT NULL").withColumn("_k", F.count("*").over(w)).where(F.col("_k") == judges).drop("_k")
 
 
@@ -64,10 +66,13 @@ def mean_squares(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def icc(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ICC(2,1): two-way random effects, absolute agreement, single rater; null without two answers and judges."""
-    m = mean_squares(cell_rows, by)
+    return mean_squares(cell_rows, by).withColumn("icc", _icc())
+
+
+def _icc() -> Column:
     n, k, msr, msc, mse = (F.col(c) for c in ("n", "k", "msr", "msc", "mse"))
     below = msr + (k - 1) * mse + k * (msc - mse) / n
-    return m.withColumn("icc", F.when((n >= 2) & (k >= 2), F.try_divide(msr - mse, F.nullif(below, F.lit(0.0)))))
+    return F.when((n >= 2) & (k >= 2), F.try_divide(msr - mse, F.nullif(below, F.lit(0.0))))
 
 
 def variance_shares(cell_rows: DataFrame) -> DataFrame:
@@ -178,30 +183,63 @@ def passes(rows: DataFrame, expected: int) -> DataFrame:
     return rows.groupBy("sheet", "judge", "rep").agg(F.count_distinct("qid").alias("questions")).withColumn("complete", F.col("questions") == expected)
 
 
+def multiplicity(draw: Column, qid: Column, seed: int) -> Column:
+    """How often a question occurs in a draw: a Poisson number of mean 1 from a digest of both, so draws can be repeated anywhere."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), draw, qid)), 1, 8), 16, 10).cast("double") / (1 << 32)
+    below, term, out = math.exp(-1), math.exp(-1), F.lit(0)
+    for i in range(1, 13):
+        out = F.when(u >= below, i).otherwise(out)
+        term /= i
+        below += term
+    return out
+
+
 def cluster_bootstrap(cell_rows: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
-    """ICC of ``draws`` resamples of whole questions; seeded, so repeatable."""
-    qs = cell_rows.select("qid").distinct().withColumn("_i", F.row_number().over(Window.orderBy("qid")) - 1)
-    n = qs.count()
-    picks = cell_rows.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), "id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_i"))
-    rows = picks.join(qs, "_i").join(cell_rows, "qid").select("draw", F.concat_ws("#", "qid", F.col("id").cast("string")).alias("qid"), "sheet", "judge", "p")
-    return icc(rows, ["draw"])
+    """ICC(2,1) of ``draws`` resamples of whole questions: draw, n, k, icc; null where a draw has fewer than two answers.
+
+    Cells must be complete.  One pass makes the sums that the mean squares need, per question and judge; a draw
+    weighs a question's sums by its multiplicity, so not cells but a question's few sums meet the draws, and
+    partial aggregation leaves one row of a draw and judge in each task.
+    """
+    rm = F.avg("p").over(Window.partitionBy("qid", "sheet"))
+    sums = cell_rows.withColumn("rm", rm).groupBy("qid", "judge").agg(F.count("*").alias("a"), F.sum("p").alias("s"), F.sum(F.col("p") ** 2).alias("p2"), F.sum(F.col("rm") ** 2).alias("r2"))
+    times = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", multiplicity(F.col("draw"), F.col("qid"), seed)).where("w > 0")
+    per = times.groupBy("draw", "judge").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("a", "s", "p2", "r2")))
+    n, k, c = F.col("n"), F.col("k"), F.col
+    all_ = per.groupBy("draw").agg(F.max("a").alias("n"), F.count("*").alias("k"), F.sum("s").alias("s"), F.sum("p2").alias("p2"), F.sum("r2").alias("r2"), F.sum(c("s") ** 2 / c("a")).alias("c2"))
+    mean2 = c("s") ** 2 / (n * k)
+    msr, msc = F.try_divide(c("r2") - mean2, n - 1), F.try_divide(c("c2") - mean2, k - 1)
+    squares = all_.select("draw", "n", "k", msr.alias("msr"), msc.alias("msc"), F.try_divide(c("p2") - c("r2") - c("c2") + mean2, (n - 1) * (k - 1)).alias("mse"))
+    return squares.select("draw", "n", "k", _icc().alias("icc"))
+
+
+def icc_interval(cell_rows: DataFrame, draws: int = 1000, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """One row: icc of all questions, and the bounds of the bootstrap's middle ``level``; cells must be complete."""
+    tail = (1 - level) / 2
+    bounds = cluster_bootstrap(cell_rows, draws, seed).agg(F.percentile("icc", F.lit(tail)).alias("low"), F.percentile("icc", F.lit(1 - tail)).alias("high"), F.count("icc").alias("draws"))
+    return icc(cell_rows).select("n", "k", "icc").join(F.broadcast(bounds))  # one row each
 
 
 def conditions(rows: DataFrame, empty: str, reference: str) -> DataFrame:
-    """Per condition: answers, judges' mean range, mean score, and means of the empty and the reference anchor.
+    """Per condition: answers, ICC, judges' mean range, mean score, and means of the empty and the reference anchor.
 
-    rows: condition, qid, sheet, judge, p.
+    The ICC is that of answers which all judges of their condition scored.  rows: condition, qid, sheet, judge, p.
     """
-    per = rows.groupBy("condition", "qid", "sheet").agg(F.avg("p").alias("m"), (F.max("p") - F.min("p")).alias("range"))
+    of = ["condition"]
+    per = rows.groupBy(*of, "qid", "sheet").agg(F.avg("p").alias("m"), (F.max("p") - F.min("p")).alias("range"))
     real = ~F.col("sheet").isin(empty, reference)
     at = lambda cond, c: F.avg(F.when(cond, F.col(c)))
-    return per.groupBy("condition").agg(
+    table = per.groupBy(*of).agg(
         F.count_if(real).alias("answers"),
         at(real, "range").alias("disagreement"),
         at(real, "m").alias("mean"),
         at(F.col("sheet") == empty, "m").alias("empty_mean"),
         at(F.col("sheet") == reference, "m").alias("reference_mean"),
     )
+    scored = rows.where(real & F.col("p").isNotNull()).groupBy(*of, *CELL).agg(F.avg("p").alias("p"))
+    judges = scored.groupBy(*of).agg(F.count_distinct("judge").alias("_judges"))
+    whole = scored.withColumn("_k", F.count("*").over(Window.partitionBy(*of, "qid", "sheet"))).join(small(judges), of).where("_k = _judges").drop("_k", "_judges")
+    return table.join(small(icc(whole, of).select(*of, F.col("n").alias("icc_answers"), "icc")), of, "left")
 
 
 def writers(rows: DataFrame, writer: str = "sheet") -> DataFrame:

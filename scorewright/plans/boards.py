@@ -236,10 +236,18 @@ def pareto_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PARETO_SQL)
 def pareto_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frontier by its definition, over the best score of each cost (other rows are dominated)."""
-    p = _points(spark, sf_dir).where("cost > 0")
-    tops = p.groupBy("cost").agg(F.max("score").alias("score"))
-    return p.join(leaderboard.pareto_by_dominance(tops), ["cost", "score"], "left_semi").select("c_custkey", "score", "cost")
+    """The frontier as the rows that nothing beats."""
+    return leaderboard.dominance(_points(spark, sf_dir)).where("beaten_by IS NULL").drop("beaten_by")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey, CAST(c_custkey * 7919 % 1000 AS DOUBLE) AS score, CAST(floor(c_acctbal / 100) + c_custkey * 7919 % 1000 AS DOUBLE) AS cost FROM customer), u AS (SELECT * FROM p WHERE cost > 0),
+    w AS (SELECT *, max(score) OVER (PARTITION BY cost) AS top, max(score) OVER (ORDER BY cost RANGE BETWEEN UNBOUNDED PRECEDING AND 0.5 PRECEDING) AS low FROM u)
+    SELECT c_custkey, CASE WHEN low >= score THEN 'cheaper' WHEN top > score THEN 'equal cost' END AS beaten_by FROM w"""
+)
+def beaten_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What beats each customer; costs are whole numbers."""
+    return leaderboard.dominance(_points(spark, sf_dir)).select("c_custkey", "beaten_by")
 
 
 @query(f"WITH {A.PAPERS_SQL}, s AS (SELECT subset, count(DISTINCT entry_id) AS n FROM papers WHERE ok_runs > 0 GROUP BY subset), t AS (SELECT count(DISTINCT entry_id) AS n FROM papers WHERE ok_runs > 0) SELECT subset FROM s WHERE n = (SELECT n FROM t) OR NOT EXISTS (SELECT 1 FROM s WHERE n = (SELECT n FROM t))")

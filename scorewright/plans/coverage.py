@@ -164,16 +164,22 @@ def writer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {A.STUDY_SQL}, m AS (SELECT wfam AS condition, qid, sheet, avg(p) AS m, max(p) - min(p) AS r FROM study GROUP BY ALL)
+    f"""WITH {A.STUDY_SQL}, m AS (SELECT wfam AS condition, qid, sheet, avg(p) AS m, max(p) - min(p) AS r FROM study GROUP BY ALL),
+    c AS (SELECT wfam AS condition, qid, sheet, judge, avg(p) AS p FROM study WHERE sheet NOT IN (0, 1, 7) GROUP BY ALL),
+    f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY condition, qid, sheet) AS k FROM c) JOIN (SELECT condition, count(DISTINCT judge) AS all_k FROM c GROUP BY condition) USING (condition) WHERE k = all_k),
+    x AS (SELECT *, avg(p) OVER (PARTITION BY condition, qid, sheet) AS rm, avg(p) OVER (PARTITION BY condition, judge) AS cm, avg(p) OVER (PARTITION BY condition) AS g FROM f),
+    ss AS (SELECT condition, count(DISTINCT (qid, sheet)) AS n, count(DISTINCT judge) AS k, sum((rm - g) ** 2) AS r, sum((cm - g) ** 2) AS c, sum((p - g) ** 2) AS t FROM x GROUP BY condition),
+    ms AS (SELECT condition, n, k, r / (n - 1) AS msr, c / (k - 1) AS msc, (t - r - c) / ((n - 1) * (k - 1)) AS mse FROM ss),
+    i AS (SELECT condition, n AS icc_answers, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc FROM ms), t AS (
     SELECT condition, count(*) FILTER (sheet NOT IN (0, 1, 7)) AS answers, round(avg(r) FILTER (sheet NOT IN (0, 1, 7)), 6) AS disagreement, round(avg(m) FILTER (sheet NOT IN (0, 1, 7)), 6) AS mean,
-    round(avg(m) FILTER (sheet IN (0, 1)), 6) AS empty_mean, round(avg(m) FILTER (sheet = 7), 6) AS reference_mean FROM m GROUP BY condition"""
+    round(avg(m) FILTER (sheet IN (0, 1)), 6) AS empty_mean, round(avg(m) FILTER (sheet = 7), 6) AS reference_mean FROM m GROUP BY condition) SELECT * FROM t LEFT JOIN i USING (condition)"""
 )
 def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets 0 and 1 are empty anchors, sheet 7 is the reference."""
     sheet = F.when(F.col("sheet") <= 1, "empty").when(F.col("sheet") == 7, "reference").otherwise(F.col("sheet").cast("string"))
     rows = A.study(spark, sf_dir).withColumn("sheet", sheet).withColumnRenamed("wfam", "condition")
     out = reliability.conditions(rows, "empty", "reference")
-    return out.withColumns({c: F.round(c, 6) for c in ("disagreement", "mean", "empty_mean", "reference_mean")})
+    return out.withColumns({c: F.round(c, 6) for c in ("icc", "disagreement", "mean", "empty_mean", "reference_mean")})
 
 
 @query(f"WITH {A.STUDY_SQL}, o AS (SELECT wfam, qid, sheet, max(len) AS n FROM study GROUP BY ALL) SELECT wfam, round(avg(n), 6) AS mean_length, count(*) AS answers FROM o GROUP BY wfam")

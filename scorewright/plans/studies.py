@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,35 @@ def icc21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.icc(reliability.complete(_cells(spark, sf_dir), 5)).select("n", "k", F.round("icc", 6).alias("icc"))
 
 
+#: Upper bounds of the Poisson numbers 0 to 11 of mean 1, as running sums.
+_BELOW, _TERM = [math.exp(-1)], math.exp(-1)
+for _i in range(1, 12):
+    _TERM /= _i
+    _BELOW.append(_BELOW[-1] + _TERM)
+_DRAWS = f"""{S}, c5 AS (SELECT *, avg(p) OVER (PARTITION BY qid, sheet) AS rm FROM (SELECT *, count(*) OVER (PARTITION BY qid, sheet) AS k FROM cells) WHERE k = 5),
+    q AS (SELECT qid, judge, count(*) AS a, sum(p) AS s, sum(p * p) AS p2, sum(rm * rm) AS r2 FROM c5 GROUP BY ALL),
+    u AS (SELECT *, CAST('0x' || substr(md5('1/' || d || '/' || qid), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM q, range(200) t(d)),
+    w AS (SELECT *, {" + ".join(f"CAST(u >= {x!r} AS INT)" for x in _BELOW)} AS w FROM u),
+    j AS (SELECT d, judge, sum(w * a) AS a, sum(w * s) AS s, sum(w * p2) AS p2, sum(w * r2) AS r2 FROM w WHERE w > 0 GROUP BY ALL),
+    t AS (SELECT d, max(a) AS n, count(*) AS k, sum(p2) AS p2, sum(r2) AS r2, sum(s * s / a) AS c2, sum(s) ** 2 / (max(a) * count(*)) AS g FROM j GROUP BY d),
+    sq AS (SELECT d, n, k, (r2 - g) / (n - 1) AS msr, (c2 - g) / (k - 1) AS msc, (p2 - r2 - c2 + g) / ((n - 1) * (k - 1)) AS mse FROM t WHERE n >= 2),
+    draws AS (SELECT d AS draw, CAST(n AS BIGINT) AS n, (msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n) AS icc FROM sq)"""
+
+
+@query(f"WITH {_DRAWS} SELECT draw, n, round(icc, 6) AS icc FROM draws")
+def icc_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ICC of 200 resamples of whole questions."""
+    out = reliability.cluster_bootstrap(reliability.complete(_cells(spark, sf_dir), 5), 200, 1)
+    return out.select(F.col("draw").cast("bigint").alias("draw"), F.col("n").cast("bigint").alias("n"), F.round("icc", 6).alias("icc"))
+
+
+@query(f"WITH {_DRAWS} SELECT round(quantile_cont(icc, 0.025), 6) AS low, round(quantile_cont(icc, 0.975), 6) AS high, count(*) AS draws FROM draws")
+def icc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95 % interval of the ICC by the cluster bootstrap."""
+    out = reliability.icc_interval(reliability.complete(_cells(spark, sf_dir), 5), 200)
+    return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
+
+
 @query(f"WITH {_MS}, v AS (SELECT greatest((msr - mse) / k, 0) AS a, greatest((msc - mse) / n, 0) AS j, mse AS r FROM ms) SELECT round(a / (a + j + r), 6) AS answers_share, round(j / (a + j + r), 6) AS judges_share, round(r / (a + j + r), 6) AS residual_share FROM v")
 def variance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reliability.variance_shares(reliability.complete(_cells(spark, sf_dir), 5))
