@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 ASCII_SPACE = r"[\t\n\x0b\f\r\x1c-\x1f ]"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """NFKC form; Spark has no such expression."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full case folding; ``lower`` differs for some letters."""
-    return text.map(lambda t: None if t is None else t.casefold())
-
-
-@F.pandas_udf(StringType())
-def unicode_key(text: pd.Series) -> pd.Series:
-    """NFKC, strip, collapse white space, fold case, in this order."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{ASCII_SPACE}+|{ASCII_SPACE}+$", "")
 
