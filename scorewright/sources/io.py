@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions import render
-from scorewright.operators import grading, judging, structure
+from scorewright.functions.text import default_entry_id
+from scorewright.operators import grading, judging, results, structure
 from scorewright.sources import folders
 
 BENCH = (
@@ -398,16 +399,52 @@ def write_entry_files(entries: DataFrame, papers: DataFrame, index: DataFrame, f
     Executors write the entries' files and a commit puts each entry in place whole; the index comes last, so it never
     names an entry that is not there.  The index is a board, one small file.
     """
+    files = entry_documents(entries, papers)
+    folders.write_folders(files if raw is None else files.unionByName(raw), folder.rstrip("/"))
+    write_index(index, folder)
+
+
+def write_index(index: DataFrame, folder: str) -> None:
+    """results-index.json in board order: a row per taker, so one small file, written by the driver."""
     import json
 
-    spark = entries.sparkSession
-    folder = folder.rstrip("/")
-    files = entry_documents(entries, papers)
-    folders.write_folders(files if raw is None else files.unionByName(raw), folder)
     from scorewright.operators.results import board_key
 
     rows = [json.loads(r["json"]) for r in index.orderBy(board_key(), "entry_id").select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()]
-    write_text(spark, f"{folder}/results-index.json", json.dumps({"entries": rows}, ensure_ascii=False, indent=2) + "\n")
+    write_text(index.sparkSession, f"{folder.rstrip('/')}/results-index.json", json.dumps({"entries": rows}, ensure_ascii=False, indent=2) + "\n")
+
+
+def publish(spark: SparkSession, paths: list[str], bundles: str, out: str, model: str | None = None, entry: str | None = None, fallback: bool = False) -> DataFrame:
+    """From bench folders to published files below ``out``; the index's rows come back.
+
+    Runs become entries by model and effort (or the one ``entry``), their questions fall into the two halves of the score
+    by the rules of the bundle named like their subset, or with ``fallback`` by mode where it is absent.  An entry
+    published before is replaced in the folder and in the index, others stay.
+    """
+    name = F.element_at(F.split("folder", "/"), -1)
+    rules = read_rules(spark, bundles).select(name.alias("subset"), "question_id", "kind")
+    found = json_text(spark, bundles, "exam.json").select(name.alias("subset"), "folder").distinct()
+    runs = with_bundles(load_runs(spark, *paths, model=model), found, fallback=fallback)
+    taker = default_entry_id(F.col("model"), F.col("effort")) if entry is None else F.lit(entry)
+    runs = runs.withColumns({"entry_id": taker, "run_id": F.concat_ws("#", "folder", "pos"), "secs": F.col("solve_secs")})
+    asked = runs.where("status = 'ok'").select("run_id", "subset", "classification", F.inline("results")).join(rules, ["subset", "question_id"], "left")
+    by = F.when(F.col("classification") == "rules", results.rule_class(F.col("kind"))).otherwise(results.class_from_mode(F.col("mode")))
+    papers = results.paper_results(results.classify_points(asked, rule=by), runs)
+    head = results.entries(runs).drop("papers")
+    new = results.index_entries(papers).join(head.select("entry_id", "model", "effort"), "entry_id")
+    shape = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in new.schema)
+    old = read_index(spark, out, shape)
+    # the index is a board: few rows, kept before its file is replaced
+    index = new if old is None else results.upsert(spark.createDataFrame(old.collect(), new.schema), new, "entry_id")
+    write_entry_files(head, papers, index, out, raw_files(spark, runs, paths[0]) if len(paths) == 1 else None)
+    return read_index(spark, out, shape)
+
+
+def reindex(spark: SparkSession, folder: str) -> DataFrame:
+    """Rebuild results-index.json from the entry files below ``folder``."""
+    index = results.reindex(read_entries(spark, folder))
+    write_index(index, folder)
+    return index
 
 
 PAPER = (

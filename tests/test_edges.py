@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from scorewright.operators import grading
 from scorewright.sources import io
 from scorewright.streaming import board
 
@@ -84,20 +85,18 @@ def test_stream(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     from scorewright import __main__ as cli
-    from tests import fixtures as X
-
-    names = ("q1", "q2", "q3", "q4", "q5", "q6.a", "q6.b", "q7")
-    kinds = ("choice", "choice", "true_false", "fill_in_blank", "matching", "judge", "judge", "judge")
-    keys = {"q1": ["B"], "q2": ["A", "C"], "q3": True}
-    spec = {q: {"question_id": q, "max_points": 1, "rule": {"kind": k} | ({"correct": keys[q]} if q in keys else {})} for q, k in zip(names, kinds, strict=True)}
-    (tmp_path / "exam.json").write_text(X.exam())
-    (tmp_path / "grading.json").write_text(json.dumps({"exam_id": "tiny", "questions": spec}, indent=1))
-    assert cli.main(["validate", str(tmp_path)]) == 0
-    spec["q1"]["rule"]["correct"] = ["Z"]
-    del spec["q7"]
-    (tmp_path / "grading.json").write_text(json.dumps({"exam_id": "tiny", "questions": spec}))
-    assert cli.main(["validate", str(tmp_path)]) == 1
-    assert set(capsys.readouterr().out.split("\n")) >= {"tiny: no rule: q7", "tiny: unknown option: q1"}
+    from tests.test_bundles import bundle as whole_bundle
+    from tests.test_bundles import grading
+
+    good, bad = tmp_path / "bundles" / "tiny", tmp_path / "bad" / "tiny"
+    whole_bundle(spark, good)
+    assert cli.main(["validate", str(tmp_path / "bundles")]) == 0
+    spec = grading()
+    spec["questions"]["q1"]["rule"]["correct"] = ["Z"]
+    del spec["questions"]["q7"]
+    whole_bundle(spark, bad, **{"grading.json": spec})
+    assert cli.main(["validate", str(tmp_path / "bad")]) == 1
+    assert set(capsys.readouterr().out.split("\n")) >= {"tiny: no rule: q7", "tiny: unknown option: q1: Z"}
     row = {"model": "lab:m", "slug": "m", "run_index": 1, "status": "ok", "awarded": 4.0, "covered_max": 8.0}
     (tmp_path / "bench.json").write_text(json.dumps({"exam_id": "tiny", "effort": "low", "rows": [row]}))
     assert cli.main(["board", str(tmp_path)]) == 0 and cli.main(["runs", str(tmp_path)]) == 0
@@ -105,6 +104,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert "lab-m-low" in out and "50.0" in out
 
 
+def test_from_files_to_published_results(spark, tmp_path, capsys):
+    """Grade a sheet, publish bench folders twice, rebuild the index."""
+    from scorewright import __main__ as cli
+    from tests.test_bundles import bundle as whole_bundle
+
+    bundles, sheets, out = tmp_path / "bundles", tmp_path / "sheets", tmp_path / "out"
+    whole_bundle(spark, bundles / "tiny")
+    sheets.mkdir()
+    answers = {"q1": {"type": "single_choice", "selected": "B"}, "q3": {"type": "true_false", "value": False}, "q4": {"type": "fill_in_blank", "blanks": {"b1": " PARIS", "b2": "pi"}}}
+    (sheets / "m-answers.json").write_text(json.dumps({"exam_id": "tiny", "taker": "m", "answers": answers}))
+    assert cli.main(["grade", str(bundles), str(sheets), "--out", str(tmp_path / "graded")]) == 0
+    t = grading.report_totals(spark.read.parquet(str(tmp_path / "graded"))).first()
+    assert (t.awarded, t.total_points, t.unanswered) == (4, 17, 5)
+    assert cli.main(["grade", str(bundles), str(sheets), "--text-only", "--out", str(tmp_path / "text")]) == 0
+    assert grading.report_totals(spark.read.parquet(str(tmp_path / "text"))).first().skipped == 5  # the section shows a figure
+
+    def run(at, model, effort, *points):
+        at.mkdir(parents=True)
+        rows = []
+        for i, (q1, q7) in enumerate(points, 1):
+            name = f"{model}-{i}-report.json"
+            results = {"q1": {"mode": "deterministic", "max_points": 2, "awarded": q1}, "q7": {"mode": "judge", "max_points": 2, "awarded": q7}}
+            (at / name).write_text(json.dumps({"exam_id": "tiny", "results": results}))
+            rows.append({"model": f"lab:{model}", "slug": model, "run_index": i, "status": "ok", "report_path": name, "solve_secs": 2.0})
+        (at / "bench.json").write_text(json.dumps({"exam_id": "tiny", "bundle_dir": "/elsewhere/tiny", "effort": effort, "rows": rows}))
+
+    run(tmp_path / "runs" / "a", "a", "low", (2, 1), (0, 1))
+    assert cli.main(["publish", str(tmp_path / "runs"), "--bundles", str(bundles), "--out", str(out)]) == 0
+    run(tmp_path / "more" / "b", "b", "high", (2, 2))
+    assert cli.main(["publish", str(tmp_path / "more"), "--bundles", str(bundles), "--out", str(out)]) == 0
+    index = json.loads((out / "results-index.json").read_text())["entries"]
+    assert [(e["entry_id"], e["awarded"], e["covered_max"], e["percentage"], e["det_awarded"]) for e in index] == [("lab-b-high", 4, 4, 100, 2), ("lab-a-low", 2, 4, 50, 1)]
+    paper = json.loads((out / "results-lab-a-low" / "entry.json").read_text())["papers"][0]
+    assert (paper["subset"], paper["ok_runs"], paper["judge_awarded"], paper["awarded_samples"]) == ("tiny", 2, 1, [3, 1])
+    assert (out / "results-lab-a-low" / "raw" / "tiny" / "a-1-report.json").read_text() == (tmp_path / "runs" / "a" / "a-1-report.json").read_text()
+    (out / "results-index.json").unlink()
+    assert cli.main(["reindex", str(out)]) == 0
+    assert [e["percentage"] for e in json.loads((out / "results-index.json").read_text())["entries"]] == [100, 50]
+    with pytest.raises(ValueError, match="no bundle for tiny"):
+        cli.main(["publish", str(tmp_path / "runs"), "--bundles", str(tmp_path / "sheets"), "--out", str(out)])
+    assert cli.main(["publish", str(tmp_path / "runs"), "--bundles", str(sheets), "--out", str(out), "--mode-fallback"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["grade", "one"])
+    assert "lab-a-low" in capsys.readouterr().out
+
+
 def test_every_judge_gives_a_verdict(spark):
     from scorewright.operators import seams
 
