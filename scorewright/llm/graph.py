@@ -21,9 +21,10 @@ def salts_for(rows: int) -> int:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
-    Each round hooks every node to its smallest neighbour, follows two hooks, and
-    replaces the ends of all edges by their hooks; edges inside a component vanish, so
-    tables shrink from round to round.  Aggregation is partial before each shuffle, and
+    Each round hooks every node to its smallest neighbour, follows hooks to their ends, twice as far each
+    time, and replaces the ends of all edges by these; edges inside a component vanish.  Only nodes smaller
+    than all their neighbours are left, at most every other one, whatever the order of a chain's nodes, so rounds
+    are few.  Aggregation is partial before each shuffle, and
     joins with hooks are dealt over salts, as contraction makes hubs with many edges.
     """
     left = written(
@@ -34,10 +35,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
         n = hook.count()
-        for _ in range(2):
-            over = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-            hook = lookup(hook, over, n, "to", "node").select("node", F.col("far").alias("to"))
-        hook = written(hook, "hooks")
+        while True:
+            for _ in range(2):
+                hook = _further(hook, n).select("node", F.col("far").alias("to"))
+            hook = written(hook, "hooks")
+            if _further(hook, n).where("far <> to").isEmpty():
+                break
         hooks.append((hook, n))
         at_a = hook.select(F.col("node").alias("a"), F.col("to").alias("x"))
         at_b = hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
@@ -52,6 +55,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return written(out, "components")
 
 
+def _further(hook: DataFrame, n: int) -> DataFrame:
+    """node, to, and far: where ``to`` is hooked."""
+    over = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
+    return lookup(hook, over, n, "to", "node").select("node", "to", "far")
+
+
 def lookup(rows: DataFrame, table: DataFrame, n: int, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` of n rows, one per ``key``: broadcast if n is small, else written and salted."""
     if n <= BROADCAST_ROWS:

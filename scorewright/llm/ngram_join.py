@@ -382,7 +382,7 @@ def exact_links(
 
 
 def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int, salts: int) -> DataFrame:
-    """Links (a, b) between digests of similar classes, enough to connect all that are; ``members``: digest, doc_id, n, cluster."""
+    """Links (a, b) between digests of similar classes, enough to connect all that are; ``members``: digest, doc_id and tag of one text, n, cluster."""
     c = F.col
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     rows = written(salted_lookup(members, sizes, "cluster", "digest", salts=salts).withColumn("m", F.ceil(c("total") / TILE_SHINGLES)), "members")
@@ -395,7 +395,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
         return F.xxhash64("cluster", F.lit(r), F.floor(place + r / 2), block)
 
     once = F.when(c("m") <= 1, F.array("cluster")).otherwise(F.array(deal(0), deal(1)))
-    links = written(tile_links(docs, rows.select("doc_id", "digest", "n", once.alias("tiles"), F.lit(None).cast("binary").alias("known")), words, percent), "links")
+    links = written(tile_links(docs, rows.select("doc_id", "tag", "digest", "n", once.alias("tiles"), F.lit(None).cast("binary").alias("known")), words, percent), "links")
     large = rows.where("m > 1")
     if large.isEmpty():
         return links
@@ -414,20 +414,25 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     outer = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_b), lambda x: across(band + d, x, band, j))))
     outer = F.concat(outer, tile_keys(F.xxhash64("cluster", F.lit("others")), m_s, c("n"), c("digest"), percent))
     tiles = F.when(c("known") == c("base"), inner).otherwise(outer)
-    return links.unionByName(tile_links(docs, rest.select("doc_id", "digest", "n", tiles.alias("tiles"), "known"), words, percent))
+    return links.unionByName(tile_links(docs, rest.select("doc_id", "tag", "digest", "n", tiles.alias("tiles"), "known"), words, percent))
 
 
 def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links inside tiles; ``tiled``: digest, doc_id, n, known, tiles (array of keys)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    texts = texts.join(tiled.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id"))).select("text", "digest", "n", "tiles", "known")
+    """Links inside tiles; ``tiled``: digest, doc_id and tag of one text, n, known, tiles (array of keys)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("tag").alias("_tag"), "text")
+    met = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
+    texts = texts.join(tiled.hint("merge"), met).select("text", "digest", "n", "tiles", "known")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in slices(batches, max_bytes=SLICE):
-            rows, checks = [], []
+            rows, checks, given = [], [], part.column("digest").to_pylist()
+            # repeated rows, same id and text, come one after the other from the merge join
+            part = part.filter(pa.array([d != before for d, before in zip(given, [last, *given], strict=False)]))
+            last = given[-1]
             found = shingle_sets(texts_of(part), words, checks)
             for x, y, digest, tiles, known in zip(found, checks, *(part.column(c).to_pylist() for c in ("digest", "tiles", "known")), strict=True):
-                if set_digest(x, y) == digest:  # else another text of a repeated doc_id
+                if set_digest(x, y) == digest:
                     rows += [(t, len(x), digest, known, x.tobytes() + y.tobytes()) for t in tiles]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -453,7 +458,7 @@ def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> D
 def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """Signed documents; per class with shingles: digest, component (a digest that names it), least doc_id of it; and salts.
 
-    ``docs``: doc_id long, text, tag (anything that the caller wants back with each row).
+    ``docs``: doc_id long, text, tag (``text_tag``), by which texts of one id, or of none, are told apart.
     """
     n_docs = docs.count()
     salts = salts_for(n_docs)
@@ -462,11 +467,13 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     signed = written(signatures(docs, words, percent, over, n_docs), "signatures")
     first_bytes = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     of = signed.where("n > 0").groupBy("digest")
-    classes = written(of.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "short", "bitmap"))).withColumn("node", first_bytes), "classes")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("of")
+    classes = of.agg(least_row, *(F.first(c).alias(c) for c in ("n", "short", "bitmap")))
+    classes = written(classes.select("digest", "of.doc_id", "of.tag", "n", "short", "bitmap", first_bytes.alias("node")), "classes")
     reps = of.agg(*(F.first(c).alias(c) for c in ("tokens", "parts"))).withColumn("node", first_bytes)
     clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent))
     members = written(
-        classes.join(clusters, "node").select("digest", "doc_id", "n", F.col("component").alias("cluster")), "members"
+        classes.join(clusters, "node").select("digest", "doc_id", "tag", "n", F.col("component").alias("cluster")), "members"
     )
     linked = components(verified_links(docs, members, words, percent, salts))
     linked = written(linked.select(F.col("node").alias("digest"), "component"), "linked")
@@ -484,7 +491,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     any other, so it names a component only alone; repeated rows give a row each; an empty table none;
     only doc_id and text are read.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("tag"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"))
     signed, of_class, salts = linked_classes(narrow, words, percent)
     some = signed.where("n > 0").select("doc_id", "n", "digest")
     rows = salted_lookup(some, of_class.select("digest", F.col("least").alias("component_id")), "digest", "doc_id", salts=salts)

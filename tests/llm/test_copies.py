@@ -309,3 +309,33 @@ def test_shared_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         textops.shared_dir(Spark())
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    """Chains in rising, falling and mixed order, a star and a circle: few rounds whatever the order."""
+    n = 1500
+    mixed = random.Random(2).sample(range(10_000, 10_000 + n), n)
+    edges = [(i, i + 1) for i in range(n)] + [(20_000 + n - i, 20_000 + n - i - 1) for i in range(n)] + list(zip(mixed, mixed[1:], strict=False))
+    edges += [(30_500, 30_000 + i) for i in range(400)] + [(40_000 + i, 40_000 + (i + 1) % 50) for i in range(50)]
+    made = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, path=None: (made.append(name), real(df, name, path))[1])
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert made.count("edges") <= 14
+    want = {i: 0 for i in range(n + 1)} | {i: 20_000 for i in range(20_000, 20_001 + n)} | dict.fromkeys(mixed, min(mixed)) | {30_500: 30_000} | {30_000 + i: 30_000 for i in range(400)} | {40_000 + i: 40_000 for i in range(50)}
+    assert got == want
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "pairs"])
+def test_near_copies_without_ids_of_their_own(spark, ids):
+    """Texts of one id, of none, or of an id that two texts share link as texts of many do; repeated rows too."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:30], f"x{i}", *base[31:]]) for i in range(120)] + [f"alone {i} {i + 1} {i + 2} {i + 3}" for i in range(10)]
+    doc = {"none": lambda i: None, "one": lambda i: 7, "pairs": lambda i: i // 2}[ids]
+    rows = [(doc(i), t) for i, t in enumerate(texts)] + [(doc(0), texts[0])] * 50
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows), words=4, percent=85).collect()]
+    first = {"none": None, "one": 7, "pairs": 0}[ids]
+    want = [(doc(i), 57, first) for i in range(120)] + [(doc(i), len(set(zip(*[t.split()[k:] for k in range(4)], strict=False))), doc(i)) for i, t in enumerate(texts) if i >= 120]
+    want += [(doc(0), 57, first)] * 50
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert ngram_join.one_of_each(frame(spark, rows), words=4, percent=85).count() == 11
