@@ -23,11 +23,12 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.graph import BROADCAST_ROWS, lookup
 from scorewright.llm.textops import empty_text, written
 
 KEY_SETTING = "spark.scorewright.pii.key"
-#: Rounds in which an entity draws in its own format, then rounds in which names and emails take a wider one.
-FORM_ROUNDS, WIDE_ROUNDS = 8, 16
+#: Rounds in which an entity draws in its own format; then it takes a wider one, which grows until it is free.
+FORM_ROUNDS = 6
 
 
 @lru_cache(maxsize=1)
@@ -367,11 +368,29 @@ def _word(key: Column, value: Column) -> Column:
     return _let(_digest(key, F.lit(0), value), letters)
 
 
-def _wide(entity: Column, key: Column) -> Column:
-    """Drawn letters in place of a name or an email whose own format has no free surrogate."""
+def _digits_of(key: Column, value: Column, n: Column) -> Column:
+    """``n`` drawn digits."""
+    return _let(_digest(key, F.lit(0), value), lambda d: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _draw(d, i, 10).cast("string")), ""))
+
+
+def _wide(entity: Column, key: Column, more: Column) -> Column:
+    """A wider form of an entity whose own format has no free surrogate, with ``more`` further digits.
+
+    Names and emails get drawn letters, an address in digits one in hexadecimal, whose space is as good as endless,
+    the others further digits behind their surrogate: phones and numbers another group, tokens and accounts a longer tail.
+    """
     word, kind = _word(F.concat(key, F.lit("/wide")), entity), kind_of(entity)
+    digits = _digits_of(F.concat(key, F.lit("/wide/digits")), entity, more)
     mail = F.concat(word, F.lit("@"), _word(F.concat(key, F.lit("/wide/domain")), entity), F.lit(".com"))
-    return F.when(kind == "name", F.initcap(word)).when(kind == "email", mail).otherwise(surrogate(entity, key))
+    eight = F.sha2(F.concat_ws("\x1f", key, F.lit("wide/ip"), entity), 256)
+    address = F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.substring(eight, 1 + 4 * i, 4)) for i in range(6)))
+    tail = F.concat(surrogate(entity, key), F.when(kind.isin("phone", "ssn", "card"), F.lit("-")).otherwise(F.lit("")), digits)
+    return (
+        F.when(kind == "name", F.initcap(word))
+        .when(kind == "email", mail)
+        .when(kind.isin("ip", "ip6"), address)
+        .otherwise(tail)
+    )
 
 
 def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
@@ -379,18 +398,21 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
 
     In each round the entities that are left draw a surrogate.  It is theirs unless it is
     an entity of the corpus or was given before; of several entities that draw one, the
-    smallest takes it.  So no two entities share a surrogate and none is a real entity.
-    Entities that no round serves stop the query, with their number by kind.
+    smallest takes it.  So no two entities share a surrogate and none is a real entity.  Rounds go on until
+    every entity has one: wider forms hold one more digit each round, so they do not run out.
     """
     spark = docs.sparkSession
     found = written(docs.select(F.explode(entities(empty_text())).alias("entity")).distinct(), "entities")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left, given, again = found.repartition(parts, "entity"), None, None
     round_key = F.concat(F.lit(f"{key}/"), F.col("_round"))
-    form, wide = (draw(F.col("entity"), round_key).alias("surrogate") for draw in (surrogate, _wide))
-    for r in range(FORM_ROUNDS + WIDE_ROUNDS):
+    form = surrogate(F.col("entity"), round_key)
+    wide = _wide(F.col("entity"), round_key, F.greatest(F.lit(4), F.col("_round").cast("int")))
+    r = -1
+    while True:
+        r += 1
         rows = left.withColumn("_round", F.lit(str(r)))
-        made = written(rows.select("entity", form if r < FORM_ROUNDS else wide), "surrogates")
+        made = written(rows.select("entity", (form if r < FORM_ROUNDS else wide).alias("surrogate")), "surrogates")
         taken = found.select(F.col("entity").alias("surrogate"))
         taken = taken if given is None else taken.union(given.select("surrogate"))
         free = made.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("entity").alias("entity"))
@@ -399,10 +421,8 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
         if r:
             again = got if again is None else again.union(got)
         left = written(made.join(got, "entity", "left_anti").select("entity"), "left")
-        if not left.take(1):
+        if left.isEmpty():
             return again
-    kinds = left.groupBy(kind_of(F.col("entity")).alias("kind")).count().orderBy("kind").collect()  # one row per kind
-    raise ValueError("no free surrogate for entities of the corpus: " + ", ".join(f"{k} {n}" for k, n in kinds))
 
 
 def _replacing(docs: DataFrame, key: str | None) -> tuple[DataFrame, Column]:
@@ -415,13 +435,17 @@ def _replacing(docs: DataFrame, key: str | None) -> tuple[DataFrame, Column]:
     with_found, again = docs.withColumn("_found", found), exceptions(docs, key)
     if again is None:
         return with_found, F.transform("_found", lambda e: surrogate(e, f"{key}/0"))
-    again = again.select(F.col("entity").alias("_entity"), "surrogate")
+    again = written(again.select(F.col("entity").alias("_entity"), "surrogate"), "again")
+    few = again.count() <= BROADCAST_ROWS
     lists = docs.select(found.alias("_key")).where(F.size("_key") > 0).distinct()
-    per_list = lists.select("_key", F.explode(F.array_distinct("_key")).alias("_entity")).join(again, "_entity")
+    per_list = lists.select("_key", F.explode(F.array_distinct("_key")).alias("_entity")).join(F.broadcast(again) if few else again, "_entity")
     per_list = per_list.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_entity", "surrogate"))).alias("_again"))
-    # texts without entities match nothing; they are spread by their hash
+    per_list = written(per_list, "lists")
+    held = per_list.agg(F.coalesce(F.sum(F.size("_key")), F.lit(0))).first()[0]  # entities of all these lists
+    # a list that many texts have is dealt over salts, or comes to all by broadcast; texts without entities match nothing
     spread = F.array(F.concat(F.lit("\0"), F.xxhash64("doc_id", "text").cast("string")))
-    met = with_found.withColumn("_key", F.when(F.size("_found") > 0, F.col("_found")).otherwise(spread)).join(per_list, "_key", "left")
+    keyed = with_found.withColumn("_key", F.when(F.size("_found") > 0, F.col("_found")).otherwise(spread)).withColumn("_by", F.xxhash64("doc_id", "text"))
+    met = lookup(keyed, per_list, held, "_key", "_by", "left").drop("_by")
     return met, F.transform("_found", lambda e: F.coalesce(F.try_element_at(F.col("_again"), e), surrogate(e, f"{key}/0")))
 
 

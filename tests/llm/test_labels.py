@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorewright.llm import langid, license_scan, media, pii, quality
+from scorewright.llm import graph, langid, license_scan, media, pii, quality
 from tests.llm.conftest import frame
 
 SF = "/root/testdata/sf0.001"
@@ -557,3 +557,39 @@ def test_media_index_of_damaged_files(spark):
     assert got[0].error is None and got[0].codec == "raw " and len(got[0].key_ranges) == 2
     assert got[1].error is None and got[2].error is None
     assert all(got[i].error and got[i].codec is None and got[i].key_ranges is None for i in range(3, len(files)))
+
+
+def test_formats_in_full_use_get_wider_surrogates(spark):
+    """All numbers of one short form, and most of another: every one gets a free surrogate, no two the same, none a real one."""
+    full = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(10_000)]
+    docs = frame(spark, [(i, f"call {n} now") for i, n in enumerate(full)])
+    got = {r.doc_id: r for r in pii.replace_pii(docs, "k").collect()}
+    made = [got[i].text[len("call ") : -len(" now")] for i in range(len(full))]
+    assert len(set(made)) == len(full) and not set(made) & set(full)
+    assert all(re.fullmatch(r"\+1 \d\d \d\d-\d{4,}", m) for m in made) and {r.kinds for r in got.values()} == {"phone"}
+
+
+@pytest.mark.parametrize("kind,entity", [("ssn", "123-45-6789"), ("ip", "10.1.2.3"), ("ip6", "fe80::1ff:fe23:4567:890a"), ("secret", "0123456789abcdef0123456789abcdef"), ("email", "jo.doe@mail.example.org"), ("name", "Anna O'Brien"), ("card", "4111 1111 1111 1111")])
+def test_wider_forms_differ_from_round_to_round(spark, kind, entity):
+    rounds = spark.range(6, 40).select(F.col("id").cast("int").alias("r"))
+    e = F.lit(entity)
+    made = [r.s for r in rounds.select(pii._wide(e, F.concat(F.lit("k/"), F.col("r").cast("string")), F.col("r")).alias("s")).collect()]
+    assert len(set(made)) == len(made) and entity not in made
+    if kind in ("ip", "ip6"):
+        import ipaddress
+
+        assert all(ipaddress.ip_address(m).version == 6 for m in made)
+
+
+def test_common_list_of_entities_is_spread(spark, monkeypatch):
+    """Texts with one and the same list: the look-up of entities that drew again deals them over salts, or broadcasts the list."""
+    full = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(0, 10_000, 2)]
+    docs = frame(spark, [(i, f"call {n} now") for i, n in enumerate(full)] + [(100_000 + i, f"{full[7]} and {full[9]} in text {i}") for i in range(400)] + [(200_000, None), (200_001, "none")])
+    plain = sorted(((r.doc_id, r.text) for r in pii.replace_pii(docs, "k").collect()), key=str)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert sorted(((r.doc_id, r.text) for r in pii.replace_pii(docs, "k").collect()), key=str) == plain
+    of = dict(plain)
+    first, second = re.fullmatch(r"(.*) and (.*) in text 0", of[100_000]).groups()
+    assert all(of[100_000 + i] == f"{first} and {second} in text {i}" for i in range(400)) and of[7] == f"call {first} now" and of[9] == f"call {second} now"
+    assert of[200_000] is None and of[200_001] == "none"
