@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewright.functions.text import covered_numbers, leading_int, normalize_number
+from scorewright.functions.text import covered_numbers, leading_int, normalize_number, run_label
+from scorewright.session import written
 
 PAGES, OVERLAP = 4, 1
 
@@ -170,10 +173,21 @@ def question_ids(questions: DataFrame, by: list[str], pos: str = "pos") -> DataF
 
 
 def index_lines(questions: DataFrame) -> DataFrame:
-    """A printed line for each question: id, number, type, points, option ids."""
-    shown = F.when(F.size("options") > 0, F.concat(F.lit(" options "), F.array_join("options", "/"))).otherwise(F.lit(""))
-    number = F.when(F.col("number").isNotNull(), F.concat(F.lit(" (printed "), "number", F.lit(")"))).otherwise(F.lit(""))
-    return questions.withColumn("line", F.concat("question_id", number, F.lit(": "), "type", shown))
+    """A printed line for each question: number (id without one), type, points and the ids that its answer names.
+
+    questions: question_id, number, type, points, options, and if they have them blanks (array<struct<id, label>>), left, right (arrays of ids).
+    """
+    has = lambda c: c in questions.columns
+    listed = lambda name, ids: F.when(F.size(ids) > 0, F.concat(F.lit(f" | {name}: "), F.array_join(ids, ",")))
+    label = lambda b: F.when(F.coalesce(b["label"], F.lit("")) != "", F.concat(F.lit("("), b["label"], F.lit(")"))).otherwise(F.lit(""))
+    parts = [listed("options", F.col("options"))]
+    if has("blanks"):
+        parts.append(listed("blanks", F.transform("blanks", lambda b: F.concat(b["id"], label(b)))))
+    if has("left") and has("right"):
+        parts.append(F.concat(listed("left", F.col("left")), listed("right", F.col("right"))))
+    points = F.regexp_replace(F.format_string("%.6f", F.col("points").cast("double")), r"\.?0+$", "")
+    line = F.concat(F.lit("- number: '"), F.coalesce("number", "question_id"), F.lit("' | type: "), "type", F.lit(" | points: "), points, F.coalesce(*parts, F.lit("")))
+    return questions.withColumn("line", line)
 
 
 def valid_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -194,14 +208,16 @@ def answer_values(entries: DataFrame, by: list[str], pos: str = "pos") -> DataFr
     return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
 
 
-def repaired(questions: DataFrame, recovered: DataFrame, by: list[str], number: str = "number", pos: str = "pos", expected: str | None = None) -> tuple[DataFrame, DataFrame]:
+def repaired(questions: DataFrame, recovered: DataFrame, by: list[str], number: str = "number", pos: str = "pos", expected: str | None = None, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Questions with those recovered for their gaps put in place, and the gaps that stay.
 
     Only documents that ``repair_allowed`` lets through; of what a second pass found, only questions that
-    cover a missing number and whose printed number is not there already, each once.
+    cover a missing number and whose printed number is not there already, each once.  ``allowed``: gaps that may be
+    repaired, if they are known.
     """
-    gaps = find_gaps(questions, by, number, pos, expected)
-    allowed = gaps.join(repair_allowed(gaps, questions, by).select(*by), by, "left_semi")
+    if allowed is None:
+        gaps = find_gaps(questions, by, number, pos, expected)
+        allowed = gaps.join(repair_allowed(gaps, questions, by).select(*by), by, "left_semi")
     key = normalize_number(F.col(number))
     seen = questions.select(*by, key.alias("_key")).distinct()
     fresh = recovered.withColumn("_key", key).join(seen, [*by, "_key"], "left_anti")
@@ -215,3 +231,78 @@ def repaired(questions: DataFrame, recovered: DataFrame, by: list[str], number:
     out = insert_recovered(questions, add, by, number, pos)
     left = find_gaps(out.drop(pos).withColumnRenamed("place", pos), by, number, pos, expected)
     return out, left
+
+
+def gap_pages(gaps: DataFrame, chunk_numbers: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """Pages on which each gap's questions must be: by, first, last, pages (rising).
+
+    Those of every chunk that holds a number next to the gap; behind the last number found, all from its chunk on;
+    all pages if no chunk holds either.  chunk_numbers: by, chunk, n; pages: by, page_index, chunk.
+    """
+    gap = [*by, "first", "last"]
+    side = lambda n, name: gaps.withColumn("n", n).join(chunk_numbers, [*by, "n"]).select(*gap, "chunk", F.lit(name).alias("side"))
+    near = side(F.col("first") - 1, "below").unionByName(side(F.col("last") + 1, "above")).distinct()
+    own = near.join(pages, [*by, "chunk"]).select(*gap, "side", "page_index")
+    met = own.groupBy(*gap).agg(F.bool_or(F.col("side") == "below").alias("_below"), F.bool_or(F.col("side") == "above").alias("_above"), F.min("page_index").alias("_from"))
+    open_ = gaps.select(*gap).join(met, gap, "left").where("_below IS NULL OR (_below AND NOT _above)")
+    rest = open_.join(pages.select(*by, "page_index").distinct(), by).where("_from IS NULL OR page_index >= _from").select(*gap, "page_index")
+    every = own.select(*gap, "page_index").unionByName(rest).distinct()
+    return gaps.select(*gap).join(every.groupBy(*gap).agg(F.sort_array(F.collect_list("page_index")).alias("pages")), gap, "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<long>")))
+
+
+def ask_for_gaps(requests: DataFrame, extract: Callable[[dict], list[str]], by: list[str]) -> DataFrame:
+    """by, number, pos of what ``extract`` finds for each gap; a request has by, first, last, label and pages.
+
+    ``extract`` is a seam: printed numbers of the questions it finds, in order.  A call that fails finds nothing.
+    """
+    import pandas as pd
+
+    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in by) + ", number string, pos long"
+    columns = [*by, "first", "last", "label", "pages"]
+
+    def run(frames: Iterator) -> Iterator:
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False):
+                request = dict(zip(columns, row, strict=True)) | {"pages": [int(p) for p in row[-1]]}
+                try:
+                    found = extract(request)
+                except Exception:  # a seam's failure is no failed task: the gap stays
+                    found = []
+                out += [(*row[: len(by)], str(n), int(request["first"]) * 1000 + i) for i, n in enumerate(found)]
+            yield pd.DataFrame(out, columns=[*by, "number", "pos"])
+
+    return requests.withColumn("label", run_label(F.col("first"), F.col("last"))).select(*columns).mapInPandas(run, schema)
+
+
+def repair_gaps(
+    questions: DataFrame, chunk_numbers: DataFrame, pages: DataFrame, extract: Callable[[dict], list[str]], by: list[str], expected: str | None = None, rounds: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """Questions with those recovered for their gaps in place (column ``round``: 0 if extracted at first), and the gaps that stay.
+
+    A round finds gaps, asks for the pages of these alone and puts in place what fits (``repaired``).  It is the last if
+    nothing fitted, no gap is left that may be repaired, or ``rounds`` are over.  Each round is written, so plans do not grow.
+    questions: by, number, pos; further columns are kept, null for recovered ones.
+    """
+    now = written(questions.withColumn("round", F.lit(0)), "questions")
+    for i in range(1, rounds + 1):
+        gaps = find_gaps(now, by, expected=expected)
+        todo = written(gaps.join(repair_allowed(gaps, now, by).select(*by), by, "left_semi"), "gaps")
+        if todo.isEmpty():
+            break
+        found = written(ask_for_gaps(gap_pages(todo, chunk_numbers, pages, by), extract, by), "found").withColumn("round", F.lit(i))
+        out, _ = repaired(now, found, by, expected=expected, allowed=todo)
+        now = written(out.drop("pos", "recovered").withColumnRenamed("place", "pos").select(*questions.columns, "round"), "questions")
+        if now.where(F.col("round") == i).isEmpty():
+            break
+    return now, find_gaps(now, by, expected=expected)
+
+
+def gap_warnings(gaps: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
+    """by, warning: a line for each gap that stays, or one for a document with too many to repair."""
+    allowed = repair_allowed(gaps, questions, by).select(*by)
+    label = run_label(F.col("first"), F.col("last"))
+    still = gaps.join(allowed, by, "left_semi").select(*by, F.concat(F.lit("question(s) "), label, F.lit(" still missing after re-extraction")).alias("warning"))
+    many = gaps.join(allowed, by, "left_anti").groupBy(*by).agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.count("*").alias("runs"))
+    text = F.concat(F.col("n").cast("string"), F.lit(" question number(s) missing across "), F.col("runs").cast("string"), F.lit(" run(s); too many to repair"))
+    return still.unionByName(many.select(*by, text.alias("warning")))

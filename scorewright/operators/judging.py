@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,3 +97,30 @@ def leniency(verdicts: DataFrame) -> DataFrame:
     """Mean deviation of each judge from the mean of all judges of the same answer."""
     panel = F.avg("total").over(Window.partitionBy("run_id", "question_id"))
     return verdicts.withColumn("off", F.col("total") - panel).groupBy("judge").agg(F.avg("off").alias("leniency"))
+
+
+def zipped_verdicts(rows: DataFrame) -> DataFrame:
+    """Verdicts of a report with their judges, by position: run_id, question_id, pos, judge, total, rationale, scores, problem.
+
+    rows: run_id, question_id, judge_models array<string>, judge_verdicts array<string> (JSON objects with total_points,
+    rationale, criteria).  The shorter list ends both.  A verdict that is no object or has no finite total is a row with a
+    problem and no total; criteria without an id or points are left out of scores and named as a problem.  So a broken
+    verdict costs its own question nothing but itself, and other questions nothing.
+    """
+    n = F.least(F.size("judge_models"), F.size("judge_verdicts"))
+    both = F.arrays_zip(F.slice("judge_models", F.lit(1), n).alias("judge"), F.slice("judge_verdicts", F.lit(1), n).alias("text"))
+    at = rows.where(n > 0).select("run_id", "question_id", F.posexplode(both).alias("pos", "z")).select("run_id", "question_id", "pos", "z.judge", F.try_parse_json("z.text").alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    total = get("$.total_points", "double")
+    total = F.when(F.abs(total) < float("inf"), total)
+    criteria = F.coalesce(get("$.criteria", "array<variant>"), F.array().cast("array<variant>"))
+    scores = F.transform(criteria, lambda c: F.struct(F.try_variant_get(c, "$.id", "string").alias("id"), F.try_variant_get(c, "$.points", "double").alias("points")))
+    read = at.select("run_id", "question_id", "pos", "judge", total.alias("total"), get("$.rationale", "string").alias("rationale"), scores.alias("all"), F.col("v").isNull().alias("lost"))
+    good = F.filter("all", lambda c: c["id"].isNotNull() & c["points"].isNotNull())
+    problem: Column = F.when(F.col("lost"), "not readable").when(F.col("total").isNull(), "no total").when(F.size(good) < F.size("all"), "bad criteria")
+    return read.select("run_id", "question_id", "pos", "judge", "total", "rationale", good.alias("scores"), problem.alias("problem"))
+
+
+def judge_means_by_position(rows: DataFrame) -> DataFrame:
+    """Mean total of each judge over a run's readable verdicts: run_id, judge, mean, verdicts."""
+    return judge_means(zipped_verdicts(rows).where("total IS NOT NULL"))

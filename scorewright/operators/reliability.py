@@ -265,9 +265,37 @@ def family_lengths(rows: DataFrame, family: str = "wfam", length: str = "len") -
     return once.groupBy(family).agg(F.avg("n").alias("mean_length"), F.count("*").alias("answers"))
 
 
+#: Parts into which the values of a group are cut to find its median.
+PARTS = 1024
+
+
+def exact_median(values: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
+    """``by``, out, n: the median of each group's values (mean of the middle two), nulls left out.
+
+    Equal values are counted first; a group's range is cut into parts, whose counts tell in which the
+    middle lies, and only the values of that part are ordered.  So no group is gathered, be it all rows.
+    """
+    v = F.col("_v")
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    spans = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    on = lambda a, b, keys: a.join(b, keys) if keys else a.join(F.broadcast(b))  # noqa: E731  without keys b is one row
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0))
+    at = on(counts, spans, by).withColumn("_part", part.cast("int"))
+    sums = at.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"), F.first("n").alias("n"))
+    upto = F.sum("_s").over(Window.partitionBy(*by).orderBy("_part"))  # at most PARTS rows a group
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)  # places of the middle two, from 1
+    mid = sums.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_s")).where((F.col("_before") < high) & (F.col("_upto") >= low))
+    near = at.drop("n").join(mid.select(*by, "_part", "_before", "n"), [*by, "_part"])
+    place = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")) + F.col("_before")
+    hit = near.withColumn("_to", place).withColumn("_from", F.col("_to") - F.col("_c"))
+    first, second = (F.max(F.when((F.col("_from") < p) & (F.col("_to") >= p), v)) for p in (low, high))
+    return hit.groupBy(*by, "n").agg(first.alias("_a"), second.alias("_b")).select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out), "n")
+
+
 def median_spearman(values: DataFrame, by: list[str], x: str, y: str, tie: list[str], least: int = 4) -> DataFrame:
     """The median over groups of their rank correlations."""
-    return spearman_within(values, by, x, y, tie, least).where("rho IS NOT NULL").agg(F.median("rho").alias("median_rho"), F.count("*").alias("groups"))
+    rho = spearman_within(values, by, x, y, tie, least).where("rho IS NOT NULL")
+    return exact_median(rho, [], "rho", "median_rho").withColumnRenamed("n", "groups")
 
 
 STUDY_FILE = r"([A-Za-z0-9.]+)__([A-Za-z0-9.:-]+?)(?:__r([0-9]+))?[.]json$"

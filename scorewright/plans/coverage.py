@@ -182,6 +182,27 @@ def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("icc", "disagreement", "mean", "empty_mean", "reference_mean")})
 
 
+@query(
+    """SELECT o_orderkey, 'j' || j AS judge, CASE WHEN (o_orderkey + j) % 5 IN (1, 2) THEN NULL ELSE CAST(o_orderkey % 10 + j AS DOUBLE) / 2 END AS total,
+    CASE (o_orderkey + j) % 5 WHEN 1 THEN 'not readable' WHEN 2 THEN 'no total' WHEN 3 THEN 'bad criteria' END AS problem, CASE (o_orderkey + j) % 5 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS scores
+    FROM orders, range(3) t(j) WHERE j < o_orderkey % 4"""
+)
+def zipped_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four verdicts for three judges; two in five are broken, one in five has a broken criterion."""
+    k = F.col("o_orderkey")
+
+    def verdict(j: int):
+        of, total = (k + j) % 5, ((k % 10 + j) / 2).cast("string")
+        good = F.concat(F.lit('{"total_points": '), total, F.lit(', "rationale": "r", "criteria": [{"id": "a", "points": 1}, {"id": "b", "points": 0.5}]}'))
+        odd = F.concat(F.lit('{"total_points": '), total, F.lit(', "criteria": [{"id": "a", "points": 1}, {"id": "b", "points": "many"}]}'))
+        return F.when(of == 1, F.lit('{"total_points": 3,')).when(of == 2, F.lit('{"total_points": "high"}')).when(of == 3, odd).otherwise(good)
+
+    o = A.table(spark, sf_dir, "orders")
+    rows = o.select(F.lit("r").alias("run_id"), k.cast("string").alias("question_id"), F.array(*map(F.lit, ("j0", "j1", "j2"))).alias("judge_models"), F.slice(F.array(*map(verdict, range(4))), F.lit(1), (k % 4).cast("int")).alias("judge_verdicts"))
+    out = judging.zipped_verdicts(rows)
+    return out.select(F.col("question_id").cast("bigint").alias("o_orderkey"), "judge", "total", "problem", F.size("scores").alias("scores"))
+
+
 @query(f"WITH {A.STUDY_SQL}, o AS (SELECT wfam, qid, sheet, max(len) AS n FROM study GROUP BY ALL) SELECT wfam, round(avg(n), 6) AS mean_length, count(*) AS answers FROM o GROUP BY wfam")
 def family_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.family_lengths(A.study(spark, sf_dir)).withColumn("mean_length", F.round("mean_length", 6))

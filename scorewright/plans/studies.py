@@ -117,6 +117,26 @@ def spearman_within_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.spearman_within(v, ["qid"], "len", "p", ["sheet"]).withColumn("rho", F.round("rho", 6))
 
 
+@query(
+    f"""WITH {S}, v AS (SELECT qid, sheet, avg(p) AS p, avg(len) AS len FROM study GROUP BY ALL), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY len, sheet) AS x, row_number() OVER (PARTITION BY qid ORDER BY p, sheet) AS y FROM v),
+    c AS (SELECT qid, corr(x, y) AS rho FROM r GROUP BY qid HAVING count(*) >= 4) SELECT round(median(rho), 6) AS median_rho, count(*) AS groups FROM c WHERE rho IS NOT NULL"""
+)
+def median_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = A.study(spark, sf_dir).groupBy("qid", "sheet").agg(F.avg("p").alias("p"), F.avg("len").alias("len"))
+    return reliability.median_spearman(v, ["qid"], "len", "p", ["sheet"]).withColumn("median_rho", F.round("median_rho", 6))
+
+
+@query("SELECT l_suppkey, round(median(l_extendedprice), 6) AS median, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def grouped_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reliability.exact_median(A.table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice")
+    return out.withColumn("median", F.round("median", 6))
+
+
+@query(f"WITH {S}, d AS (SELECT judge, abs(p - avg(p) OVER (PARTITION BY qid, sheet)) AS d FROM cells) SELECT judge, round(avg(d), 6) AS mae FROM d GROUP BY judge")
+def mae_with_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliability.leave_one_out(_cells(spark, sf_dir), include_self=True).withColumn("mae", F.round("mae", 6))
+
+
 @query(f"WITH {S}, d AS (SELECT judge, p - avg(p) OVER (PARTITION BY qid, sheet) AS d FROM cells) SELECT judge, round(avg(d), 6) AS mean_dev, round(avg(abs(d)), 6) AS mean_abs_dev FROM d GROUP BY judge")
 def judge_leniency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.leniency(_cells(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean_dev", "mean_abs_dev")})
@@ -226,6 +246,30 @@ def insert_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.insert_recovered(n, rec, ["doc"]).select("doc", "n", "recovered", F.col("place").cast("bigint").alias("place"))
 
 
+@query(
+    """WITH k AS (SELECT DISTINCT o_custkey AS doc, o_orderkey % 12 + 1 AS n FROM orders), x AS (SELECT doc, n, lead(n) OVER (PARTITION BY doc ORDER BY n) AS m FROM k), c AS (SELECT doc, count(*) AS n FROM k GROUP BY doc),
+    g AS (SELECT doc FROM x JOIN (SELECT doc, n AS total FROM c) USING (doc) WHERE m > n + 1 GROUP BY doc, total HAVING count(*) <= 5 AND sum(m - n - 1) <= greatest(10, total / 5.0)),
+    r AS (SELECT doc, n + 1 AS n, 1 AS round FROM x WHERE m > n + 1 AND doc IN (SELECT doc FROM g) UNION ALL SELECT doc, n + 2, 2 FROM x WHERE m > n + 2 AND doc IN (SELECT doc FROM g)), a AS (SELECT doc, n, 0 AS round FROM k UNION ALL SELECT * FROM r)
+    SELECT doc, n, CAST(round AS BIGINT) AS round, row_number() OVER (PARTITION BY doc ORDER BY n) AS place FROM a"""
+)
+def gap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as question numbers from 1 to 12, four to a chunk; the seam finds one missing number at a time, and what it was not asked for."""
+    n = F.col("o_orderkey") % 12 + 1
+    q = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), n.cast("string").alias("number"), n.alias("pos")).distinct()
+    chunk = F.floor((F.col("pos") - 1) / 4)
+    numbers = q.select("doc", chunk.alias("chunk"), F.col("pos").cast("int").alias("n"))
+    pages = q.select("doc", chunk.alias("page_index"), chunk.alias("chunk")).distinct()
+
+    def extract(request: dict) -> list[str]:
+        low = request["first"]
+        if not request["pages"] or max(request["pages"]) < (request["last"] - 1) // 4 and max(request["pages"]) < (low - 2) // 4:
+            raise ValueError("not on these pages")
+        return [str(low), str(low - 1), "99"]
+
+    out, _ = ingest.repair_gaps(q, numbers, pages, extract, ["doc"], rounds=2)
+    return out.select("doc", F.col("number").cast("bigint").alias("n"), F.col("round").cast("bigint").alias("round"), F.col("pos").cast("bigint").alias("place"))
+
+
 @query(
     """SELECT o_custkey AS doc, CAST(o_orderkey % 5 AS VARCHAR) AS key, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 2 = 0) AS a, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 3 = 0) AS b FROM orders GROUP BY o_custkey, o_orderkey % 5"""
 )
