@@ -230,6 +230,10 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def language_id(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """Train on the labelled documents that are not held out, then predict every document."""
+    """Train on the labelled documents that are not held out, then predict every document.
+
+    Null text, and text without a letter, is ``und``, as is all text if no document has a label; a null doc_id stays null; repeated
+    rows are predicted alike; an empty table gives no rows; only doc_id, text and lang are read.
+    """
     x, y, langs = training_windows(docs, docs_per_lang)
     return identify(docs, train(x, y, langs) if len(x) else None)

@@ -139,6 +139,10 @@ def index(data: bytes) -> list[Track]:
         offset = chunk[of, 0] + before - before[first[of]]
         step = np.repeat(steps[:, 1], steps[:, 0])[:n]
         key = _table(view, boxes[b"stss"] + 4, 1)[:, 0] - 1 if b"stss" in boxes else np.arange(n)
+        if min(len(of), len(step)) < n:
+            raise ValueError("the sample tables name fewer samples than there are")
+        if len(key) and (key.min() < 0 or key.max() >= n):
+            raise ValueError("key numbers lie beyond the samples")
         at = boxes[b"mdhd"]
         wide = view[at] == 1
         scale = int.from_bytes(view[at + (20 if wide else 12) :][:4], "big")
@@ -170,7 +174,10 @@ def feature_of(track: Track) -> str:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the stored file (``media`` binary) of every whole text; null is empty."""
+    """doc_id, n_bytes and the stored file (``media`` binary) of every whole text.
+
+    Null text is empty; a null doc_id stays null; repeated rows give equal files; an empty table none; only doc_id and text are read.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -194,6 +201,8 @@ def media_entry(data: bytes | None) -> tuple[str | None, float | None, list[dict
         if not found:
             return None, None, None, "no track"
         t = found[0]
+        if len(t.size) and (t.offset.min() < 0 or (t.offset + t.size).max() > len(data)):
+            return None, None, None, "samples lie beyond the file"
         keys = [{"start": int(t.offset[k]), "length": int(t.size[k])} for k in t.key.tolist()]
         return t.codec, t.duration / t.timescale, keys, None
     except DAMAGED as e:

@@ -456,7 +456,10 @@ def _joined(text: Column, made: Column) -> Column:
 
 
 def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced; other columns, and null texts, stay as they are."""
+    """``docs`` with the entities in ``text`` replaced; other columns, and null texts, stay as they are.
+
+    Repeated rows get equal surrogates; an empty table gives no rows.
+    """
     met, made = _replacing(docs, key)
     changed = F.when(F.size("_found") > 0, _joined(F.col("text"), made)).otherwise(F.col("text"))
     return met.withColumn("text", changed).select(*docs.columns)

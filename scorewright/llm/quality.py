@@ -220,7 +220,10 @@ def count_patterns(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 11) -> Scorer | None:
-    """Train on at most about ``sample_docs`` documents, drawn by a hash of id and text; None without documents."""
+    """Train on at most about ``sample_docs`` documents, drawn by a hash of id and text; None without documents.
+
+    Null text counts as empty, a null id as any other; repeated rows are drawn together.
+    """
     patterns, count = count_patterns(docs)
     if not patterns:
         return None
@@ -275,12 +278,19 @@ def score(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD)
 
 
 def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on the documents and score them all."""
+    """Fit on the documents and score them all.
+
+    Null text and text without words are scored as empty ones; a null doc_id stays null; repeated rows score alike;
+    an empty table gives no rows; only doc_id and text are read.
+    """
     return score(docs, fit(docs, sample_docs), threshold)
 
 
 def without_junk(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns, in one pass over the rows."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns, in one pass over the rows.
+
+    Null text counts as empty; repeated rows fare alike; an empty table gives no rows; columns of any name stay as they are.
+    """
     scorer = fit(docs, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 

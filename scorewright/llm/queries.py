@@ -14,42 +14,52 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests; odd rows as in ``spm.round_trip``."""
     return spm.round_trip(_documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document; odd rows as in ``exact_dedup.exact_dedup``."""
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document; odd rows as in ``license_scan.license_scan``."""
     return license_scan.license_scan(_documents(spark, sf_dir))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of similar documents; odd rows as in ``ngram_join.jaccard_components``."""
     return ngram_join.jaccard_components(_documents(spark, sf_dir), words=4, percent=85)
 
 
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their places; odd rows as in ``packing.best_fit_pack``."""
     return packing.best_fit_pack(_documents(spark, sf_dir))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates; odd rows as in ``pii.replace_pii``."""
     return pii.replace_pii(_documents(spark, sf_dir))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media file, read back; odd rows as in ``media.media_column``."""
     return media.media_digest(media.media_column(_documents(spark, sf_dir)))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from files; odd rows as in ``token_store.token_store``."""
     return token_store.token_store(_documents(spark, sf_dir))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; odd rows as in ``quality.classify``."""
     return quality.classify(_documents(spark, sf_dir))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; odd rows as in ``langid.language_id``."""
     return langid.language_id(_documents(spark, sf_dir))
 
 

@@ -277,8 +277,20 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    """The library's model of a file, and which ids are no ordinary pieces."""
+    import sentencepiece
+
+    found = sentencepiece.SentencePieceProcessor(model_file=path)
+    return found, np.array([found.is_unknown(i) or found.is_control(i) or found.is_byte(i) for i in range(found.get_piece_size())])
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and token ids (array<int>, with begin and end ids) of every whole text; null is empty."""
+    """doc_id and token ids (array<int>, with begin and end ids) of every whole text.
+
+    Null text is empty; a null doc_id stays null; repeated rows give a row each; an empty table none; only doc_id and text are read.
+    """
     path = path or default_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,16 +303,24 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of every row of token ids; null ids are empty."""
+    """doc_id and text of every row of token ids, such as the pieces of a packed document.
+
+    Rows with an unknown id, byte pieces or marks inside go to the library, which knows what becomes of parts of a character.
+    Null ids are empty; a null doc_id stays null; repeated rows give a row each; an empty table none.
+    """
     path = path or default_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
+        library, special = _library(path)
         for batch in batches:
             rows = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode() for t in m.decode(flat, off)])], ["doc_id", "text"])
+            odd = [bool(special[r[1:-1]].any() or (len(r) and (special[r[[0, -1]]] & ~np.isin(r[[0, -1]], (m.bos, m.eos))).any())) for r in rows]
+            plain = [r[:0] if o else r for r, o in zip(rows, odd, strict=True)]
+            off = np.concatenate([[0], np.cumsum([len(r) for r in plain])]).astype(np.int64)
+            flat = np.concatenate(plain) if plain else np.zeros(0, np.int32)
+            texts = [library.decode(r.tolist()) if o else t.decode() for r, o, t in zip(rows, odd, m.decode(flat, off), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 

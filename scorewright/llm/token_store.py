@@ -149,7 +149,8 @@ def write_tokens(
 
     Ranges of doc_id, as many as the texts' bytes ask for, order files; sorting orders documents
     within one.  A task streams blocks under a name of its own and renames the file when whole,
-    so a repeated task replaces a file by the same bytes.
+    so a repeated task replaces a file by the same bytes.  Null text is the end id alone; rows without doc_id come first;
+    repeated rows are stored each; an empty table writes no file; only doc_id and text are read.
     """
     path = tokenizer or bytebpe.default_path()
     spark = docs.sparkSession
@@ -201,7 +202,7 @@ def write_tokens(
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document of a written manifest: its ids' count and crc32, read back from the files."""
+    """Per document of a written manifest: its ids' count and crc32, read back from the files; an empty manifest gives no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _filesystem(folder)

@@ -593,3 +593,15 @@ def test_common_list_of_entities_is_spread(spark, monkeypatch):
     first, second = re.fullmatch(r"(.*) and (.*) in text 0", of[100_000]).groups()
     assert all(of[100_000 + i] == f"{first} and {second} in text {i}" for i in range(400)) and of[7] == f"call {first} now" and of[9] == f"call {second} now"
     assert of[200_000] is None and of[200_001] == "none"
+
+
+def test_damaged_sample_tables_give_no_ranges_outside(spark):
+    rng = random.Random(3)
+    good = media.build(bytes(range(256)) * 9)
+    for _ in range(1500):
+        data = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            data[rng.randrange(len(good) - 256 * 9)] = rng.randrange(256)
+        codec, seconds, keys, error = media.media_entry(bytes(data))
+        assert (keys is None) == (error is not None)
+        assert all(0 <= k["start"] and k["start"] + k["length"] <= len(data) for k in keys or [])

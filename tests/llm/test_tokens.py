@@ -229,3 +229,15 @@ def test_token_files_end_and_stream(spark, library, tmp_path):
     assert len(parts) == 1 + 5000 // 64
     with pytest.raises(ValueError):
         token_store.Reader(io.BytesIO(b"".join(parts)))
+
+
+def test_decode_pieces_cut_anywhere(spark, pieces):
+    """Ids cut inside a character, unknown ids and marks inside: as the library decodes them."""
+    rng = random.Random(6)
+    ids = pieces.encode("日本語 é ß \U0001f600 the end ▁ x\x00", add_bos=True, add_eos=True)
+    rows = [ids[a:b] for a in range(0, len(ids), 2) for b in range(a, len(ids), 3)] + [[rng.randrange(32_000) for _ in range(rng.randrange(12))] for _ in range(300)]
+    rows += [[rng.randrange(300) for _ in range(rng.randrange(9))] for _ in range(300)] + [[], None, [0], [1], [2, 1], [259], [1, 29871, 2]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, ids array<int>").repartition(3)
+    got = {r.doc_id: r.text for r in spm.decode_documents(df).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == pieces.decode(r or []), r
