@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scorewright.llm.graph import components, salted_lookup, salts_for
 from scorewright.llm.shingles import shingle_sets
-from scorewright.llm.textops import drop_path, shared_path, slices, take_rows, text_tag, texts_of, written
+from scorewright.llm.textops import drop_path, scratch, shared_path, slices, take_rows, text_tag, texts_of, written
 
 #: Rows of a key that are joined in one place: so many at least, and one in so many documents.
 KEY_ROWS, KEY_SHARE = 20_000, 4096
@@ -54,6 +54,15 @@ def least_overlap(total: np.ndarray | int, percent: int):
 # --- rarity ------------------------------------------------------------------------
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """One block of counts, in the fewest bytes that its largest takes."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // SKETCH_BLOCK}").astype(np.int64)
+
+
 def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     """Counts of all documents' shingles by hash slot: ``slots`` numbers, whatever the input."""
 
@@ -64,21 +73,21 @@ def count_sketch(docs: DataFrame, words: int, slots: int) -> np.ndarray:
             total += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         if total.any():
             rows = total.reshape(-1, SKETCH_BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([packed(r) for r in rows], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+                total[k] = total.get(k, 0) + unpacked(raw)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(v) for v in total.values()], pa.binary())], ["block", "counts"])
 
     kind = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
+    rows = written(docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind), "sketch").collect()
     out = np.zeros((slots // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
     for r in rows:
-        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
+        out[r["block"]] += unpacked(r["counts"])
     return out.ravel()
 
 
@@ -310,8 +319,9 @@ def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame
     path = shared_path(spark, "tokens")
     rows = written(reps.select("node", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select("node", "t.tokens", "t.parts").toDF("node", "token", "parts"), "tokens", path)
     # exact counts of a key's classes, added up before the shuffle; only keys of several classes go on,
-    # and the rows of a common one, dealt over its parts, fetch its count
-    shared = rows.groupBy("token").agg(F.count("*").alias("met"), F.first("parts").alias("parts")).where("met > 1")
+    # and the rows of a common one, dealt over its parts, fetch its count; written, as the shuffle of
+    # all keys then goes before that of all rows comes
+    shared = written(rows.groupBy("token").agg(F.count("*").alias("met"), F.first("parts").alias("parts")).where("met > 1"), "shared")
     shares = shared.select("token", "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = rows.select("node", "token", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).otherwise(0).cast("int").alias("part"))
     met = dealt.join(shares, ["token", "part"]).select("node", "token", "met").join(bits.select("node", "n", "short"), "node")
@@ -507,12 +517,16 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Texts without words, null ones too, are linked with nothing and all stay; an empty table gives
     no rows; columns of any name are kept as they are.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"))
-    signed, of_class, salts = linked_classes(narrow, words, percent)
-    some = signed.where("n > 0").select("doc_id", "tag", "digest").withColumn("by", F.xxhash64("doc_id", "tag"))
-    met = salted_lookup(some, of_class.select("digest", "component"), "digest", "by", salts=salts)
-    rows = met.groupBy("component", "doc_id", "tag").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n")
-    best = rows.groupBy("component").agg(F.min(order).alias("best")).select("best.doc_id", "best.tag", "best.n")
-    bare = signed.where("n = 0").select("doc_id", "tag", F.lit(1).cast("long").alias("n"))
-    return take_rows(docs, written(best.unionByName(bare), "keep"))
+    path = shared_path(spark, "keep")
+    with scratch(spark):  # signatures and the like go before the documents' texts are shuffled
+        signed, of_class, salts = linked_classes(narrow, words, percent)
+        some = signed.where("n > 0").select("doc_id", "tag", "digest").withColumn("by", F.xxhash64("doc_id", "tag"))
+        met = salted_lookup(some, of_class.select("digest", "component"), "digest", "by", salts=salts)
+        rows = met.groupBy("component", "doc_id", "tag").agg(F.count("*").alias("n"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n")
+        best = rows.groupBy("component").agg(F.min(order).alias("best")).select("best.doc_id", "best.tag", "best.n")
+        bare = signed.where("n = 0").select("doc_id", "tag", F.lit(1).cast("long").alias("n"))
+        keep = written(best.unionByName(bare), "keep", path)
+    return take_rows(docs, keep)

@@ -281,6 +281,41 @@ def test_scratch_deletes_what_was_written_inside(spark):
     assert not os.path.exists(path) and before.count() == 3
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    """Else all shuffles of a query stay on disk together, as long as the driver collects no garbage."""
+    import time
+    from pathlib import Path
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(textops.SHUFFLE_CLEANUP)
+    rows = textops.written(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() - before:
+            time.sleep(0.1)
+    assert not files() - before and rows.count() == 10
+    assert spark.conf.get(textops.SHUFFLE_CLEANUP) == setting
+
+
+def test_one_of_each_leaves_only_the_rows_to_keep(spark):
+    """Signatures, classes and links go before the texts of all documents are shuffled."""
+    import os
+
+    at = textops.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    kept = ngram_join.one_of_each(frame(spark, [(i, f"w{i // 2} b c d e f g h") for i in range(20)]))
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before] == ["keep"]
+    assert kept.count() == 10
+
+
+def test_sketch_blocks_take_as_few_bytes_as_their_counts():
+    for most, width in ((0, 1), (255, 1), (256, 2), (70_000, 4), (1 << 33, 8)):
+        counts = np.zeros(ngram_join.SKETCH_BLOCK, np.int64)
+        counts[5] = most
+        raw = ngram_join.packed(counts)
+        assert len(raw) == width * len(counts) and (ngram_join.unpacked(raw) == counts).all()
+
+
 def test_shared_folder_must_be_set_on_a_cluster():
     class Conf:
         def get(self, *_):
