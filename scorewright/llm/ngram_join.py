@@ -9,9 +9,11 @@
    two hashed bitmaps bounds the overlap from above.  Tiles carry short bitmaps; pairs of
    sets too large for those are held against bitmaps as long as the sets.  Pairs that
    pass connect classes to clusters, which hold every similar pair.  A key shared by very
-   many classes is dealt over tiles of bounded size by size band and hash.
-4. Clusters meet in tiles again, now with their sorted shingle arrays: bitmaps as long
-   as the sets bound the overlap, then sorted-array intersection decides exactly.
+   many classes is dealt over tiles of bounded size by size band and hash.  Keys are joined in
+   passes, so that only a share of their rows is on disk at once: the first takes few keys, by
+   which most near copies meet; later ones leave out keys whose classes are one cluster by then.
+4. Clusters meet in tiles again, now with their texts, which become sorted shingle arrays
+   there: bitmaps as long as the sets bound the overlap, then sorted-array intersection decides exactly.
    Pairs that are connected already need no decision.  A cluster too large for a tile is
    first dealt twice at random, which joins most of it; then only rows outside its largest
    component meet the others.  Verified links give components.
@@ -22,13 +24,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.graph import components, salted_lookup, salts_for
+from scorewright.llm.graph import components, lookup, merged, salted_lookup, salts_for
 from scorewright.llm.shingles import shingle_sets
 from scorewright.llm.textops import drop_path, scratch, shared_path, slices, take_rows, text_tag, texts_of, written
 
@@ -37,6 +40,9 @@ KEY_ROWS, KEY_SHARE = 20_000, 4096
 #: Classes that share a key in one tile, and shingles of a cluster in one tile, about.
 TILE_ROWS = 4096
 TILE_SHINGLES = 4_000_000
+#: Keys come in so many kinds; the first pass joins those of one kind, the later ones, one for so many documents but
+#: no more than PASSES, all kinds.
+KINDS, PASS_DOCS, PASSES = 16, 200_000, 5
 SLICE = 2 << 20
 SKETCH_BLOCK = 4096
 #: 64-bit words of a short and of a full bitmap, at most; and the set size from which a short one bounds too little.
@@ -181,13 +187,18 @@ def signatures(docs: DataFrame, words: int, percent: int, over: np.ndarray, n_do
 # --- tiles -------------------------------------------------------------------------
 
 
+def size_place(n: Column, percent: int) -> Column:
+    """Where a size lies: those of similar sets are less than 1 apart."""
+    return F.log(n.cast("double")) / F.lit(-math.log(percent / 100 - 0.001))
+
+
 def tile_keys(key: Column, m: Column, n: Column, member: Column, percent: int) -> Column:
     """Keys of the tiles in which a row meets all rows of its ``key`` of similar size.
 
     One tile if m is 1.  Else rows have a size band, as wide as the threshold allows sizes to
     differ, and one of m blocks; tiles are pairs of blocks of one band or of neighbouring bands.
     """
-    band = F.floor(F.log(n.cast("double")) / F.lit(-math.log(percent / 100 - 0.001)))
+    band = F.floor(size_place(n, percent))
     block = F.pmod(F.xxhash64(member, F.lit("block")), m)
     js = F.sequence(F.lit(0).cast("long"), m.cast("long") - 1)
 
@@ -204,6 +215,22 @@ def tile_keys(key: Column, m: Column, n: Column, member: Column, percent: int) -
     return F.when(m <= 1, F.array(key)).otherwise(many)
 
 
+def tiles_across(key: Column, inside: Column, m_b: Column, m_s: Column, n: Column, member: Column, percent: int) -> Column:
+    """Keys of the tiles in which the rows outside a key's largest component meet all others of similar size.
+
+    Rows ``inside`` it, in m_b blocks, meet only those outside it, in m_s blocks.
+    """
+    band = F.floor(size_place(n, percent))
+    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
+    upto = lambda m: F.sequence(F.lit(0).cast("long"), m.cast("long") - 1)
+    across = lambda low, i, high, j: F.xxhash64(key, F.lit("across"), low, i.cast("long"), high, j.cast("long"))
+    i, j = F.pmod(F.xxhash64(member, F.lit("i")), m_b), F.pmod(F.xxhash64(member, F.lit("j")), m_s)
+    inner = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_s), lambda y: across(band, i, band + d, y))))
+    outer = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_b), lambda x: across(band + d, x, band, j))))
+    outer = F.concat(outer, tile_keys(F.xxhash64(key, F.lit("others")), m_s, n, member, percent))
+    return F.when(inside, inner).otherwise(outer)
+
+
 def groups_of(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
     """Tables of at least about ``rows`` rows that end where ``key`` changes, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -245,13 +272,16 @@ def _join(parent: np.ndarray, a: int, b: int) -> bool:
     return True
 
 
-def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: list[bytes], percent: int) -> list[tuple[int, int, bool]]:
+def connected_pairs(
+    key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: list[bytes], percent: int, known: np.ndarray | None = None
+) -> list[tuple[int, int, bool]]:
     """Pairs of nodes that share a key and pass size and bitmap bounds, without those that close a circle.
 
     Rows are sorted by key and n.  Row i is held against row i + d for d = 1, 2, ... at once.  A
     pair of large sets whose short bitmaps do not tell them apart is given each once with False.
+    ``known``: a component of each node from before, or None.
     """
-    names, at = np.unique(node, return_inverse=True)
+    names, row, at = np.unique(node, return_index=True, return_inverse=True)
     words = np.fromiter(map(len, bitmap), np.int64, len(bitmap)) // 8
     by: dict[int, np.ndarray] = {}
     for w in (1 << k for k in range(BITMAP_WORDS.bit_length())):
@@ -265,6 +295,9 @@ def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: li
             by[k][pick] = bits
             bits, k = (bits[:, : k // 2] ^ bits[:, k // 2 :], k // 2) if k > 1 else (bits, 0)
     parent = np.arange(len(names))
+    if known is not None:
+        _, first, of = np.unique(known[row], return_index=True, return_inverse=True)
+        parent = first[of]
     out, left, d = [], np.arange(len(node)), 0
     open_pairs: set[tuple[int, int]] = set()
     while len(left):
@@ -292,53 +325,95 @@ def connected_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, bitmap: li
 
 
 def full_bitmaps_pass(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full bitmaps allow the threshold.  bits: node, n, bitmap."""
+    """Ends (x, y) of pairs (a, b) of nodes whose full bitmaps allow the threshold.  bits: node, n, bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             total = part.column("n_a").to_numpy() + part.column("n_b").to_numpy().astype(np.int64)
             room = total - 2 * least_overlap(total, percent)
             keep = []
-            for x, y, most in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), room.tolist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                w = min(len(x), len(y))
-                keep.append(int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= most)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+            for p, q, most in zip(part.column("bits_a").to_pylist(), part.column("bits_b").to_pylist(), room.tolist(), strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                w = min(len(p), len(q))
+                keep.append(int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) <= most)
+            yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    at_a = bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
-    at_b = bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
-    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+    at_a = bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
+    at_b = bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
+    return pairs.join(at_a, "a").join(at_b, "b").select("x", "y", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "x long, y long")
 
 
-def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes of classes that may be similar; with their ends' components they cover all such pairs.
+def candidate_clusters(reps: DataFrame, bits: DataFrame, percent: int, n_docs: int) -> DataFrame:
+    """Clusters (node, component) of the classes that may be similar to others; a similar pair is in one cluster.
 
     reps: node, tokens, parts.  bits: node, n, short, bitmap.
     """
     spark = reps.sparkSession
-    path = shared_path(spark, "tokens")
-    rows = written(reps.select("node", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select("node", "t.tokens", "t.parts").toDF("node", "token", "parts"), "tokens", path)
-    # exact counts of a key's classes, added up before the shuffle; only keys of several classes go on,
+    passes = min(PASSES, 1 + n_docs // PASS_DOCS)
+    ends = [KINDS * k // passes for k in range(passes + 1)]
+    found, old = None, None
+    for low, high in [(0, 1), *zip(ends[:-1], ends[1:], strict=True)]:
+        path = shared_path(spark, "clusters")
+        with scratch(spark):
+            more = components(candidate_edges(reps, bits, percent, low, high, found), "x", "y")
+            found = written(more if found is None else merged(found, more), "clusters", path)
+        if old:
+            drop_path(spark, old)
+        old = path
+    return found
+
+
+def candidate_edges(reps: DataFrame, bits: DataFrame, percent: int, low: int, high: int, found: DataFrame | None) -> DataFrame:
+    """Edges (x, y) between clusters of ``found``, where None has each class alone, by keys of the kinds from low to high - 1.
+
+    With the clusters they cover all pairs that may be similar and share such a key, except that without
+    ``found`` a common key's rows are dealt over its tiles once, so not all of them meet.
+    """
+    c = F.col
+    keys = F.filter(F.arrays_zip("tokens", "parts"), lambda t: F.pmod(t["tokens"], F.lit(KINDS)).between(low, high - 1))
+    rows = reps.select("node", keys.alias("keys")).where(F.size("keys") > 0)
+    rows = rows.withColumn("component", c("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.select("node", "component", F.explode("keys").alias("t")).select("node", "component", "t.tokens", "t.parts").toDF("node", "component", "token", "parts")
+    rows = written(rows, "tokens")
+    # exact counts of a key's classes, added up before the shuffle; only keys of several clusters go on,
     # and the rows of a common one, dealt over its parts, fetch its count; written, as the shuffle of
     # all keys then goes before that of all rows comes
-    shared = written(rows.groupBy("token").agg(F.count("*").alias("met"), F.first("parts").alias("parts")).where("met > 1"), "shared")
-    shares = shared.select("token", "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = rows.select("node", "token", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).otherwise(0).cast("int").alias("part"))
-    met = dealt.join(shares, ["token", "part"]).select("node", "token", "met").join(bits.select("node", "n", "short"), "node")
-    tiles_of = F.ceil(F.col("met") / TILE_ROWS)
-    keys = tile_keys(F.col("token"), tiles_of, F.col("n"), F.col("node"), percent)
-    tiles = met.select("node", "n", "short", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "n")
+    of_key = rows.groupBy("token").agg(F.count("*").alias("met"), F.first("parts").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = written(of_key.where("low < high").select("token", "met", "parts"), "shared")
+    # of a common key's classes those of its largest cluster need not meet each other
+    hot = shared.where(c("met") > TILE_ROWS).select("token")
+    n_hot = 0 if found is None else hot.count()
+    if n_hot:
+        each = lookup(rows, hot, n_hot, "token", "node").groupBy("token", "component").agg(F.count("*").alias("part"))
+        base = each.groupBy("token").agg(F.max_by("component", F.struct("part", "component")).alias("base"), F.max("part").alias("most"))
+        shared = shared.join(written(base, "base"), "token", "left")
+    else:
+        shared = shared.withColumns({"base": F.lit(None).cast("long"), "most": F.lit(None).cast("long")})
+    shares = shared.select("token", "met", "base", "most", F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias("part"))
+    part = F.when(c("parts") > 1, F.pmod(F.xxhash64("node", F.lit("part")), c("parts"))).otherwise(0).cast("int")
+    met = rows.select("node", "component", "token", part.alias("part")).join(shares, ["token", "part"]).drop("part").join(bits.select("node", "n", "short"), "node")
+    if found is None:  # bands of every other key lie half a band apart
+        band = F.floor(size_place(c("n"), percent) + F.pmod(F.floor(c("token") / KINDS), F.lit(2)) / 2)
+        dealt = F.array(F.xxhash64("token", F.lit("once"), band, F.pmod(F.xxhash64("node", "token"), F.ceil(c("met") / TILE_ROWS))))
+    else:
+        m_b, m_s = F.ceil(c("most") / TILE_ROWS), F.ceil((c("met") - c("most")) / TILE_ROWS)
+        dealt = tiles_across(c("token"), c("component") == c("base"), m_b, m_s, c("n"), c("node"), percent)
+    keys = F.when(c("met") <= TILE_ROWS, F.array("token")).otherwise(dealt)
+    tiles = met.select("node", "component", "n", "short", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key", 50_000):
-            pairs = connected_pairs(*(t.column(c).to_numpy() for c in ("key", "node", "n")), t.column("short").to_pylist(), percent)
+            key, node, n, component = (t.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+            pairs = connected_pairs(key, node, n, t.column("short").to_pylist(), percent, component)
             a, b, sure = zip(*pairs, strict=True) if pairs else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+            of = dict(zip(node.tolist(), component.tolist(), strict=True)) if pairs else {}
+            cols = [a, b, [of[i] for i in a], [of[i] for i in b]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(sure, pa.bool_())], ["a", "b", "x", "y", "sure"])
 
-    found = written(tiles.select("key", "node", "n", "short").mapInArrow(run, "a long, b long, sure boolean"), "pairs")
-    drop_path(spark, path)
-    doubtful = found.where("NOT sure").select("a", "b").distinct()
-    return found.where("sure").select("a", "b").unionByName(full_bitmaps_pass(doubtful, bits, percent))
+    pairs = tiles.select("key", "node", "n", "short", "component").mapInArrow(run, "a long, b long, x long, y long, sure boolean")
+    pairs = written(pairs, "pairs")
+    doubtful = pairs.where("NOT sure").select("a", "b", "x", "y").distinct()
+    return pairs.where("sure").select("x", "y").unionByName(full_bitmaps_pass(doubtful, bits, percent))
 
 
 # --- exact decision ----------------------------------------------------------------
@@ -396,16 +471,14 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     c = F.col
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     rows = written(salted_lookup(members, sizes, "cluster", "digest", salts=salts).withColumn("m", F.ceil(c("total") / TILE_SHINGLES)), "members")
-    width = -math.log(percent / 100 - 0.001)
-    place = F.log(c("n").cast("double")) / width
-    band = F.floor(place)
+    place = size_place(c("n"), percent)
 
     def deal(r: int) -> Column:  # bands lie half a band apart in the two deals
         block = F.pmod(F.xxhash64("digest", F.lit(r)), c("m"))
         return F.xxhash64("cluster", F.lit(r), F.floor(place + r / 2), block)
 
     once = F.when(c("m") <= 1, F.array("cluster")).otherwise(F.array(deal(0), deal(1)))
-    links = written(tile_links(docs, rows.select("doc_id", "tag", "digest", "n", once.alias("tiles"), F.lit(None).cast("binary").alias("known")), words, percent), "links")
+    links = tile_links(docs, rows.select("doc_id", "tag", "digest", "n", once.alias("tiles"), F.lit(None).cast("binary").alias("known")), words, percent)
     large = rows.where("m > 1")
     if large.isEmpty():
         return links
@@ -416,53 +489,53 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     rest = salted_lookup(large, base.where("parts > 1"), "cluster", "digest", salts=salts)
     # the largest component's rows (i of m_b blocks) meet the other rows (j of m_s blocks), and those each other
     m_b, m_s = F.ceil(c("most") / TILE_SHINGLES), F.ceil((c("total") - c("most")) / TILE_SHINGLES)
-    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
-    upto = lambda m: F.sequence(F.lit(0).cast("long"), m - 1)
-    across = lambda low, i, high, j: F.xxhash64("cluster", F.lit("across"), low, i, high, j)
-    i, j = F.pmod(F.xxhash64("digest", F.lit("i")), m_b), F.pmod(F.xxhash64("digest", F.lit("j")), m_s)
-    inner = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_s), lambda y: across(band, i, band + d, y))))
-    outer = F.flatten(F.transform(steps, lambda d: F.transform(upto(m_b), lambda x: across(band + d, x, band, j))))
-    outer = F.concat(outer, tile_keys(F.xxhash64("cluster", F.lit("others")), m_s, c("n"), c("digest"), percent))
-    tiles = F.when(c("known") == c("base"), inner).otherwise(outer)
+    tiles = tiles_across(c("cluster"), c("known") == c("base"), m_b, m_s, c("n"), c("digest"), percent)
     return links.unionByName(tile_links(docs, rest.select("doc_id", "tag", "digest", "n", tiles.alias("tiles"), "known"), words, percent))
 
 
 def tile_links(docs: DataFrame, tiled: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links inside tiles; ``tiled``: digest, doc_id and tag of one text, n, known, tiles (array of keys)."""
+    """Links inside tiles; ``tiled``: digest, doc_id and tag of one text, n, known, tiles (array of keys).
+
+    Texts that go to many tiles do so in turns, in each of which about as much is shuffled as all these texts are.
+    """
+    tiled = written(tiled, "tiled")
+    sums = tiled.agg(F.sum("n"), F.sum(F.col("n") * F.size("tiles"))).first()
+    turns = max(1, round(sums[1] / sums[0])) if sums[0] else 1
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("tag").alias("_tag"), "text")
     met = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
-    texts = texts.join(tiled.hint("merge"), met).select("text", "digest", "n", "tiles", "known")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for part in slices(batches, max_bytes=SLICE):
-            rows, checks, given = [], [], part.column("digest").to_pylist()
+        for part in batches:
             # repeated rows, same id and text, come one after the other from the merge join
-            part = part.filter(pa.array([d != before for d, before in zip(given, [last, *given], strict=False)]))
-            last = given[-1]
-            found = shingle_sets(texts_of(part), words, checks)
-            for x, y, digest, tiles, known in zip(found, checks, *(part.column(c).to_pylist() for c in ("digest", "tiles", "known")), strict=True):
-                if set_digest(x, y) == digest:
-                    rows += [(t, len(x), digest, known, x.tobytes() + y.tobytes()) for t in tiles]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tile", "n", "digest", "known", "shingles"])
+            given = part.column("digest").to_pylist()
+            yield part.filter(pa.array([d != before for d, before in zip(given, [last, *given], strict=False)], pa.bool_()))
+            last = given[-1] if given else last
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "tile", 1):
             key = t.column("tile").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
-            digest, known, raw = (t.column(c).to_pylist() for c in ("digest", "known", "shingles"))
+            digest, known = (t.column(c).to_pylist() for c in ("digest", "known"))
+            sets, checks = [], []
+            for part in slices(t.to_batches(), max_bytes=SLICE):
+                sets += shingle_sets(texts_of(part), words, checks)
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-                at = [i for i in range(a, b) if i == a or digest[i] != digest[i - 1]]
-                both = [np.frombuffer(raw[i], np.uint64).reshape(2, -1) for i in at]
-                pairs = exact_links([x[0] for x in both], percent, [known[i] for i in at], checks=[x[1] for x in both]) if len(at) > 1 else []
+                at = [i for i in range(a, b) if (i == a or digest[i] != digest[i - 1]) and set_digest(sets[i], checks[i]) == digest[i]]
+                pairs = exact_links([sets[i] for i in at], percent, [known[i] for i in at], checks=[checks[i] for i in at]) if len(at) > 1 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest[at[i]] for i, _ in pairs], pa.binary()), pa.array([digest[at[j]] for _, j in pairs], pa.binary())], ["a", "b"]
                 )
 
-    rows = texts.mapInArrow(sets, "tile long, n int, digest binary, known binary, shingles binary")
-    return rows.repartition("tile").sortWithinPartitions("tile", "n", "digest").mapInArrow(links, "a binary, b binary")
+    out = []
+    for turn in range(turns):
+        own = F.filter("tiles", lambda t: F.pmod(F.xxhash64(t, F.lit("turn")), F.lit(turns)) == F.lit(turn))  # noqa: B023
+        part = tiled.withColumn("tiles", own).where(F.size("tiles") > 0)
+        rows = texts.join(part.hint("merge"), met).select("digest", "text", "n", "tiles", "known")
+        rows = rows.mapInArrow(once, "digest binary, text string, n int, tiles array<long>, known binary")
+        rows = rows.select(F.explode("tiles").alias("tile"), "n", "digest", "known", "text")
+        out.append(written(rows.repartition("tile").sortWithinPartitions("tile", "n", "digest").mapInArrow(links, "a binary, b binary"), "links"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
@@ -474,14 +547,20 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     salts = salts_for(n_docs)
     slots = 1 << min(22, max(16, (4 * n_docs).bit_length()))
     over = excess(count_sketch(docs, words, slots))
-    signed = written(signatures(docs, words, percent, over, n_docs), "signatures")
+    spark = docs.sparkSession
+    wide_path, reps_path = shared_path(spark, "signatures"), shared_path(spark, "reps")
+    wide = written(signatures(docs, words, percent, over, n_docs), "signatures", wide_path)
     first_bytes = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    of = signed.where("n > 0").groupBy("digest")
+    of = wide.where("n > 0").groupBy("digest")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("of")
     classes = of.agg(least_row, *(F.first(c).alias(c) for c in ("n", "short", "bitmap")))
     classes = written(classes.select("digest", "of.doc_id", "of.tag", "n", "short", "bitmap", first_bytes.alias("node")), "classes")
-    reps = of.agg(*(F.first(c).alias(c) for c in ("tokens", "parts"))).withColumn("node", first_bytes)
-    clusters = components(candidate_edges(reps, classes.select("node", "n", "short", "bitmap"), percent))
+    reps = of.agg(*(F.first(c).alias(c) for c in ("tokens", "parts"))).select(first_bytes.alias("node"), "tokens", "parts")
+    reps = written(reps, "reps", reps_path)
+    signed = written(wide.select("doc_id", "tag", "n", "digest"), "signed")
+    drop_path(spark, wide_path)
+    clusters = candidate_clusters(reps, classes.select("node", "n", "short", "bitmap"), percent, n_docs)
+    drop_path(spark, reps_path)
     members = written(
         classes.join(clusters, "node").select("digest", "doc_id", "tag", "n", F.col("component").alias("cluster")), "members"
     )

@@ -374,3 +374,60 @@ def test_near_copies_without_ids_of_their_own(spark, ids):
     want += [(doc(0), 57, first)] * 50
     assert sorted(got, key=str) == sorted(want, key=str)
     assert ngram_join.one_of_each(frame(spark, rows), words=4, percent=85).count() == 11
+
+
+def test_near_copies_of_all_texts_shuffle_little(spark):
+    """Keys whose classes are one cluster need no tile, and tiles get texts: their rows and shingles are many times the texts."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(400)) for _ in range(500)]
+    docs = frame(spark, [(i + 1000 * k, t + more) for i, t in enumerate(texts) for k, more in enumerate(("", " one", " two"))])
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == list(range(500))
+    assert shuffled() - before < 3.5 * 3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("tile_rows", [10, 4096])
+def test_jaccard_in_passes(spark, monkeypatch, tile_rows):
+    """Clusters of one pass go on in the next; a common key's largest cluster is met by the others only."""
+    monkeypatch.setattr(ngram_join, "PASS_DOCS", 20)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile_rows)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    rows, base = [], [rng.choice(words) for _ in range(70)]
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(7)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy[: rng.randrange(40, 71)])))
+    assert sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows), 3, 80).collect())) == jaccard_brute(rows, 3, 80)
+
+
+def test_many_tiles_in_turns(spark, monkeypatch):
+    """A cluster dealt over many tiles ships its texts in turns."""
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 200)
+    real, made = ngram_join.written, []
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, path=None: made.append(name) or real(df, name, path))
+    rows = [(i, " ".join(f"w{j if j != i else -i}" for j in range(100))) for i in range(40)]
+    assert sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows)).collect())) == jaccard_brute(rows, 4, 85)
+    assert made.count("links") > 1
+
+
+def test_connected_pairs_skip_known_components():
+    key, node, n = np.zeros(3, np.int64), np.array([7, 8, 9]), np.full(3, 10, np.int32)
+    bits = [ngram_join.parity_bitmap(np.arange(10, dtype=np.uint64) << np.uint64(20), 1).tobytes()] * 3
+    assert [p[:2] for p in ngram_join.connected_pairs(key, node, n, bits, 80)] == [(7, 8), (8, 9)]
+    assert [p[:2] for p in ngram_join.connected_pairs(key, node, n, bits, 80, np.array([7, 7, 9]))] == [(8, 9)]
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_merged_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
+    more = spark.createDataFrame([(1, 0), (3, 0), (0, 0), (8, 5), (5, 5)], "node long, component long")
+    assert sorted(map(tuple, graph.merged(found, more).collect())) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 5), (8, 5)]
